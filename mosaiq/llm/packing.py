@@ -45,10 +45,11 @@ class Bins:
         if not bins:
             del self.at[left], self.shared[left], self.levels[k]
             return
-        every = -1
-        for _, taken in bins[:64]:
-            every &= taken
-        self.shared[left] = every if len(bins) <= 64 else 0
+        if len(bins) <= 64:  # above that, the bits that were shared before still are
+            every = -1
+            for _, taken in bins:
+                every &= taken
+            self.shared[left] = every
 
     def _put(self, number: int, left: int, taken: int) -> None:
         if left == 0:

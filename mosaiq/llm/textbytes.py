@@ -67,14 +67,19 @@ class Substrings:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
 
 
-def words(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes outside terms: all of ASCII but letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(at: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, maximal runs without white space that end with their text, and words in each text."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     first, last = solid.copy(), solid.copy()
-    first[1:] &= SPACE[data[:-1]] | edge[1 : len(data)]
-    last[:-1] &= SPACE[data[1:]] | edge[1 : len(data)]
+    first[1:] &= space[data[:-1]] | edge[1 : len(data)]
+    last[:-1] &= space[data[1:]] | edge[1 : len(data)]
     start = np.flatnonzero(first)
     return start, np.flatnonzero(last) + 1, np.diff(np.searchsorted(start, at))
 
