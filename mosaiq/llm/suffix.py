@@ -352,14 +352,15 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     clash = {"begin", "end", "__key"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here; rename them")
-    at = docs.columns.index(text)
+    names, schema = docs.columns, docs.schema
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [None if t.as_py() is None else b"".join(_kept(t.as_py().encode(), b, e)[0]).decode(errors="ignore") for t, b, e in zip(batch.column("text"), batch.column("begin"), batch.column("end"), strict=True)]
             cols = [batch.column(c) for c in rest]
             cols.insert(at, pa.array(out, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     spans = _with_spans(docs.withColumnRenamed(text, "text"))
-    return spans.select(*rest, "text", "begin", "end").mapInArrow(run, docs.schema)
+    return spans.select(*rest, "text", "begin", "end").mapInArrow(run, schema)
