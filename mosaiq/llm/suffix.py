@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import attach, keep
+from .scratch import keep
 from .textbytes import Substrings, as_list, chunks, mix
 
 #: Bytes of the strings, and of the anchors that they are dealt by.
@@ -191,10 +191,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "anchor long, content long, key long, start int, len int")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, wanted_bytes: float) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``anchor, content, copies, bytes`` of the wanted runs, cut out of one text that holds each."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "len")).alias("runs"))
-    texts = attach(docs, per_text, "key", "inner", 2 * wanted_bytes)
+    texts = docs.join(per_text, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,9 +277,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     of_anchor = distinct.groupBy("anchor").agg(F.sum(F.col("len") + WINDOW - 1).alias("bytes"))
     hot = keep(of_anchor.filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "hot")
     has_hot = not hot.isEmpty()
-    total = distinct.agg(F.sum(F.col("len") + WINDOW - 1).alias("b"), F.count("*").alias("n")).first()
+    total = distinct.agg(F.sum(F.col("len") + WINDOW - 1).alias("b")).first()
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, int((total["b"] or 0) // (4 * SHARD_BYTES)) + 1)
-    contexts = _contexts(docs, distinct, 28.0 * total["n"])
+    contexts = _contexts(docs, distinct)
     if has_hot:
         contexts = keep(contexts, "cut")
     # Equal texts each give the context of the one that was chosen; the copies are of equal bytes.
@@ -312,8 +312,7 @@ def _deduped(contexts: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")))
     spans = keep(repeated_spans(keyed.select(F.col("__key").alias("key"), "text")), "spans").select(F.col("key").alias("__key"), "begin", "end")
-    size = spans.agg(F.sum(F.size("begin") * 8 + 40)).first()[0] or 0
-    return attach(keyed, spans, "__key", "left", float(size)).drop("__key")
+    return keyed.join(spans, "__key", "left").drop("__key")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
