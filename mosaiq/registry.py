@@ -1,4 +1,5 @@
 """Registered queries by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
