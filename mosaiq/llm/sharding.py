@@ -86,6 +86,7 @@ def directory(shards: DataFrame) -> DataFrame:
     """The directory of the result of ``extendible_shards``: one row per bucket with its slots ``first_slot`` to ``last_slot``.
 
     The directory's global depth is the largest local one; a bucket of depth d fills 2**(global - d) slots.
+    Buckets without rows, the empty halves of splits, have no row.
     """
     buckets = shards.select("shard", "local_depth", "shard_bytes").distinct()
     depth = buckets.agg(F.max("local_depth").alias("global_depth"))
