@@ -185,16 +185,16 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, data in chunks(batches):
             text, start, length, anchor, content = anchors(at, data)
-            key = batch.column("key").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(key), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["anchor", "content", "key", "start", "len"])
+            key = batch.column("key").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), key, pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["anchor", "content", "key", "start", "len"])
 
-    return docs.select("key", "text").mapInArrow(run, "anchor long, content long, key long, start int, len int")
+    return docs.select("key", "text").mapInArrow(run, "anchor long, content long, key binary, start int, len int")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``anchor, content, copies, bytes`` of the wanted runs, cut out of one text that holds each."""
+    """``anchor, content, copies, bytes`` of the wanted runs, each once, cut out of one text that holds it; equal texts become one before they are dealt."""
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "len")).alias("runs"))
-    texts = docs.join(per_text, "key")
+    texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(per_text, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,16 +264,17 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``key, begin, end``: for each text with repeated 200-byte strings the spans under them, as sorted byte offsets.
 
-    ``docs`` has ``key``, a hash of the text, and ``text``. Windows are dealt by their anchors. Runs of
+    ``docs`` has ``key``, a 128-bit hash of the text, and ``text``. Windows are dealt by their anchors. Runs of
     windows with equal bytes collapse into one context with a count; an anchor that occurs once can't
     have a repeated window. The contexts of whole anchors are sorted together, some megabytes at a time,
     by ``two_stage``, and equal adjacent prefixes of 200 bytes mark what repeats. Contexts of an anchor
     with more than ``ANCHOR_BYTES`` of them are resolved window by window instead.
     """
-    rows = _anchor_rows(docs)
-    often = rows.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
+    # Equal texts give equal rows, which become one with a count before anything is joined by text.
+    rows = keep(_anchor_rows(docs).groupBy("anchor", "content", "key", "start", "len").agg(F.count("*").alias("n")), "rows")
+    often = rows.groupBy("anchor").agg(F.sum("n").alias("m")).filter("m > 1").select("anchor")
     runs = keep(rows.join(often, "anchor", "left_semi"), "runs")
-    distinct = keep(runs.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "len")).alias("one")).select("anchor", "content", "copies", "one.*"), "contexts")
+    distinct = keep(runs.groupBy("anchor", "content").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "start", "len")).alias("one")).select("anchor", "content", "copies", "one.*"), "contexts")
     of_anchor = distinct.groupBy("anchor").agg(F.sum(F.col("len") + WINDOW - 1).alias("bytes"))
     hot = keep(of_anchor.filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "hot")
     has_hot = not hot.isEmpty()
@@ -282,35 +283,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = _contexts(docs, distinct)
     if has_hot:
         contexts = keep(contexts, "cut")
-    # Equal texts each give the context of the one that was chosen; the copies are of equal bytes.
     plain = (contexts.join(hot, "anchor", "left_anti") if has_hot else contexts).repartition(shards, "anchor").sortWithinPartitions("anchor", "content")
-    marks = _deduped(plain).mapInArrow(_marks, MARKS)
+    marks = plain.mapInArrow(_marks, MARKS)
     if has_hot:
-        marks = marks.union(_hot_marks(contexts.join(hot, "anchor", "left_semi").dropDuplicates(["anchor", "content"])))
+        marks = marks.union(_hot_marks(contexts.join(hot, "anchor", "left_semi")))
     marks = keep(marks, "marks")
     spans = runs.join(marks, ["anchor", "content"]).select("key", F.transform("begin", lambda x: x + F.col("start")).alias("begin"), F.transform("end", lambda x: x + F.col("start")).alias("end"))
     return spans.groupBy("key").agg(F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("end")).alias("end"))
 
 
-def _deduped(contexts: DataFrame) -> DataFrame:
-    """Drops the repeats of a context, which are adjacent in a partition sorted by anchor and content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            a, c = batch.column("anchor").to_numpy(), batch.column("content").to_numpy()
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            if len(a):
-                new[0] = (a[0], c[0]) != last
-                last = (a[-1], c[-1])
-            yield batch.filter(pa.array(new))
-
-    return contexts.mapInArrow(run, contexts.schema)
-
-
 def _with_spans(docs: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     spans = keep(repeated_spans(keyed.select(F.col("__key").alias("key"), "text")), "spans").select(F.col("key").alias("__key"), "begin", "end")
     return keyed.join(spans, "__key", "left").drop("__key")
 
