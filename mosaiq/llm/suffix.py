@@ -19,9 +19,21 @@ WINDOW, GRAM = 200, 32
 SHARD_BYTES, ANCHOR_BYTES = 2 << 20, 8 << 20
 
 
-def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
+def _eights(text: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian word, zeros beyond the end, and ``depth`` places more."""
+    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    word = np.zeros(len(text) + depth, np.uint64)
+    for k in range(8):
+        word |= padded[k : k + len(text) + depth].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return word
+
+
+def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffix array of ``text``, in which suffixes with the same first ``depth`` bytes come in any order.
 
+    With ``wanted``, it holds those suffixes and the ones that they are induced by only: behind a wanted
+    suffix of type A, its successors up to the first one of type B.
+
     Two stages: suffixes smaller than their successors (type B) are sorted directly, by eight bytes at
     a time within groups that are still equal. The others (type A) are induced by one scan of the
     buckets of first bytes, in order: an A suffix stands among its bucket's A suffixes as its
@@ -33,13 +45,16 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     # i is of type B if its next different byte is larger; the end of the text is smaller than any byte.
     step = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     rises = np.append(text[step[:-1]] < text[step[1:]], False)
-    b = rises[np.searchsorted(step, np.arange(n))]
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    word = np.zeros(n + depth, np.uint64)
-    for k in range(8):
-        word |= padded[k : k + n + depth].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.flatnonzero(b)
-    order = order[np.argsort(word[order], kind="stable")]
+    b = np.repeat(rises, np.diff(step, prepend=-1))
+    place_of = np.arange(n)
+    if wanted is None:
+        held = np.ones(n, bool)
+    else:
+        last_b = np.maximum.accumulate(np.where(b, place_of, -1))
+        held = np.maximum.accumulate(np.where(wanted, place_of, -1)) > np.concatenate([[-1], last_b[:-1]])
+    word = _eights(text, depth)
+    order = np.flatnonzero(b & held)
+    order = order[np.argsort(word[order])]
     same = np.zeros(len(order), bool)
     same[1:] = word[order[1:]] == word[order[:-1]]
     for k in range(8, depth, 8):
@@ -57,10 +72,10 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         equal = np.zeros(len(at), bool)
         equal[1:] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
         same[at] = equal
-    sizes = np.bincount(text, minlength=256)
+    sizes = np.bincount(text[held], minlength=256)
     of_b = np.bincount(text[order], minlength=256)
     start = np.cumsum(sizes) - sizes
-    out = np.full(n, -1, np.int64)
+    out = np.full(int(sizes.sum()), -1, np.int64)
     low = start + sizes - of_b
     b_at = np.concatenate([[0], np.cumsum(of_b)])
     for c in range(256):
@@ -71,7 +86,8 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         out[head[c] : head[c] + len(at)] = at
         head[c] += len(at)
 
-    place(np.array([n - 1]), int(text[n - 1]))
+    if held[n - 1]:
+        place(np.array([n - 1]), int(text[n - 1]))
     for c in range(256):
         if not sizes[c]:
             continue
@@ -82,10 +98,10 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
                 raise AssertionError("a bucket isn't filled")
             done = head[c]
             before = new[new > 0] - 1
-            place(before[text[before] == c], c)
+            place(before[(text[before] == c) & held[before]], c)
         every = out[start[c] : start[c] + sizes[c]]
         before = every[every > 0] - 1
-        before = before[text[before] > c]
+        before = before[(text[before] > c) & held[before]]
         first = text[before]
         by = np.argsort(first, kind="stable")
         for d, k, m in zip(*_groups(first[by]), strict=True):
@@ -101,16 +117,13 @@ def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix, ``depth`` at most, of each suffix with the one before it in ``order``; 0 for the first."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
     room = np.minimum(n - order, depth)
-    out = np.zeros(n, np.int64)
-    if n < 2:
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
         return out
     room[1:] = np.minimum(room[1:], np.minimum(n - order[:-1], depth))
-    whole = np.zeros(n + depth, np.uint64)
-    for k in range(8):
-        whole |= padded[k : k + n + depth].astype(np.uint64) << np.uint64(56 - 8 * k)
-    live = np.arange(1, n)
+    whole = _eights(text, depth)
+    live = np.arange(1, len(order))
     for k in range(0, depth, 8):
         x, y = whole[order[live] + k], whole[order[live - 1] + k]
         differ = x != y
@@ -127,12 +140,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
 
 def repeated_starts(text: np.ndarray, may_start: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
     """Which of the allowed places start a string of ``depth`` bytes that starts at least twice, by weight."""
-    order = two_stage(text, depth)
+    order = two_stage(text, depth, may_start)
+    order = order[may_start[order]]
     block = np.cumsum(common_prefixes(text, order, depth) < depth) - 1
-    n = np.bincount(block, weights=(weight * may_start)[order], minlength=1)
+    n = np.bincount(block, weights=weight[order], minlength=1)
     out = np.zeros(len(text), bool)
     out[order] = n[block] > 1
-    return out & may_start
+    return out
 
 
 def anchors(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
