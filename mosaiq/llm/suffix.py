@@ -286,7 +286,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     # Equal texts give equal rows, which become one with a count before anything is joined by text.
     rows = keep(_anchor_rows(docs).groupBy("anchor", "content", "key", "start", "len").agg(F.count("*").alias("n")), "rows")
-    often = rows.groupBy("anchor").agg(F.sum("n").alias("m")).filter("m > 1").select("anchor")
+    # Written, so that both sides of the join are plain shuffles, which the planner can split where an anchor is hot.
+    often = keep(rows.groupBy("anchor").agg(F.sum("n").alias("m")).filter("m > 1").select("anchor"), "often")
     runs = keep(rows.join(often, "anchor", "left_semi"), "runs")
     distinct = keep(runs.groupBy("anchor", "content").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "start", "len")).alias("one")).select("anchor", "content", "copies", "one.*"), "contexts")
     of_anchor = distinct.groupBy("anchor").agg(F.sum(F.col("len") + WINDOW - 1).alias("bytes"))
