@@ -253,3 +253,17 @@ def test_segmentations_are_drawn_by_their_probability():
     for s, x in p.items():
         assert abs(first[s] / n - x / total) < 0.03
         assert abs(second[s] / n - sum(q / total * x / (total - q) for o, q in p.items() if o != s)) < 0.03
+
+
+def test_suffix_array_of_wanted_places_only():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        text = rng.integers(97, 97 + int(rng.integers(1, 4)), n).astype(np.uint8)
+        data, wanted = text.tobytes(), (rng.random(n) < 0.4) & (np.arange(n) + 6 <= n)
+        order = suffix.two_stage(text, 24, wanted).tolist()
+        assert len(set(order)) == len(order) and set(np.flatnonzero(wanted).tolist()) <= set(order)
+        assert [data[i : i + 24] for i in order] == sorted(data[i : i + 24] for i in order)
+        starts = [data[i : i + 6] for i in np.flatnonzero(wanted)]
+        want = [bool(wanted[i]) and starts.count(data[i : i + 6]) > 1 for i in range(n)]
+        assert suffix.repeated_starts(text, wanted, np.ones(n, int), 6).tolist() == want
