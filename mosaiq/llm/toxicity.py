@@ -49,9 +49,11 @@ class Machine:
         return self._raw(text[hit], at[hit], n)[0]
 
     def _raw(self, text: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        v = self.factors[term]
-        sums = np.stack([np.bincount(text, weights=v[:, f], minlength=n) for f in range(v.shape[1])], 1)
-        squares = np.bincount(text, weights=(v**2).sum(1), minlength=n)
+        # One factor at a time: the pairs are many, and they are in the driver's memory while a machine is learned.
+        sums = np.empty((n, self.factors.shape[1]))
+        for f in range(sums.shape[1]):
+            sums[:, f] = np.bincount(text, weights=self.factors[:, f][term], minlength=n)
+        squares = np.bincount(text, weights=(self.factors**2).sum(1)[term], minlength=n)
         return self.bias + np.bincount(text, weights=self.weight[term], minlength=n) + ((sums**2).sum(1) - squares) / 2, sums
 
 
@@ -59,8 +61,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, steps: int = 300, rate: float = 0.08, decay: float = 2e-4, seed: int = 3) -> Machine:
-    """Learns a machine from (document, bucket) pairs by Adam on the whole sample.
+def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, **settings) -> Machine:
+    """``fit_lists`` for (document, bucket) pairs, each of them once."""
+    order = np.argsort(text, kind="stable")
+    return fit_lists(np.split(bucket[order], np.searchsorted(text[order], np.arange(1, len(label)))), label, **settings)
+
+
+def fit_lists(lists: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: float = 0.08, decay: float = 2e-4, seed: int = 3) -> Machine:
+    """Learns a machine from each document's distinct buckets by Adam on the whole sample.
 
     Terms that are much rarer in one class than in the other, beyond chance, are used; of these the
     ``TERMS`` with the most evidence. Others would only measure a text's length or language. Without
@@ -69,18 +77,23 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, steps: int = 30
     n, ones = len(label), int(label.sum())
     if not ones or ones == n:
         return Machine(np.zeros(0, np.int64), float(np.log((ones + 0.5) / (n - ones + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
-    known, at = np.unique(bucket, return_inverse=True)
-    a = np.bincount(at, weights=label[text], minlength=len(known))
-    b = np.bincount(at, minlength=len(known)) - a
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for terms_, one in zip(lists, (label == 1).astype(int).tolist(), strict=True):
+        counts[one, terms_] += 1
+    known = np.flatnonzero(counts.any(0))
+    b, a = counts[:, known].astype(np.float64)
+    del counts
     p, q = (a + 0.5) / (ones + 1), (b + 0.5) / (n - ones + 1)
     z = (p - q) / np.sqrt((a + b + 1) / n * (1 - (a + b) / (n + 1)) * (1 / ones + 1 / (n - ones)))
     useful = (np.abs(z) > 4) & (np.maximum(p / q, q / p) > 3)
     chosen = np.flatnonzero(useful)
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:TERMS]])
-    place = np.full(len(known), -1)
-    place[chosen] = np.arange(len(chosen))
-    term = place[at]
-    text, term = text[term >= 0], term[term >= 0]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[known[chosen]] = np.arange(len(chosen))
+    used = [x[x >= 0] for x in (place[terms_] for terms_ in lists)]
+    text = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in used])
+    term = np.concatenate(used)
+    del place, used
     rng = np.random.default_rng(seed)
     m = Machine(known[chosen], float(np.log(ones / (n - ones))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS)))
     balance = np.where(label == 1, 0.5 * n / ones, 0.5 * n / (n - ones)) ** 0.5
@@ -89,9 +102,10 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, steps: int = 30
         logit, sums = m._raw(text, term, n)
         g = balance * (_sigmoid(logit) - label) / n
         each = g[text]
-        v = m.factors[term]
-        dv = each[:, None] * (sums[text] - v)
-        grads = (g.sum(), np.bincount(term, weights=each, minlength=len(chosen)) + decay * m.weight / max(1, len(chosen)), np.stack([np.bincount(term, weights=dv[:, f], minlength=len(chosen)) for f in range(FACTORS)], 1) + decay * m.factors)
+        slopes = np.empty_like(m.factors)
+        for f in range(FACTORS):
+            slopes[:, f] = np.bincount(term, weights=each * (sums[:, f][text] - m.factors[:, f][term]), minlength=len(chosen))
+        grads = (g.sum(), np.bincount(term, weights=each, minlength=len(chosen)) + decay * m.weight / max(1, len(chosen)), slopes + decay * m.factors)
         for s, d, name in zip(state, grads, ("bias", "weight", "factors"), strict=True):
             s[0] = 0.9 * s[0] + 0.1 * d
             s[1] = 0.99 * s[1] + 0.01 * d**2
@@ -112,9 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary())], names=["label", "terms"])
 
     got = sample(docs, labels, label, most).mapInArrow(run, "label int, terms binary").toPandas().sort_values(["label", "terms"])
-    lists = [np.frombuffer(b, np.int32) for b in got["terms"]]
-    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return fit(text, np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), got["label"].to_numpy(np.float64))
+    return fit_lists([np.frombuffer(b, np.int32) for b in got["terms"]], got["label"].to_numpy(np.float64))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
