@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import discard, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
     labels = keep(labels, "labels")
+    before = labels
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         near = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         after = keep(near.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
-        labels = after.select("node", "label")
+        discard(before)
+        before, labels = after, after.select("node", "label")
         if after.filter("label < old").isEmpty():
+            discard(both)
             return labels

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import attach, keep
+from .scratch import attach, discard, keep
 from .textbytes import as_list, chunks, mix, sets, shingles
 
 #: Words of 64 bits in a set's parity bitmap.
@@ -142,7 +142,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
     one = pairs.join(full.select(F.col("rid").alias("a"), F.col("members").alias("x")), "a")
     two = one.join(full.select(F.col("rid").alias("b"), F.col("members").alias("y")), "b")
-    return keep(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links = keep(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, ids, full)
+    return links
 
 
 def _near(pairs: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:

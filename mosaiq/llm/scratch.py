@@ -28,7 +28,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/mosaiq-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``keep`` returned; only where all that is made from them is written already."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.__dict__["_kept_at"])
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def attach(left: DataFrame, right: DataFrame, on, how: str, right_bytes: float) -> DataFrame:

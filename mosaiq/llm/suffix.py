@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import discard, keep
 from .textbytes import Substrings, as_list, chunks, mix
 
 #: Bytes of the strings, and of the anchors that they are dealt by.
@@ -289,6 +289,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # Written, so that both sides of the join are plain shuffles, which the planner can split where an anchor is hot.
     often = keep(rows.groupBy("anchor").agg(F.sum("n").alias("m")).filter("m > 1").select("anchor"), "often")
     runs = keep(rows.join(often, "anchor", "left_semi"), "runs")
+    discard(rows, often)
     distinct = keep(runs.groupBy("anchor", "content").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "start", "len")).alias("one")).select("anchor", "content", "copies", "one.*"), "contexts")
     of_anchor = distinct.groupBy("anchor").agg(F.sum(F.col("len") + WINDOW - 1).alias("bytes"))
     hot = keep(of_anchor.filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "hot")
@@ -303,6 +304,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     if has_hot:
         marks = marks.union(_hot_marks(contexts.join(hot, "anchor", "left_semi")))
     marks = keep(marks, "marks")
+    discard(distinct, hot, *([contexts] if has_hot else []))
     spans = runs.join(marks, ["anchor", "content"]).select("key", F.transform("begin", lambda x: x + F.col("start")).alias("begin"), F.transform("end", lambda x: x + F.col("start")).alias("end"))
     return spans.groupBy("key").agg(F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("end")).alias("end"))
 
