@@ -203,7 +203,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     hold linked documents. The groups of a shingle's list are expanded into their members. Short lists
     give all their pairs. In a long list, each member meets a hub first, and then only members of
     different components are compared, block by block, until none may link. Sizes and bitmaps drop pairs
-    without loss; the rest is verified by whole sets.
+    without loss; the rest is verified by whole sets, unless other links join the two already.
 
     A document without words has no shingles, links with nothing and is its own component. Rows that
     share a ``doc_id`` are one node. A null ``doc_id`` never stands for a class that has another one.
@@ -227,8 +227,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     direct = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent)).select("a", "b").distinct()
     hub = long_.groupBy("token").agg(F.min_by("rid", F.xxhash64("rid", F.pmod("token", F.lit(4)))).alias("hub"))
     star = long_.join(hub, "token").filter("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
-    edges = _verified(docs, _near(direct.union(star).distinct(), traits, rule), rule)
+    # Each member first meets its smallest partner; pairs within a component need no whole sets afterwards.
+    near = keep(_near(direct.union(star).distinct(), traits, rule), "near")
+    edges = _verified(docs, near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rule)
     labels = components(edges)
+    apart = near.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    rest = _verified(docs, apart, rule)
+    discard(near)
+    if not rest.isEmpty():
+        edges = edges.union(rest)
+        labels = components(edges)
     if not long_.isEmpty():
         lists_now = long_.select("token", "rid")
         for each in (4, None):
