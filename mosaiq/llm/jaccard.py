@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import attach, discard, keep
+from .scratch import attach, discard, keep, release
 from .textbytes import as_list, chunks, mix, sets, shingles
 
 #: Words of 64 bits in a set's parity bitmap.
@@ -126,6 +126,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, many: int, rule: Rule) -> DataFr
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Those of the candidate ``pairs(a, b)`` that link, by their whole sets."""
     pairs = keep(pairs, "pairs")
+    release(docs.sparkSession)
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
     full = keep(_full_sets(docs, ids, ids.count(), rule), "sets")
 
@@ -144,6 +145,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     two = one.join(full.select(F.col("rid").alias("b"), F.col("members").alias("y")), "b")
     links = keep(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     discard(pairs, ids, full)
+    release(docs.sparkSession)
     return links
 
 

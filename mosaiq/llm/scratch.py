@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def discard(*tables: DataFrame) -> None:
 def attach(left: DataFrame, right: DataFrame, on, how: str, right_bytes: float) -> DataFrame:
     """Join with ``right``, which was counted before: broadcast only up to ``BROADCAST_BYTES``, else shuffled."""
     return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of ended jobs now; it does so only after the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
