@@ -25,12 +25,29 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates; repeated rows of it become one."""
-    found = jaccard.jaccard_components(docs, jaccard.Rule(size=5, percent=80))
-    first = keep(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty()
-    return kept if repeated else kept.dropDuplicates(["doc_id"])
+    """Keeps one row of each component of near duplicates, the one with the smallest id.
+
+    Where an id is null or repeated, every row is a node of its own, so that rows without an id and
+    different texts under one id are compared by their texts like all others. Of a component the smallest
+    id stays, then the smallest hash of the text; a row without an id stays only where none has one. Rows
+    without words are nobody's copy: they go only as repeats of a row with the same id and text.
+    """
+    rule = jaccard.Rule(size=5, percent=80)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1 OR doc_id IS NULL").isEmpty():
+        found = jaccard.jaccard_components(docs, rule)
+        first = keep(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "first")
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    # Written, so that a row has the same number wherever it is read.
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), rule)
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"), (F.col("n_shingles") > 0).alias("words"))
+    keyed = rows.select("__row", "doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).join(found, "__row")
+    # A row without words shares a group only with rows of its id and text; null texts hash as "none".
+    alone = F.when(F.col("doc_id").isNull(), F.col("__row").cast("string")).otherwise(F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("sha", F.lit("none"))))
+    group = F.when(F.col("words"), F.col("component").cast("string")).otherwise(alone)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "__row")
+    first = keep(keyed.groupBy("words", group.alias("group")).agg(F.min(order).getField("__row").alias("__row")).select("__row"), "first")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
