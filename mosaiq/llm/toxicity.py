@@ -15,6 +15,8 @@ from .textbytes import PUNCTUATION, Substrings, chunks, words
 
 #: Documents that are learned from at most; hash buckets; terms that the machine may use; factors of a term.
 SAMPLE, BUCKETS, TERMS, FACTORS = 12_000, 1 << 22, 4096, 8
+#: Rows of the smaller class that a term needs to be looked at in pairs; most terms so looked at; the evidence of a pair.
+PAIR_ROWS, PAIR_TERMS, PAIR_Z = 26, 12_288, 5
 #: First bytes of a longer term that are a term of their own.
 STEM = 5
 
@@ -67,12 +69,55 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, **settings) ->
     return fit_lists(np.split(bucket[order], np.searchsorted(text[order], np.arange(1, len(label)))), label, **settings)
 
 
+def pair_terms(lists: list[np.ndarray], label: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of the ``known`` buckets are in a pair that is far more common in one class than its two terms explain.
+
+    ``counts`` has each bucket's rows of class 0 and 1. A pair is expected in class 1 as often as in class
+    0, times what each of its terms differs by itself; it counts beyond three times that or a third of it,
+    by ``PAIR_Z`` standard errors. No pair passes with fewer than ``PAIR_ROWS`` rows in its own class, so
+    that terms rarer than that in the smaller class are left out beforehand; of more than ``PAIR_TERMS``
+    the most common ones are compared.
+    """
+    ones = int(label.sum())
+    zeros = len(label) - ones
+    least = counts[int(ones <= zeros)]
+    vocabulary = np.flatnonzero(least >= PAIR_ROWS)
+    vocabulary = np.sort(vocabulary[np.argsort(-least[vocabulary], kind="stable")[:PAIR_TERMS]])
+    v = len(vocabulary)
+    found = np.zeros(v, bool)
+    if v:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[known[vocabulary]] = np.arange(v)
+        used = [x[x >= 0] for x in (place[terms_] for terms_ in lists)]
+        del place
+        odds = (counts[1, vocabulary] + 0.5) / (ones + 1) / ((counts[0, vocabulary] + 0.5) / (zeros + 1))
+        at_once = max(1, (8 << 20) // v)  # cells of a dense piece, of rows by terms or of terms by terms
+        chunks_ = [r[i : i + at_once] for r in (np.flatnonzero(label == 0), np.flatnonzero(label == 1)) for i in range(0, len(r), at_once)]
+        for low in range(0, v, min(at_once, 1024)):
+            high = min(v, low + min(at_once, 1024))
+            joint = np.zeros((2, high - low, v - low), np.float32)
+            for rows in chunks_:
+                x = np.zeros((len(rows), v - low), np.float32)
+                for k, r in enumerate(rows.tolist()):
+                    x[k, used[r][used[r] >= low] - low] = 1
+                joint[int(label[rows[0]] == 1)] += x[:, : high - low].T @ x
+            b, a = joint
+            scale = (odds[low:high, None] * odds[low:] * (ones / zeros)).astype(np.float32)
+            want = b * scale
+            strong = np.abs(a - want) > PAIR_Z * np.sqrt(np.maximum(a, want) + 1 + scale * scale * (b + 1))
+            strong &= np.maximum((a + 0.5) / (want + 0.5), (want + 0.5) / (a + 0.5)) > 3
+            strong &= np.arange(low, high)[:, None] < np.arange(low, v)
+            found[low:high] |= strong.any(1)
+            found[low:] |= strong.any(0)
+    return vocabulary[found]
+
+
 def fit_lists(lists: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: float = 0.08, decay: float = 2e-4, seed: int = 3) -> Machine:
     """Learns a machine from each document's distinct buckets by Adam on the whole sample.
 
-    Terms that are much rarer in one class than in the other, beyond chance, are used; of these the
-    ``TERMS`` with the most evidence. Others would only measure a text's length or language. Without
-    rows of both classes the score is the share of class 1, or 0.5 without rows.
+    Terms whose odds differ much between the classes, beyond chance, are used, of these the ``TERMS``
+    with the most evidence, and the terms of pairs that differ beyond their terms (``pair_terms``), however
+    equal these are by themselves. Others would only measure a text's length or language. Without rows of both classes the score is the share of class 1, or 0.5 without rows.
     """
     n, ones = len(label), int(label.sum())
     if not ones or ones == n:
@@ -81,13 +126,15 @@ def fit_lists(lists: list[np.ndarray], label: np.ndarray, steps: int = 300, rate
     for terms_, one in zip(lists, (label == 1).astype(int).tolist(), strict=True):
         counts[one, terms_] += 1
     known = np.flatnonzero(counts.any(0))
-    b, a = counts[:, known].astype(np.float64)
-    del counts
+    counts = counts[:, known]
+    b, a = counts.astype(np.float64)
     p, q = (a + 0.5) / (ones + 1), (b + 0.5) / (n - ones + 1)
     z = (p - q) / np.sqrt((a + b + 1) / n * (1 - (a + b) / (n + 1)) * (1 / ones + 1 / (n - ones)))
-    useful = (np.abs(z) > 4) & (np.maximum(p / q, q / p) > 3)
+    odds = p / (1 - p + 1e-9) / (q / (1 - q + 1e-9))
+    useful = (np.abs(z) > 4) & (np.maximum(odds, 1 / odds) > 3)
     chosen = np.flatnonzero(useful)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:TERMS]])
+    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:TERMS]]
+    chosen = np.union1d(chosen, pair_terms(lists, label, known, counts))
     place = np.full(BUCKETS, -1, np.int32)
     place[known[chosen]] = np.arange(len(chosen))
     used = [x[x >= 0] for x in (place[terms_] for terms_ in lists)]

@@ -48,6 +48,32 @@ def test_pairs_of_terms_matter():
     assert p[2] > 0 > max(p[0], p[1])
 
 
+@pytest.mark.parametrize("rate", [0.5, 0.25])
+def test_pairs_of_terms_that_are_equally_common_alone(rate):
+    """Insults 1 and 2 are toxic with their own group, 11 and 12; clean rows hold each term as often, in the other pairs."""
+    rng = np.random.default_rng(5)
+    text, bucket, label = [], [], []
+    for i in range(1600):
+        toxic, one, here = i % 2, int(rng.integers(2)), [20 + int(rng.integers(50))]
+        if rng.random() < 2 * rate:
+            here += [1 + one, 11 + (one if toxic else 1 - one)]
+        text += [i] * len(here)
+        bucket += here
+        label.append(float(toxic))
+    m = toxicity.fit(np.array(text), np.array(bucket), np.array(label))
+    p = m.logits(np.repeat(np.arange(4), 2), np.array([1, 11, 2, 12, 1, 12, 2, 11]), 4)
+    assert min(p[:2]) > 2 and max(p[2:]) < -2
+
+
+def test_a_term_of_many_clean_rows_counts():
+    """Term 1 is in half of the clean rows and in nearly all toxic ones."""
+    rng = np.random.default_rng(6)
+    lists = [np.array([1, 2 + i % 50] if rng.random() < (0.97 if i % 2 else 0.5) else [2 + i % 50]) for i in range(1000)]
+    m = toxicity.fit_lists(lists, np.arange(1000) % 2.0)
+    p = m.logits(np.array([0]), np.array([1]), 2)
+    assert p[0] > 0 > p[1]
+
+
 def test_attention_finds_the_passage():
     rng = np.random.default_rng(1)
     count = np.full(300, 6)
