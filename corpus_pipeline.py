@@ -33,12 +33,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words are nobody's copy: they go only as repeats of a row with the same id and text.
     """
     rule = jaccard.Rule(size=5, percent=80)
-    if docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1 OR doc_id IS NULL").isEmpty():
+    rows, key = jaccard.numbered(docs)
+    if key == "doc_id":
         found = jaccard.jaccard_components(docs, rule)
         first = keep(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "first")
         return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    # Written, so that a row has the same number wherever it is read.
-    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), rule)
     found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"), (F.col("n_shingles") > 0).alias("words"))
     keyed = rows.select("__row", "doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).join(found, "__row")
@@ -57,8 +56,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 8,192 bytes; sources and equal texts don't share one."""
-    return packing.packed(docs, F.octet_length("text"), packing.text_cluster(F.col("text")), SEQUENCE)
+    """Packs the texts into sequences of 8,192 bytes; sources, and texts that are near copies since spans were cut, don't share one."""
+    return packing.packed_apart(docs, F.octet_length("text"), SEQUENCE)
 
 
 STAGES = [("toxicity", toxic), ("quality", good), ("near duplicates", one_of_each), ("repeated spans", without_repeats), ("packing", packed)]

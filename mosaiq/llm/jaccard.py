@@ -240,3 +240,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 labels = components(edges)
     answer = classes.join(labels, classes.rid == labels.node, "left").select("s1", "s2", "n", F.coalesce("label", "rid").alias("component_id"))
     return every.select("doc_id", "n", "s1", "s2").join(answer, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart: ``doc_id`` where no id is null or repeated, else ``__row``, a number."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    # Written, so that a row has the same number wherever it is read.
+    return keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"), "__row"

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import Rule, jaccard_components, numbered
+from .scratch import keep
+
 
 class Bins:
     """Open bins ordered by what is left in them, with bitmaps of their sources and duplicate clusters.
@@ -97,9 +100,32 @@ def packed(docs: DataFrame, size: Column, cluster: Column, capacity: int, shard_
     what the caller measures (bytes, tokens); an empty or null text has one piece of size 0, a null
     source or cluster constrains nothing. ``total`` is the sum of the sizes where the caller has it.
     """
-    measured = docs.select("doc_id", "source", F.coalesce(size.cast("long"), F.lit(0)).alias("size"), cluster.alias("cluster"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("deal"))
+    measured = docs.select("doc_id", *_measures(size), cluster.alias("cluster"))
     if total is None:
         total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return _packed(measured, capacity, shard_bytes, total)
+
+
+def packed_apart(docs: DataFrame, size: Column, capacity: int, rule: Rule = Rule(size=5, percent=80), shard_bytes: int = 48 << 20) -> DataFrame:
+    """``packed`` where the near copies that ``rule`` links, without case, are one cluster; texts without words are in none.
+
+    Each row is a node of the join, also where ids are null or repeated. Texts don't go through the join
+    with the clusters, only what is measured of them.
+    """
+    rows, key = numbered(docs)
+    found = jaccard_components(rows.select(F.col(key).alias("doc_id"), F.lower("text").alias("text")), rule)
+    clusters = found.filter("n_shingles > 0").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("cluster"))
+    measures = keep(rows.select(F.col(key).alias("__key"), "doc_id", *_measures(size)), "measures")
+    total = measures.agg(F.sum("size")).first()[0] or 0
+    return _packed(measures.join(clusters, "__key", "left"), capacity, shard_bytes, total)
+
+
+def _measures(size: Column) -> list[Column]:
+    return [F.col("source"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("deal")]
+
+
+def _packed(measured: DataFrame, capacity: int, shard_bytes: int, total: int) -> DataFrame:
+    """Packs ``measured(doc_id, source, size, deal, cluster)``, whose sizes make ``total``."""
     shards = max(1, -(-total // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,7 @@ def op6_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.packed(docs, F.octet_length("text"), packing.text_cluster(F.col("text")), SEQUENCE)
+    return packing.packed_apart(docs, F.octet_length("text"), SEQUENCE)
 
 
 def op8_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
