@@ -50,6 +50,11 @@ def zip_shortest(*arrays):
     return F.slice(F.arrays_zip(*arrays), F.lit(1), n)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, broadcast where it has at most ``most`` rows, as counted; beyond it joins shuffle, and no row goes."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def distribute(df: DataFrame, values: DataFrame) -> DataFrame:
-    """Every row with every value; the values are a short list of settings."""
-    return df.crossJoin(F.broadcast(values.limit(10_000)))
+    """Every row with every value; the values are broadcast where they are a short list of settings."""
+    return df.crossJoin(small(values, 10_000))

@@ -45,7 +45,7 @@ class Tables:
     def series(self) -> DataFrame:
         """``user_id, t, event_id, value, code`` of events: seconds since the epoch and a code from 0 to 4."""
         codes = self.events.select("event_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
-        return self.events.join(F.broadcast(codes.limit(1000)), "event_type").select("user_id", F.col("ts"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"), "event_id", "value", "event_type", F.col("code").cast("long").alias("code"))
+        return self.events.join(pairing.small(codes, 1000), "event_type").select("user_id", F.col("ts"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"), "event_id", "value", "event_type", F.col("code").cast("long").alias("code"))
 
 
 def query(sql: str | None = None):
@@ -488,7 +488,7 @@ _UNIT = lambda a: f"list_transform({a}, lambda x: x / (list_sum({a}) + 1e-16))"
 
 
 def _paired(t: Tables) -> DataFrame:
-    return t.vectors(True).join(F.broadcast(t.examples().limit(10_000)), F.col("label") == F.col("ex_label"))
+    return t.vectors(True).join(pairing.small(t.examples(), 10_000), F.col("label") == F.col("ex_label"))
 
 
 def _metric_query(name: str, f, sql: str) -> None:
@@ -901,7 +901,7 @@ def cross_modal_scores(t: Tables) -> DataFrame:
 
     m = halves(t.vectors(True), "v", "x", "mod_from")
     e = halves(t.examples(), "ev", "ev", "mod_to")
-    each = m.join(F.broadcast(e.limit(20_000)))
+    each = m.join(pairing.small(e, 20_000))
     near = each.groupBy("mod_from", "mod_to", "i").agg(F.first("label").alias("label"), *(F.min_by("ex_label", F.struct(f(F.col("x"), F.col("ev")), F.col("ex_id"))).alias(n) for n, f in (("frobenius", V.frobenius), ("cosine", V.cosine_diff))))
     return near.groupBy("mod_from", "mod_to").agg(*(r6(F.avg((F.col("label") == F.col(n)).cast("double"))).alias(f"score_{n}") for n in ("frobenius", "cosine")))
 
@@ -915,4 +915,4 @@ def plot_box_stats(t: Tables) -> DataFrame:
 @query("SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b WHERE a.lang <> b.lang")
 def modality_pairs(t: Tables) -> DataFrame:
     m = t.documents.select("lang").distinct()
-    return m.select(F.col("lang").alias("a")).join(F.broadcast(m.select(F.col("lang").alias("b")).limit(1000)), F.col("a") != F.col("b"))
+    return m.select(F.col("lang").alias("a")).join(pairing.small(m.select(F.col("lang").alias("b")), 1000), F.col("a") != F.col("b"))
