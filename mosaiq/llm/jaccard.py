@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -16,13 +17,13 @@ from .textbytes import as_list, chunks, mix, sets, shingles
 
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP = 16
-#: Lists of up to this many members are paired outright; longer ones go by hubs and then by blocks.
-SMALL = 32
-#: Members of a block of a long list, about.
-BLOCK = 256
-#: The most common shingles, which come last in a set's order. Their number bounds the broadcast; it changes the candidates only.
+#: The most common shingles, which come last in a set's order. Their number bounds the broadcast (16 bytes each); it changes the candidates only.
 COMMON = 200_000
-_PRIME = np.uint64(0xD6E8FEB86659FD93)
+#: Sets that a task remembers, so as to describe copies once.
+SEEN = 1 << 20
+#: Orders by which the first group of a list, its hub, is chosen.
+ORDERS = 4
+_PRIME, _OTHER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,32 @@ class Rule:
         return 100 * both >= self.percent * (a + b - both)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        """So many first elements that linked sets share one of them."""
-        return n - -(-n * self.percent // 100) + 1
+        """So many first elements that linked sets share one of them; none for sets that link with equal sets only."""
+        return np.where(n >= self.least, n - -(-n * self.percent // 100) + 1, 0)
 
-    def apart(self, a, b):
+    @property
+    def least(self) -> int:
+        """The smallest size at which one element more or less doesn't part sets."""
+        return next(n for n in range(1, 1000) if self.links(n, n, n + 1) or self.links(n - 1, n, n))
+
+    def overlap(self, a, b):
+        """Linked sets of these sizes share so many elements at least."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def possible(self, a, i, b, j):
+        """Whether sets of sizes a and b may link if their first common element is at places i and j."""
+        return np.minimum(a - i, b - j) >= self.overlap(a, b)
+
+    def overlap_sql(self, a: str, b: str) -> str:
+        return f"(({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent})"
+
+    def apart_sql(self, a: str, b: str) -> str:
         """The largest symmetric difference of linked sets of these sizes."""
-        return (100 - self.percent) * (a + b) // (100 + self.percent)
+        return f"({a} + {b} - 2 * {self.overlap_sql(a, b)})"
+
+    def bucket(self, n: Column) -> Column:
+        """Numbers of sizes such that linked sets are in one or in neighbouring buckets."""
+        return F.floor(F.ln(n.cast("double")) * (0.999 / math.log(100 / self.percent))).cast("int")
 
 
 def common_shingles(docs: DataFrame, rule: Rule, most: int = COMMON) -> np.ndarray:
@@ -74,42 +95,135 @@ def common_shingles(docs: DataFrame, rule: Rule, most: int = COMMON) -> np.ndarr
     return top["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
-SETS = "n long, s1 long, s2 long, prefix array<long>, bitmap array<long>"
+class Order:
+    """The order of a set's elements: by hash, and after these the common ones, the most common last."""
+
+    def __init__(self, common: np.ndarray):
+        by = np.argsort(common)
+        self.known, self.place = common[by], by + 1
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(common >> np.uint64(42)).astype(np.int64)] = True
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        """0 for elements that aren't common."""
+        rank = np.zeros(len(h), np.int64)
+        spot = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
+        if len(spot):
+            at = np.minimum(np.searchsorted(self.known, h[spot]), len(self.known) - 1)
+            rank[spot] = np.where(self.known[at] == h[spot], self.place[at], 0)
+        return rank
+
+    def places(self, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Each element's place in its set, from 0; ``h`` has set after set by hash, ``n`` their sizes."""
+        text = np.repeat(np.arange(len(n)), n)
+        rank = self.rank(h)
+        plain = rank == 0
+        upto = np.concatenate([[0], np.cumsum(plain)])
+        first = np.cumsum(n) - n
+        place = upto[:-1] - np.repeat(upto[first], n)
+        late = np.flatnonzero(~plain)
+        late = late[np.lexsort((rank[late], text[late]))]
+        many = np.bincount(text[late], minlength=len(n))
+        nth = np.arange(len(late)) - np.repeat(np.cumsum(many) - many, many)
+        place[late] = (n - many)[text[late]] + nth
+        return place
+
+
+SETS = "n long, s1 long, s2 long, g long, prefix array<long>, bitmap array<long>"
 
 
 def shingle_sets(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """For each document its set's size, a 128-bit signature, its prefix under the common order, and a parity bitmap."""
-    by = np.argsort(common)
-    known, place = common[by], by + 1
-    held = docs.sparkSession.sparkContext.broadcast((known, place))
+    """For each document its set's size, a 128-bit signature, the key of its group (size and prefix), its prefix and a parity bitmap.
+
+    Prefix and bitmap are null where the task has described an equal set already, and where ``doc_id`` is null.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = held.value
+        order, seen = Order(held.value), set()
         for batch, at, data in chunks(batches):
             count = len(at) - 1
-            text, h = shingles(at, data, rule.size)
-            rank = np.zeros(len(h), np.int64)
-            if len(known) and len(h):
-                spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                rank = np.where(known[spot] == h, place[spot], 0)
-            n, h = sets(text, h, count, rank)
-            text = np.repeat(np.arange(count), n)
-            first = np.cumsum(n) - n
-            s1, s2 = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-            bits = np.zeros((count, BITMAP * 64), np.uint8)
+            n, h = sets(*shingles(at, data, rule.size), count)
+            text, first = np.repeat(np.arange(count), n), np.cumsum(n) - n
+            s1, s2, g = np.zeros(count, np.uint64), np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+            p = np.where(n > 0, rule.prefix(n), 0)
+            start = np.cumsum(p) - p
+            prefix = np.zeros(int(p.sum()), np.uint64)
             if len(h):
                 full = np.flatnonzero(n)
                 s1[full] = np.add.reduceat(mix(h), first[full])
                 s2[full] = np.add.reduceat(mix(h * _PRIME), first[full])
-                bits = (np.bincount(text * (BITMAP * 64) + (h >> np.uint64(54)).astype(np.int64), minlength=count * BITMAP * 64) & 1).astype(np.uint8).reshape(count, -1)
-            p = np.where(n > 0, rule.prefix(n), 0)
-            head = np.arange(len(h)) - np.repeat(first, n) < np.repeat(p, n)
-            cols = [batch.column("doc_id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), as_list(p, h[head].view(np.int64)), as_list(np.full(count, BITMAP), np.packbits(bits, axis=1).view(np.int64).ravel())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "s1", "s2", "prefix", "bitmap"])
+                place = order.places(n, h)
+                early = np.flatnonzero(place < np.repeat(p, n))
+                prefix[start[text[early]] + place[early]] = h[early]
+                some = np.flatnonzero(p)
+                if len(some):
+                    g[some] = np.add.reduceat(mix(prefix * _OTHER), start[some])
+                g = mix(g + n.astype(np.uint64))
+            if len(seen) > SEEN:
+                seen.clear()
+            new = np.zeros(count, bool)
+            for i, known in enumerate(zip(s1.tolist(), s2.tolist(), batch.column("doc_id").is_valid().to_pylist(), strict=True)):
+                if known[2] and n[i] and known not in seen:
+                    seen.add(known)
+                    new[i] = True
+            odd = text[np.repeat(new, n)] * (BITMAP * 64) + (h[np.repeat(new, n)] >> np.uint64(54)).astype(np.int64)
+            bits = (np.bincount(odd, minlength=count * BITMAP * 64) & 1).astype(np.uint8).reshape(count, -1)[new]
+            prefixes = as_list(p[new], prefix[np.repeat(new, p)].view(np.int64))
+            bitmaps = as_list(np.full(int(new.sum()), BITMAP), np.packbits(bits, axis=1).view(np.int64).ravel())
+            at_row = pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~new)
+            cols = [batch.column("doc_id"), pa.array(n), *(pa.array(x.view(np.int64)) for x in (s1, s2, g))]
+            cols += [x.take(at_row) for x in (prefixes, bitmaps)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "s1", "s2", "g", "prefix", "bitmap"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {SETS}")
 
 
+def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
+    """``token, g, n, pos, hub, back``: the groups of each prefix element that several groups have.
+
+    A list is sorted by size bucket; the first group of a bucket is its hub. ``hub`` is the bucket's hub
+    and ``back`` that of the bucket before, where the sizes and places let the two link. The rows of a
+    token pass one by one with three rows held, whatever a list's length.
+    """
+    entries = described.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n").cast("int").alias("n"))
+    by = F.shiftleft(rule.bucket(F.col("n")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 12))
+    entries = entries.repartition("token").select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("token", "by")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, by, g, n, pos = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept[:5]))
+            done = np.concatenate([kept[5], np.zeros(batch.num_rows, bool)])
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
+            token, by, g, n, pos, done = (x[new] for x in (token, by, g, n, pos, done))
+            b, n, pos = by >> 52, n.astype(np.int64), pos.astype(np.int64)
+            first, opens = np.ones(len(token), bool), np.ones(len(token), bool)
+            first[1:] = token[1:] != token[:-1]
+            opens[1:] = first[1:] | (b[1:] != b[:-1])
+            begins = np.flatnonzero(opens)
+            nth = np.cumsum(opens) - 1
+            hub = begins[nth]
+            # The hub of the bucket before, if it is a neighbour in the same list; else the row itself.
+            ahead = begins[np.maximum(np.arange(len(begins)) - 1, 0)]
+            ahead = np.where((token[ahead] == token[begins]) & (b[ahead] == b[begins] - 1), ahead, begins)
+            back = np.where(ahead[nth] == hub, np.arange(len(token)), ahead[nth])
+            of = np.cumsum(first) - 1
+            several = np.bincount(of)[of] > 1
+            out = several & ~done
+            ends = [pa.array(g[x], mask=(x == np.arange(len(token))) | ~rule.possible(n, pos, n[x], pos[x])).filter(pa.array(out)) for x in (hub, back)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(g[out]), pa.array(n[out]), pa.array(pos[out].astype(np.int32)), *ends], names=["token", "g", "n", "pos", "hub", "back"])
+            last = len(token) - 1
+            before = begins[nth[last] - 1] if nth[last] and token[begins[nth[last] - 1]] == token[last] else last
+            hold = sorted({int(before), int(hub[last]), last})
+            kept = [token[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold]]
+
+    return entries.mapInArrow(run, "token long, g long, n long, pos int, hub long, back long")
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, many: int, rule: Rule) -> DataFrame:
     """``rid, members`` for the wanted documents: their sorted shingle hashes as bytes."""
 
@@ -123,12 +237,25 @@ def _full_sets(docs: DataFrame, ids: DataFrame, many: int, rule: Rule) -> DataFr
     return wanted.mapInArrow(run, "rid long, members binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the candidate ``pairs(a, b)`` that link, by their whole sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the candidate ``pairs(a, b)`` that link, by their whole sets.
+
+    Sizes, parity bitmaps and the number of common elements in the prefixes first drop, without loss,
+    pairs that can't link. Linked sets share so many elements that, without those behind the longer
+    rest of the two, some are left that both prefixes must have in common.
+    """
+    traits = described.filter("prefix IS NOT NULL").select("doc_id", "n", "prefix", "bitmap")
     pairs = keep(pairs, "pairs")
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    traits = keep(attach(traits, ids, "doc_id", "left_semi", 16.0 * ids.count()), "traits")
+    a, b = (traits.select(F.col("doc_id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "prefix", "bitmap"))) for x in "ab")
+    common = f"size(array_intersect(prefixa, prefixb)) >= {rule.overlap_sql('na', 'nb')} - greatest(na - size(prefixa), nb - size(prefixb))"
+    near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)").filter(_unlike("bitmapa", "bitmapb") <= F.expr(rule.apart_sql("na", "nb"))).filter(common)
+    near = keep(near.select("a", "b"), "near")
+    wanted = keep(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
+    full = keep(_full_sets(docs, wanted, wanted.count(), rule), "sets")
+    discard(pairs, ids, traits)
     release(docs.sparkSession)
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
-    full = keep(_full_sets(docs, ids, ids.count(), rule), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,106 +266,96 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 good.append(rule.links(both, len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(full.select(F.col("rid").alias("a"), F.col("members").alias("x")), "a")
+    one = near.join(full.select(F.col("rid").alias("a"), F.col("members").alias("x")), "a")
     two = one.join(full.select(F.col("rid").alias("b"), F.col("members").alias("y")), "b")
     links = keep(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    discard(pairs, ids, full)
+    discard(near, wanted, full)
     release(docs.sparkSession)
     return links
 
 
-def _near(pairs: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
-    """Drops pairs whose sizes or parity bitmaps prove that too many elements differ."""
-    a = traits.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-    b = traits.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("na") + F.col("nb")
-    return pairs.join(a, "a").join(b, "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent) & (differ * (100 + rule.percent) <= total * (100 - rule.percent))).select("a", "b").distinct()
+def _unlike(a: str, b: str) -> Column:
+    """The bits in which two parity bitmaps differ; the sets differ in as many elements at least."""
+    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITMAP)))
 
 
-def _block_pairs(long_lists: DataFrame, traits: DataFrame, labels: DataFrame, rule: Rule, each: int | None) -> DataFrame:
-    """Possible links between different components within long lists, found block against block.
+def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b, ca, cb, d``: pairs of different components ca and cb that may link, and the bits d in which they differ.
 
-    A block has about ``BLOCK`` members whatever the list's length, and a task compares two blocks. With
-    ``each``, a pair of blocks gives so many pairs at most for two components, those that differ least.
+    Lists and groups whose members are of one component have none. The others' groups are expanded into
+    their members, and those outside a list's largest component meet the rest of the list; only pairs
+    that pass by size, place and bitmap leave the join.
     """
-    m = long_lists.join(labels, long_lists.rid == labels.node, "left").select("token", "rid", F.coalesce("label", "rid").alias("comp"))
-    open_lists = m.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low < high").select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    m = m.join(open_lists, "token").join(traits.select("rid", "n", "bitmap"), "rid")
-    blocks = m.groupBy("token", F.pmod(F.xxhash64("rid"), "blocks").alias("block")).agg(F.collect_list(F.struct("rid", "n", "comp", "bitmap")).alias("members"))
-    blocks = keep(blocks, "blocks")
-    one, two = blocks.select("token", F.col("block").alias("i"), F.col("members").alias("x")), blocks.select("token", F.col("block").alias("j"), F.col("members").alias("y"))
-
-    def read(column: pa.ListScalar) -> tuple[np.ndarray, ...]:
-        v = column.values
-        return *(v.field(k).to_numpy(zero_copy_only=False) for k in range(3)), np.asarray(v.field(3).flatten()).reshape(-1, BITMAP)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                (rx, nx, cx, bx), (ry, ny, cy, by) = read(x), read(y)
-                out = []
-                for i in range(len(rx)):
-                    fits = np.flatnonzero((cy != cx[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * rule.percent))
-                    d = np.bitwise_count((by[fits] ^ bx[i]).view(np.uint64)).sum(1)
-                    near = d <= rule.apart(ny[fits], nx[i])
-                    out += [(d, min(rx[i], r), max(rx[i], r), min(cx[i], c), max(cx[i], c)) for d, r, c in zip(d[near], ry[fits[near]], cy[fits[near]], strict=True)]
-                if each is not None:
-                    kept: dict[tuple, int] = {}
-                    ranked, out = sorted(out), []
-                    for t in ranked:
-                        if kept.setdefault(t[3:], 0) < each:
-                            kept[t[3:]] += 1
-                            out.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array([t[1] for t in out], pa.int64()), pa.array([t[2] for t in out], pa.int64())], names=["a", "b"])
-
-    return one.join(two, "token").filter("i <= j").select("x", "y").mapInArrow(run, "a long, b long").distinct()
+    m = members.join(labels, members.rid == labels.node, "left").select("g", "rid", "n", F.coalesce("label", "rid").alias("comp"))
+    of_group = m.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
+    listed = lists.select("token", "g", "pos").join(of_group, "g")
+    mixed = listed.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("groups"), F.max("m").alias("m")).filter("low < high AND (groups > 2 OR m > 1)").select("token")
+    rows = listed.join(mixed, "token", "left_semi").select("token", "g", "pos")
+    rows = rows.union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos")))
+    bitmaps = described.filter("prefix IS NOT NULL").select(F.col("doc_id").alias("rid"), "bitmap")
+    rows = rows.join(m, "g").select("token", "rid", "n", "pos", "comp")
+    largest = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).getField("comp").alias("largest"))
+    rows = keep(rows.join(largest, "token").join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", (F.col("comp") != F.col("largest")).alias("outer"), "bitmap"), "mixed")
+    x, y = (rows.select(F.col("token").alias("t" + k), *(F.col(c).alias(c + k) for c in ("rid", "n", "pos", "comp", "outer", "bitmap"))) for k in "xy")
+    may = F.expr(f"compx <> compy AND (ridx < ridy OR NOT outery) AND least(nx - posx, ny - posy) >= {rule.overlap_sql('nx', 'ny')}")
+    d = _unlike("bitmapx", "bitmapy")
+    near = x.filter("outerx").join(y, (F.col("tx") == F.col("ty")) & may & (d <= F.expr(rule.apart_sql("nx", "ny"))))
+    low = F.col("ridx") < F.col("ridy")
+    comps = (F.when(low, F.col(p)).otherwise(F.col(q)) for p, q in (("compx", "compy"), ("compy", "compx")))
+    near = near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), next(comps).alias("ca"), next(comps).alias("cb"), d.alias("d"))
+    near = keep(near.distinct(), "left")
+    discard(rows)
+    return near
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
 
-    Documents of equal sets share a class, whose smallest ``doc_id`` stands for it. Classes of equal size
-    and prefix are one group; a prefix has a set's rarest shingles, so that groups that share none can't
-    hold linked documents. The groups of a shingle's list are expanded into their members. Short lists
-    give all their pairs. In a long list, each member meets a hub first, and then only members of
-    different components are compared, block by block, until none may link. Sizes and bitmaps drop pairs
-    without loss; the rest is verified by whole sets.
+    Documents of equal sets share a class; classes of equal size and prefix are one group. A prefix has a
+    set's rarest shingles, so that groups that share none can't hold linked documents. In the list of
+    groups that share one, each is paired with the first group of its size bucket and of the bucket
+    before, and within a group each class with the first one: pairs that grow with the lists, not with
+    their squares. They are filtered by size, by the places of the shared element, by bitmaps and by
+    common elements of the prefixes, expanded and verified by whole sets. Then only pairs of different
+    components are left: the closest of each two components are verified first, and what remains after.
 
     A document without words has no shingles, links with nothing and is its own component. Rows that
     share a ``doc_id`` are one node. A null ``doc_id`` never stands for a class that has another one.
     """
     docs = docs.select("doc_id", "text")
     every = keep(shingle_sets(docs, rule, common_shingles(docs, rule)), "shingled")
-    classes = keep(every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.count("*").alias("copies")), "classes")
-    members = classes.filter("rid IS NOT NULL").withColumn("group", F.struct("n", F.xxhash64("prefix"), F.xxhash64(F.reverse("prefix"))))
-    traits = classes.select("rid", "n", "bitmap")
-    groups = members.groupBy("group").agg(F.min("rid").alias("gid"), F.count("*").alias("m"), F.min(F.struct("rid", "prefix")).alias("head"))
-    groups = keep(groups.select("group", "gid", "m", F.col("head.prefix").alias("prefix")), "groups")
-    # Sets so small that one element more or less parts them link with equal sets only.
-    least = next(n for n in range(1, 1000) if rule.links(n, n, n + 1) or rule.links(n - 1, n, n))
-    entries = groups.filter(F.col("group.n") >= least).select(F.explode("prefix").alias("token"), "gid", "m")
-    lists = entries.groupBy("token").agg(F.sum("m").alias("size")).filter("size > 1")
-    of_group = members.select("group", "rid", "n").join(groups.select("group", "gid"), "group").select("gid", "rid", "n")
-    shared = keep(entries.select("token", "gid").join(lists, "token").join(of_group, "gid").select("token", "size", "rid", "n"), "shared")
-
-    short, long_ = shared.filter(F.col("size") <= SMALL), shared.filter(F.col("size") > SMALL)
-    x, y = short.select("token", F.col("rid").alias("a"), F.col("n").alias("na")), short.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    direct = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent)).select("a", "b").distinct()
-    hub = long_.groupBy("token").agg(F.min_by("rid", F.xxhash64("rid", F.pmod("token", F.lit(4)))).alias("hub"))
-    star = long_.join(hub, "token").filter("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
-    edges = _verified(docs, _near(direct.union(star).distinct(), traits, rule), rule)
+    carrier = F.when(F.col("prefix").isNotNull(), F.col("doc_id"))
+    classes = keep(every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(carrier).alias("rid"), F.min("doc_id").alias("low"), F.first("g").alias("g")), "classes")
+    members = classes.filter(F.col("rid").isNotNull() & (F.col("n") >= rule.least)).select("g", "rid", "n")
+    lists = keep(shared_lists(every, rule), "lists")
+    release(docs.sparkSession)
+
+    heads = keep(members.groupBy("g").agg(F.min("rid").alias("head"), F.count("*").alias("m")), "heads")
+    spokes = lists.select("g", F.explode(F.array("hub", "back")).alias("h")).filter("h IS NOT NULL").select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    between = spokes.join(heads.select("g", F.col("head").alias("a")), "g").join(heads.select(F.col("g").alias("h"), F.col("head").alias("b")), "h").select("a", "b")
+    within = members.join(heads.filter("m > 1"), "g").filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b"))
+    tested = keep(between.union(within).filter("a <> b"), "tested")
+    edges = _verified(docs, tested, every, rule)
     labels = components(edges)
-    if not long_.isEmpty():
-        lists_now = long_.select("token", "rid")
-        for each in (4, None):
-            more = _verified(docs, _block_pairs(lists_now, traits, labels, rule, each), rule)
-            if not more.isEmpty():
-                edges = edges.union(more)
-                labels = components(edges)
-    answer = classes.join(labels, classes.rid == labels.node, "left").select("s1", "s2", "n", F.coalesce("label", "rid").alias("component_id"))
+    left = _pairs_left(lists, members, labels, every, rule).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = keep(left, "untested")
+    discard(lists, heads, tested)
+    if not left.isEmpty():
+        first = keep(left.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"), "first")
+        more = _verified(docs, first, every, rule)
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+        rest = left.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        rest = _verified(docs, rest, every, rule)
+        if not rest.isEmpty():
+            labels = components(edges.union(rest))
+    found = classes.join(labels, classes.rid == labels.node, "left").select("s1", "s2", "n", "low", F.coalesce("label", "rid").alias("comp"))
+    lowest = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("lowest"))
+    answer = keep(found.join(lowest, "comp", "left").select("s1", "s2", "n", F.coalesce("lowest", "low").alias("component_id")), "answer")
     return every.select("doc_id", "n", "s1", "s2").join(answer, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -98,10 +98,12 @@ def shingles(at: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
     return text, mix(out)
 
 
-def sets(text: np.ndarray, h: np.ndarray, n: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the n texts' sets and their distinct hashes, text by text in the order (rank, hash)."""
-    order = np.lexsort((h, text) if rank is None else (h, rank, text))
-    text, h = text[order], h[order]
+def sets(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the n texts' sets and their distinct hashes, text by text in order; ``text`` ascends."""
+    ends = np.searchsorted(text, np.arange(n + 1)).tolist()
+    h = h.copy()
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        h[low:high].sort()
     new = np.ones(len(h), bool)
     new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
     return np.bincount(text[new], minlength=n), h[new]
