@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -276,9 +276,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, described: DataFrame, rule: Rul
     return links
 
 
-def _unlike(a: str, b: str) -> Column:
+def _unlike(a: str, b: str, words: int = BITMAP) -> Column:
     """The bits in which two parity bitmaps differ; the sets differ in as many elements at least."""
-    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITMAP)))
+    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(words)))
 
 
 def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
@@ -289,24 +289,25 @@ def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describ
     that pass by size, place and bitmap leave the join.
     """
     m = members.join(labels, members.rid == labels.node, "left").select("g", "rid", "n", F.coalesce("label", "rid").alias("comp"))
-    of_group = m.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
-    listed = lists.select("token", "g", "pos").join(of_group, "g")
-    mixed = listed.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("groups"), F.max("m").alias("m")).filter("low < high AND (groups > 2 OR m > 1)").select("token")
-    rows = listed.join(mixed, "token", "left_semi").select("token", "g", "pos")
-    rows = rows.union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos")))
-    bitmaps = described.filter("prefix IS NOT NULL").select(F.col("doc_id").alias("rid"), "bitmap")
-    rows = rows.join(m, "g").select("token", "rid", "n", "pos", "comp")
+    of_group = m.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rid").alias("rid"), F.count("*").alias("m"))
+    of_token = Window.partitionBy("token")
+    listed = lists.select("token", "g", "n", "pos").join(of_group, "g").select("*", *(f.over(of_token).alias(x) for x, f in (("from", F.min("low")), ("to", F.max("high")), ("groups", F.count("*")), ("most", F.max("m")))))
+    listed = keep(listed.filter("from < to AND (groups > 2 OR most > 1)").select("token", "g", "m", "rid", "n", "pos", F.col("low").alias("comp")), "listed")
+    several = listed.filter("m > 1").select("token", "g", "pos").union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos")))
+    rows = listed.filter("m = 1").select("token", "rid", "n", "pos", "comp").union(several.join(m, "g").select("token", "rid", "n", "pos", "comp"))
+    half = BITMAP // 2  # a bitmap whose halves are laid on each other is a parity bitmap too
+    bitmaps = described.filter("prefix IS NOT NULL").select(F.col("doc_id").alias("rid"), F.expr(f"zip_with(slice(bitmap, 1, {half}), slice(bitmap, {half + 1}, {half}), (x, y) -> x ^ y)").alias("bitmap"))
     largest = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).getField("comp").alias("largest"))
     rows = keep(rows.join(largest, "token").join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", (F.col("comp") != F.col("largest")).alias("outer"), "bitmap"), "mixed")
     x, y = (rows.select(F.col("token").alias("t" + k), *(F.col(c).alias(c + k) for c in ("rid", "n", "pos", "comp", "outer", "bitmap"))) for k in "xy")
     may = F.expr(f"compx <> compy AND (ridx < ridy OR NOT outery) AND least(nx - posx, ny - posy) >= {rule.overlap_sql('nx', 'ny')}")
-    d = _unlike("bitmapx", "bitmapy")
+    d = _unlike("bitmapx", "bitmapy", half)
     near = x.filter("outerx").join(y, (F.col("tx") == F.col("ty")) & may & (d <= F.expr(rule.apart_sql("nx", "ny"))))
     low = F.col("ridx") < F.col("ridy")
     comps = (F.when(low, F.col(p)).otherwise(F.col(q)) for p, q in (("compx", "compy"), ("compy", "compx")))
     near = near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), next(comps).alias("ca"), next(comps).alias("cb"), d.alias("d"))
     near = keep(near.distinct(), "left")
-    discard(rows)
+    discard(rows, listed)
     return near
 
 
