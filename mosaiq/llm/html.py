@@ -18,7 +18,11 @@ CLOSED_BY = {"p": BLOCK - {"option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"
 # Fixed values of this extractor: what is never main text.
 NEVER = frozenset("nav footer aside form button select menu dialog search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|topbar|header|masthead|footer|side-?bar|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|newsletter|subscribe\w*|signup|login|share\w*|social|related|recommend\w*|comments?|comment\w*|repl(?:y|ies)|respond|disqus)(?:$|[\s_-])", re.I)
+# Parts of class names and ids: always left out; left out unless most of the page is inside; what marks a name as a state; what marks it as content.
+ALWAYS = re.compile(r"ads?|advert\w*|sponsor\w*|breadcrumbs?|cookies?|consent|gdpr|alerts?|pop-?up|modal|newsletter|subscribe\w*|signup|login|share\w*|sharing|social|related|recommend\w*|comment\w*|repl(?:y|ies)|respond|disqus")
+LAYOUT = re.compile(r"banners?|promo\w*|nav\w*|menus?|topbar|header|masthead|footer|side-?bar|notices?")
+STATE = frozenset("no has with without is not non hide show open opened closed free less enabled disabled active visible hidden layout".split())
+CONTENT = frozenset("content article post entry story main body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -26,33 +30,61 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "inline", "inline_links", "density", "total", "peak", "layout")
 
-    def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up = tag, up
+    def __init__(self, tag: str, up: Node | None, layout: bool = False):
+        self.tag, self.up, self.layout = tag, up, layout
+        self.inline = self.inline_links = 0
+        self.peak: Node = self
         self.parts: list[Node | tuple[str, bool]] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attrs: str, article: bool) -> bool:
+def _named(value: str) -> str | None:
+    """What a class or an id says of its element: always left out, part of the page's layout, or nothing.
+
+    Each name is judged by its parts. ``no-sidebar`` or ``nav-open`` are states of a wrapper, and
+    ``entry-header`` belongs to the content; beside ``content`` or ``post``, layout names say nothing.
+    """
+    said = None
+    names = value.lower().split()
+    content = any(name in CONTENT for name in names)
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if not STATE.isdisjoint(parts):
+            continue
+        parts.append(re.sub(r"[-_]+", "", name))
+        if any(map(ALWAYS.fullmatch, parts)):
+            return "always"
+        found = {p for p in parts if LAYOUT.fullmatch(p)}
+        if found and not content and not (found == {"header"} and not CONTENT.isdisjoint(parts)):
+            said = "layout"
+    return said
+
+
+def _left_out(tag: str, attrs: str, article: bool) -> str | None:
     if tag in NEVER or tag == "header" and not article:
-        return True
+        return "always"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return None
+    said = None
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMED.search(value):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return "always"
+        if name in ("class", "id"):
+            said = "always" if said == "always" else _named(value) or said
+    if said and tag not in BLOCK:
+        # Inside a sentence only an advert is no part of it.
+        return "always" if re.search(r"(?:^|[\s\"'=_-])(?:ads?|advert\w*|sponsor\w*)(?:$|[\s\"'_-])", attrs, re.I) else None
+    return said
 
 
 def parse(html: str) -> Node:
     """The tree of blocks, with text and link text in order; what is never main text isn't in it.
 
-    Inline elements are part of the block around them, and count as tags of it only as links.
+    Inline elements are part of the block around them and count as tags of it.
     """
     root = Node("html", None)
     now, links, skip, articles = root, 0, [], 0
@@ -97,10 +129,13 @@ def parse(html: str) -> Node:
                 text(" " if tag == "br" else "")
             elif tag == "a":
                 links = max(0, links + (-1 if closing else 1))
-                if not closing:
-                    now.link_tags += 1
-            elif not closing and tag not in VOID and _left_out(tag, attrs, articles > 0):
-                open_.append(tag)
+                now.inline += not closing
+                now.inline_links += not closing
+            elif not closing and tag not in VOID:
+                if _left_out(tag, attrs, articles > 0):
+                    open_.append(tag)
+                else:
+                    now.inline += 1
             continue
         if closing:
             x = now
@@ -122,17 +157,18 @@ def parse(html: str) -> Node:
             if tag in CLOSED_BY[x.tag]:
                 now = x.up
             x = x.up
-        if _left_out(tag, attrs, articles > 0):
+        said = _left_out(tag, attrs, articles > 0)
+        if said == "always":
             if tag not in VOID:
                 open_.append(tag)
             continue
         links = 0
-        node = Node(tag, now)
+        node = Node(tag, now, said == "layout")
         now.parts.append(node)
         if tag not in VOID:
             now = node
             articles += tag in ("article", "main")
-    return root
+    return _pruned(root)
 
 
 def _measure(root: Node) -> list[Node]:
@@ -141,6 +177,7 @@ def _measure(root: Node) -> list[Node]:
     for x in order:
         order += [p for p in x.parts if isinstance(p, Node)]
     for x in reversed(order):
+        x.chars, x.link_chars, x.tags, x.link_tags = 0, 0, x.inline, x.inline_links
         for p in x.parts:
             if isinstance(p, Node):
                 x.chars += p.chars
@@ -154,11 +191,21 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _pruned(root: Node) -> Node:
+    """The tree without the nodes that are layout by name, but for those that hold most of the page's text."""
+    layout = [x for x in _measure(root) if x.layout and x.chars * 2 <= root.chars]
+    for x in layout:
+        x.up.parts = [p for p in x.up.parts if p is not x]
+    return root
+
+
 def main_node(root: Node) -> tuple[Node | None, float]:
     """The node with the largest sum of its children's composite densities, and the least density on its path to the body.
 
     A node's composite density is its characters per tag, times a logarithm that falls as links make up
-    more of its characters and tags than of the page's. Direct text counts as a child. The outermost of equal sums wins.
+    more of its characters and tags; the logarithm's base grows with the node's link text and with the
+    page's share of it, and is 2 at least (nearer to 1 it would rate short nodes above all others).
+    Direct text counts as a child. The outermost of equal sums wins.
     """
     order = _measure(root)
     share = (root.link_chars + 1) / (root.chars + 1)
@@ -166,19 +213,41 @@ def main_node(root: Node) -> tuple[Node | None, float]:
         if x.chars:
             tags, link_chars, link_tags = x.tags or 1, x.link_chars or 1, x.link_tags or 1
             base = math.log(x.chars / max(1, x.chars - x.link_chars) * x.link_chars + share * x.chars + math.e)
-            x.density = x.chars / tags * max(0.0, math.log(max(x.chars / link_chars * tags / link_tags, 1.0) + math.e - 1)) / base
+            ratio = max(x.chars / link_chars * tags / link_tags, 1.0)
+            x.density = x.chars / tags * math.log(ratio + math.e - 1) / math.log(max(2.0, base))
     best = None
-    for x in order:
+    for x in reversed(order):
         own = sum(len("".join(p[0].split())) for p in x.parts if not isinstance(p, Node))
         x.total = sum(p.density for p in x.parts if isinstance(p, Node)) + (x.density if own * 2 > x.chars else 0)
-        if x.chars and (best is None or x.total > best.total * (1 + 1e-9)):
-            best = x
+        x.peak = x
+        for p in x.parts:
+            if isinstance(p, Node) and p.peak.total > x.peak.total * (1 + 1e-9):
+                x.peak = p.peak
+    best = root.peak if root.chars else None
     least, x = math.inf, best
     while x is not None and x.tag != "html":
         least, x = min(least, x.density), x.up
     return best, least
 
 
+def _selected(top: Node, least: float) -> list[Node]:
+    """The subtree of the largest sum in each node that is as dense as the threshold, outermost ones in page order."""
+    chosen, order, stack = set(), [], [top]
+    while stack:
+        x = stack.pop()
+        if x.chars and x.density >= least:
+            chosen.add(id(x.peak))
+        stack += [p for p in x.parts if isinstance(p, Node)]
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        if id(x) in chosen:
+            order.append(x)
+        else:
+            stack += [p for p in reversed(x.parts) if isinstance(p, Node)]
+    return order
+
+
 def _blocks(node: Node) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -208,20 +277,30 @@ def main_text(html: str) -> str:
     """The main text of a page: its blocks in page order, one a line; empty if there is none.
 
     The node of ``main_node`` gives the text; an ancestor takes its place while what the ancestor adds
-    is a heading or is as dense as the path's least dense node. An article that holds the node is whole.
+    is a heading or is as dense as the threshold, the least density on the path to the body. An article
+    that holds the node is whole, and then the page's text is in it; without one, the subtrees of the
+    largest sum in all nodes that are as dense as the threshold belong to it too.
     """
     if not html:
         return ""
-    best, least = main_node(parse(html))
+    root = parse(html)
+    best, least = main_node(root)
     if best is None:
         return ""
-    x, up = best, best.up
+    x, up, article = best, best.up, best.tag in ("article", "main")
     while up is not None and up.tag != "html":
         others = [p for p in up.parts if isinstance(p, Node) and p is not x and p.chars]
+        article = article or up.tag in ("article", "main")
         if up.tag in ("article", "main") or others and all(p.tag in ("h1", "h2", "h3", "hgroup", "header") or p.density >= least for p in others):
             best = up
         x, up = up, up.up
-    return "\n".join(_blocks(best))
+    if article:
+        return "\n".join(_blocks(best))
+    best.peak = best
+    x = best.up
+    while x is not None:  # what was widened stays whole
+        x.peak, x = best, x.up
+    return "\n".join(line for node in _selected(root, least) for line in _blocks(node))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
