@@ -20,30 +20,34 @@ _KINDS = [range(97, 123), range(65, 91), range(48, 58), range(128, 256), b" \t\r
 _KIND = np.zeros(256, np.int64)
 for _k, _bytes in enumerate(_KINDS):
     _KIND[list(_bytes)] = _k + 1
-FEATURES = len(_KINDS) + 1 + 9
+#: Buckets of hashed words.
+LEXICAL = 32
+FEATURES = len(_KINDS) + 1 + 9 + LEXICAL
 
 
 def passages(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Passages in each text and their features; a passage has ``PASSAGE`` words, a text's last one fewer.
 
-    A text without words has one passage of zeros. Features are shares of kinds of bytes, the length of
-    words, repeats of words next to each other and in the passage, words in upper case, and words that end with marks.
+    Features are shares of kinds of bytes, the length of words, repeats of words next to each other and in
+    the passage, words in upper case, words that end with marks, and signed shares of hashed words. White
+    space before a text's first word counts in its first passage; a text without words has one passage,
+    of its white space, and an empty one a passage of zeros. What a passage gets depends on its own text only.
     """
     start, end, per = words(at, data)
     count = np.maximum(1, -(-per // PASSAGE))
     first = np.cumsum(count) - count
     n = int(count.sum())
     x = np.zeros((n, FEATURES))
-    if not len(start):
-        return count, x
     text = np.repeat(np.arange(len(per)), per)
     nth = np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per)
     of = first[text] + nth // PASSAGE
     kinds = len(_KINDS) + 1
-    # A byte is in the passage of the last word that starts at or before it.
-    lead = np.zeros(len(data) + 1, np.int64)
+    # A byte is in the passage of the last word of its own text that starts at or before it, else in the text's first.
+    lead = np.zeros(len(data), np.int64)
     lead[start] = 1
-    owner = of[np.maximum(np.cumsum(lead[:-1]) - 1, 0)]
+    owner = np.repeat(first, np.diff(at))
+    if len(start):
+        owner = np.maximum(owner, of[np.maximum(np.cumsum(lead) - 1, 0)])
     by_kind = np.bincount(owner * kinds + _KIND[data], minlength=n * kinds).reshape(n, kinds)
     total = np.maximum(1, by_kind.sum(1))
     x[:, :kinds] = by_kind / total[:, None]
@@ -64,6 +68,9 @@ def passages(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x[:, kinds + k] = mean(v)
     x[:, kinds + 3] = np.bincount(of[order][new], minlength=n) / some
     x[:, kinds + 8] = np.log1p(size) / np.log1p(PASSAGE)
+    sign = (h >> np.uint64(40) & np.uint64(1)).astype(np.float64) * 2 - 1
+    lexical = np.bincount(of * LEXICAL + (h >> np.uint64(50)).astype(np.int64) % LEXICAL, weights=sign, minlength=n * LEXICAL)
+    x[:, kinds + 9 :] = lexical.reshape(n, LEXICAL) / some[:, None]
     return count, x
 
 
@@ -79,13 +86,14 @@ class Model:
         p, first = self.p, np.cumsum(count) - count
         bag = np.repeat(np.arange(len(count)), count)
         x = np.clip((x - self.mean) / self.scale, -8, 8)
-        code = np.tanh(x @ p["W"] + p["b"])
-        t, s = np.tanh(code @ p["V"]), _sigmoid(code @ p["G"])
-        e = (t * s) @ p["u"]
+        # einsum adds up each row in the same order whatever rows are beside it, so that a score is the same in any batch.
+        code = np.tanh(np.einsum("ij,jk->ik", x, p["W"]) + p["b"])
+        t, s = np.tanh(np.einsum("ij,jk->ik", code, p["V"])), _sigmoid(np.einsum("ij,jk->ik", code, p["G"]))
+        e = np.einsum("ij,j->i", t * s, p["u"])
         a = np.exp(e - np.maximum.reduceat(e, first)[bag])
         a /= np.add.reduceat(a, first)[bag]
         z = np.add.reduceat(a[:, None] * code, first)
-        return {"x": x, "bag": bag, "first": first, "code": code, "t": t, "s": s, "a": a, "z": z, "y": _sigmoid(z @ p["c"] + p["d"])}
+        return {"x": x, "bag": bag, "first": first, "code": code, "t": t, "s": s, "a": a, "z": z, "y": _sigmoid(np.einsum("ij,j->i", z, p["c"]) + p["d"])}
 
     def scores(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self.forward(x, count)["y"] if len(count) else np.zeros(0)
