@@ -122,14 +122,15 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, factor: float = FACTO
     its own tree over all its rows. The queries go to the shards in blocks; a task builds one tree and
     searches it for one block after another. The k best of each query from every shard meet in one
     aggregation. Scores are Euclidean distances in double precision; ties go to the smaller id. Vectors
-    that are null, zero, of another length than most in their shard, or not finite take no part. An id
-    that occurs twice is two rows, and a query never finds a row with its own id.
+    that are null, zero or not finite take no part, and vectors of different lengths don't meet. An id
+    that occurs twice is two rows to be found and one query, the smaller vector's; a query never finds a
+    row with its own id.
     """
     base = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     base = base.withColumn("dims", F.size("v"))
     n = base.count()
     shards = max(1, -(-n // shard_rows))
-    asked = base.filter(queries)
+    asked = base.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
     blocks = max(1, -(-asked.count() // BLOCK))
     packed = asked.groupBy("dims", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
     sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "dims", "block", "ids", "vs")
