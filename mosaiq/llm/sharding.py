@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import keep
@@ -30,8 +30,9 @@ def extendible_shards(rows: DataFrame, key: str, size: str, limit: int) -> DataF
     prefixes some bits ahead of the mean depth, and a prefix's leaf is the shallowest ancestor within
     the limit; only buckets still too large there go into another round with more bits. ``shard`` is the
     prefix as a bit string (empty for one bucket). Rows that equal hashes keep together at all 60 bits,
-    such as one key with too many rows, overflow into pages: ``page`` numbers them, each with about
-    ``limit`` bytes; it is 0 elsewhere. A row alone above the limit has a page to itself. A null size is 0.
+    such as one key with too many rows, overflow into pages: ``page`` numbers them, each with ``limit``
+    bytes at most, and between equal rows too; it is 0 elsewhere. A row above half the limit has a page
+    to itself, whatever its size. A null size is 0.
     """
     if clash := {"h", "shard", "local_depth", "shard_bytes", "page"} & set(rows.columns):
         raise ValueError(f"columns {sorted(clash)} are made here; rename them")
@@ -72,14 +73,18 @@ def _paged(placed: DataFrame, bytes_: Column, limit: int) -> DataFrame:
 
 
 def _overflow(rows: DataFrame, bytes_: Column, limit: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    salts = F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / (64 * limit)))
-    content = F.xxhash64(*[c for c in rows.columns if c != "page"])
-    spread = rows.withColumn("__salt", F.pmod(content, salts))
-    w = Window.partitionBy("shard", "__salt").orderBy(content, *(c for c in rows.columns if not c.startswith("__")))
-    run = F.sum(bytes_).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return spread.withColumn("page", (F.floor(F.coalesce(run, F.lit(0)) / limit) + F.col("__salt") * (1 << 20)).cast("long")).drop("__salt")
+    """Pages of rows that no bit parts: rows are numbered where they are written, and salted by that number.
+
+    The written table makes a row's number the same whenever it is read. Rows of up to half the limit
+    fill pages of up to another half before the last of them.
+    """
+    numbered = keep(rows.withColumn("__n", F.monotonically_increasing_id()), "overflow")
+    salt = F.pmod(F.xxhash64("__n"), F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / (64 * limit))))
+    spread = numbered.withColumn("__salt", salt).withColumn("__own", bytes_ * 2 > limit)
+    w = Window.partitionBy("shard", "__salt", "__own").orderBy("__n")
+    before = F.coalesce(F.sum(bytes_).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    page = F.when(F.col("__own"), F.row_number().over(w) + (1 << 19)).otherwise(F.floor(before / (limit - limit // 2)))
+    return spread.withColumn("page", (page + F.col("__salt") * (1 << 20)).cast("long")).drop("__salt", "__own", "__n")
 
 
 def directory(shards: DataFrame) -> DataFrame:
