@@ -14,11 +14,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only in a local session where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mosaiq-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
