@@ -1 +1 @@
-"""Multimodal learning and corpus processing as Spark DataFrame operators."""
+"""Learning across data modalities and corpus processing as Spark DataFrame operators."""

@@ -115,6 +115,21 @@ def quat_inverse(q: Column) -> Column:
     return quaternion(-q["x"] / n, -q["y"] / n, -q["z"] / n, q["w"] / n)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: nested columns name it again wherever f does, and grow by that factor each time."""
+    return F.transform(F.array(value), f)[0]
+
+
+def quat_turn(p: Column, q: Column) -> Column:
+    """The rotation from p to q: the inverse of p times q."""
+    return bound(quat_inverse(p), lambda i: quat_multiply(i, q))
+
+
+def turn_angles(p: Column, q: Column) -> Column:
+    """``quat_euler`` of the rotation from p to q."""
+    return bound(quat_turn(p, q), quat_euler)
+
+
 def quat_euler(q: Column) -> Column:
     """Angles about the fixed axes x, y, z of a rotation; at the gimbal lock the last is 0, and a null rotation is none."""
     n = quat_norm2(q)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import MEASURES, argmax
 
-#: Examples that are broadcast to all samples at most; more are joined block by block.
-EXAMPLES = 10_000
+#: Bytes of a block of examples, and of all blocks that are broadcast at most; beyond it the blocks are dealt to tasks.
+BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 32 << 20
 
 
 def examples(df: DataFrame, key: str, label: str, number: int = 1, check: bool = False) -> DataFrame:
@@ -21,17 +21,49 @@ def examples(df: DataFrame, key: str, label: str, number: int = 1, check: bool =
     return chosen
 
 
+def _blocks(ex: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Examples packed into blocks ``by..., block, book`` by a hash of their id, and the number of blocks of each key at most."""
+    size = ex.agg(F.sum(8 * F.size("ev") + 32)).first()[0] or 0
+    parts = -(-size // BLOCK_BYTES) or 1
+    held = ex.groupBy(*by, F.pmod(F.xxhash64("ex_id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("ex_id", "ex_label", "ev")).alias("book"))
+    return F.broadcast(held) if size <= BROADCAST_BYTES else held, parts
+
+
 def distances(samples: DataFrame, ex: DataFrame, measure: str | Callable[[Column, Column], Column]) -> DataFrame:
-    """Every sample ``i, v`` with every example ``ex_id, ev, ex_label`` and their ``dist``."""
+    """Every sample ``i, v`` with every example ``ex_id, ev, ex_label`` and their ``dist``.
+
+    Examples come in blocks of a few megabytes, which are broadcast up to a size and else dealt out, and
+    a block's distances are taken within the sample's row.
+    """
     f = MEASURES[measure] if isinstance(measure, str) else measure
-    few = ex.count() <= EXAMPLES
-    return samples.join(F.broadcast(ex) if few else ex).withColumn("dist", f(F.col("v"), F.col("ev")))
+    held, _ = _blocks(ex)
+    each = samples.join(held).withColumn("e", F.explode("book"))
+    return each.select(*samples.columns, "e.ex_id", "e.ev", "e.ex_label", f(F.col("v"), F.col("e.ev")).alias("dist"))
+
+
+def nearest(samples: DataFrame, ex: DataFrame, measures: dict[str, Callable[[Column, Column], Column]], by: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
+    """The samples without ``v``, once for each key ``by`` of the examples, with the label of the nearest example under each measure.
+
+    ``on`` are columns in which sample and example must agree. Ties go to the smaller example. One row
+    leaves a sample and block; only where there are several blocks do they meet in an aggregation.
+    """
+    held, parts = _blocks(ex, (*on, *by))
+    each = samples.join(held, list(on)) if on else samples.join(held)
+    rest = [c for c in samples.columns if c != "v"]
+
+    def least(f: Callable[[Column, Column], Column]) -> Column:
+        return F.array_min(F.transform("book", lambda e: F.struct(f(F.col("v"), e["ev"]).alias("dist"), e["ex_id"].alias("ex_id"), e["ex_label"].alias("ex_label"))))
+
+    near = each.select(*rest, *by, *(least(f).alias(name) for name, f in measures.items()))
+    if parts > 1:
+        near = near.groupBy(*rest, *by).agg(*(F.min(name).alias(name) for name in measures))
+    return near.select(*rest, *by, *(F.col(name)["ex_label"].alias(name) for name in measures))
 
 
 def classify(samples: DataFrame, ex: DataFrame, measure: str | Callable[[Column, Column], Column]) -> DataFrame:
     """``i, label, found``: the label of each sample's nearest example, ties to the smaller example."""
-    every = distances(samples, ex, measure)
-    return every.groupBy("i").agg(F.first("label").alias("label"), F.min_by("ex_label", F.struct("dist", "ex_id")).alias("found"))
+    f = MEASURES[measure] if isinstance(measure, str) else measure
+    return nearest(samples.select("i", "label", "v"), ex, {"found": f})
 
 
 def score(found: DataFrame, label: str = "label", got: str = "found") -> DataFrame:

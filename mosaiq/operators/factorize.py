@@ -1,4 +1,4 @@
-"""Non-negative matrix factorization under the generalized Kullback-Leibler divergence, and multimodal learning."""
+"""Non-negative matrix factorization under the generalized Kullback-Leibler divergence, and learning over several modalities."""
 
 from __future__ import annotations
 
@@ -76,31 +76,56 @@ def _pass(rows: DataFrame, h: np.ndarray, state: str | None, fit: bool) -> DataF
             new = w * (q @ h.T)
             if fit:
                 g += new.T @ q
-            yield pd.DataFrame({"i": b["i"], "v": list(x), "w": list(new), "old": list(w), "g": [None] * len(b), "err": [None] * len(b)})
-        yield pd.DataFrame({"i": [None], "v": [None], "w": [None], "old": [None], "g": [g.ravel()], "err": [err]}).astype({"i": "Int64"})
+            yield pd.DataFrame({"i": b["i"], "w": list(new), "old": list(w), "g": [None] * len(b), "err": [None] * len(b)})
+        yield pd.DataFrame({"i": [None], "w": [None], "old": [None], "g": [g.ravel()], "err": [err]}).astype({"i": "Int64"})
 
-    return rows.mapInPandas(run, "i long, v array<double>, w array<double>, old array<double>, g array<double>, err double")
+    return rows.mapInPandas(run, "i long, w array<double>, old array<double>, g array<double>, err double")
+
+
+def _total(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the partitions' arrays ``g``: added up in pairs of tasks, so that the driver gets one array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros(size)
+        for b in batches:
+            for x in b["g"]:
+                g += x
+        yield pd.DataFrame({"g": [g]})
+
+    parts, n = parts.select("g"), parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // 16)
+        parts = parts.coalesce(n).mapInPandas(run, "g array<double>") if n > 1 else parts.repartition(1).mapInPandas(run, "g array<double>")
+    return np.array(parts.first()["g"]) if n == 1 else np.zeros(size)
 
 
 def _iterate(rows: DataFrame, h: np.ndarray, steps: int, tol: float, fit: bool) -> tuple[DataFrame, np.ndarray, list[float]]:
-    """Updates until ``steps``, or until the error, taken over all rows, falls by less than tol a cell."""
-    state, errors = rows.select("i", F.col("v").cast("array<double>").alias("v")), []
-    n, done = rows.count(), None
+    """Updates until ``steps``, or until the error, taken over all rows, falls by less than tol a cell.
+
+    A step writes the coefficients only; the data are joined to them by ``i`` again.
+    """
+    data, errors = rows.select("i", F.col("v").cast("array<double>").alias("v")), []
+    n, w = rows.count(), None
     for step in range(steps):
-        out = _pass(state, h, None if step == 0 else "w", fit).checkpoint()
+        out = _pass(data if w is None else data.join(w, "i"), h, None if w is None else "w", fit).checkpoint()
         parts = out.filter("err IS NOT NULL")
         err = parts.agg(F.sum("err")).first()[0] or 0.0
         if errors and errors[-1] - err < tol * n * h.shape[1]:
-            return out.filter("err IS NULL").select("i", "v", F.col("old").alias("w")), h, errors
+            return data.join(out.filter("err IS NULL").select("i", F.col("old").alias("w")), "i"), h, errors
         errors.append(err)
         if fit:
-            g = np.zeros(h.size)
-            for r in parts.select(F.posexplode("g").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect():
-                g[r["j"]] = r["x"]
-            new = h * g.reshape(h.shape)
+            new = h * _total(parts, h.size).reshape(h.shape)
             h = new / (new.sum(1, keepdims=True) + 1e-16)
-        state = done = out.filter("err IS NULL").select("i", "v", "w")
-    return done if done is not None else state, h, errors
+        w = out.filter("err IS NULL").select("i", "w")
+    return data if w is None else data.join(w, "i"), h, errors
+
+
+def rescaled(w: DataFrame, h: np.ndarray, factors: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Coefficients ``i, w`` times the factors and the dictionary's rows over them: the product stays."""
+    f = np.asarray(factors, float)
+    if f.shape != (len(h),) or not (f > 0).all():
+        raise ValueError("a positive factor for each row of the dictionary")
+    return w.withColumn("w", F.zip_with("w", F.lit(f.tolist()), lambda x, y: x * y)), h / f[:, None]
 
 
 def fit(rows: DataFrame, k: int | None = None, steps: int = 200, tol: float = 1e-6, h0: np.ndarray | None = None, seed: int = 0) -> Model:
@@ -120,7 +145,7 @@ def transform(rows: DataFrame, h: np.ndarray, steps: int = 50, tol: float = 0.0)
     return out
 
 
-class MultimodalLearner:
+class JointLearner:
     """Learns one dictionary over several modalities side by side, and reconstructs any from any others."""
 
     def __init__(self, names: list[str], dims: list[int], coefs: list[float], k: int):
@@ -148,10 +173,20 @@ class MultimodalLearner:
         return transform(self.stacked(rows, names), self.dictionary(*names), steps).select("i", "w")
 
     def reconstruct(self, internal: DataFrame, name: str) -> DataFrame:
-        """``i, v``: coefficients times a modality's dictionary, inside the JVM."""
-        h = self.dictionary(name)
-        cells = F.array(*(F.aggregate(F.zip_with("w", F.array(*map(float, h[:, j])), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for j in range(h.shape[1])))
-        return internal.select("i", cells.alias("v"))
+        """``i, v``: coefficients times a modality's dictionary, which is broadcast; a matrix product a batch."""
+        held = internal.sparkSession.sparkContext.broadcast(self.dictionary(name))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"i": b["i"], "v": list(np.stack(b["w"].to_numpy()) @ held.value)})
+
+        return internal.select("i", "w").mapInPandas(run, "i long, v array<double>")
 
     def modality_to_modality(self, rows: DataFrame, source: str | list[str], target: str, steps: int = 50) -> DataFrame:
         return self.reconstruct(self.reconstruct_internal(rows, [source] if isinstance(source, str) else source, steps), target)
+
+    def modalities_to_modalities(self, rows: DataFrame, sources: list[str], targets: list[str], steps: int = 50) -> dict[str, DataFrame]:
+        """Each target reconstructed from the sources, whose coefficients are found once."""
+        internal = self.reconstruct_internal(rows, sources, steps)
+        return {t: self.reconstruct(internal, t) for t in targets}

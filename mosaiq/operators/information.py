@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import minmax
+
 
 def _plogp(p: Column) -> Column:
     return F.when(p > 0, p * F.ln(p)).otherwise(0.0)
@@ -67,10 +69,15 @@ def word_label_information(df: DataFrame, text: str, label: str) -> DataFrame:
     return every.select("word", "label", two_by_two_information(d("n"), d("nw") - d("n"), d("nl") - d("n"), d("total")).alias("mi"))
 
 
+def equal_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+    """Which of equal bins between the bounds holds x: the last one holds the maximum, and the first all of a constant column."""
+    return F.least(F.floor(minmax(x, low, high) * bins), F.lit(bins - 1))
+
+
 def histogram_by_label(df: DataFrame, value: str, label: str, bins: int = 10) -> DataFrame:
     """``label, bin, n`` over equal bins of the whole range; the last bin holds the maximum."""
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    at = equal_bin(F.col(value), F.col("lo"), F.col("hi"), bins)
     return df.join(F.broadcast(bounds)).groupBy(F.col(label).alias("label"), at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import ranked
+
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """Adds ``label_idx``, the place of the row's label among the sorted labels. Only the distinct labels are ranked."""
@@ -14,7 +16,10 @@ def label_index(df: DataFrame, label: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: str, *order) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+    """Adds ``rn``, the row's number within its key: numbers of a sort by key and order, less the key's first, so that a key with most rows is many tasks' work."""
+    every = ranked(df, by, *order, name="__n")
+    first = every.groupBy(by).agg(F.min("__n").alias("__first"))
+    return every.join(first, by).withColumn("rn", F.col("__n") - F.col("__first") + 1).drop("__n", "__first")
 
 
 def seeded_order(key: str, seed: int):

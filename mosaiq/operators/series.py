@@ -12,20 +12,22 @@ def velocities(x: str, by: str, *order: str) -> Column:
     return F.coalesce(F.lead(x).over(w), F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) - F.col(x)
 
 
-def delayed_velocities(x: str, delay: int, by: str, *order: str, padding: str = "zeros") -> Column:
-    """Current minus the value ``delay`` rows before, which is 0 (``zeros``) or from the end (``circular``) where there is none.
+def delayed_velocities(x: str, delay: int, by: str, *order: str) -> Column:
+    """Current minus the value ``delay`` rows before, which is 0 where there is none."""
+    return F.col(x) - F.coalesce(F.lag(x, delay).over(Window.partitionBy(by).orderBy(*order)), F.lit(0.0))
 
-    A delay above a series' length counts as that length.
+
+def delayed_velocities_circular(df: DataFrame, x: str, delay: int, by: str, *order: str, name: str = "velocity") -> DataFrame:
+    """Adds ``name``: current minus the value ``delay`` rows before, taken from the series' end where there is none.
+
+    A delay above a series' length counts as that length. Only the first rows of each series are joined,
+    with as many last ones.
     """
     w = Window.partitionBy(by).orderBy(*order)
-    if padding == "zeros":
-        return F.col(x) - F.coalesce(F.lag(x, delay).over(w), F.lit(0.0))
-    if padding != "circular":
-        raise ValueError(f"padding {padding}")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    every = F.collect_list(x).over(whole)
-    at, n = F.row_number().over(w), F.size(every)
-    return F.col(x) - F.element_at(every, (F.pmod(at - 1 - F.least(F.lit(delay), n), n) + 1).cast("int"))
+    every = df.withColumns({"__at": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(by)), "__before": F.lag(x, delay).over(w)})
+    short = F.least(F.lit(delay).cast("long"), F.col("__n"))
+    last = every.filter(F.col("__at") > F.col("__n") - short).select(by, (F.col("__at") - F.col("__n") + short).alias("__at"), F.col(x).alias("__last"))
+    return every.join(last, [by, "__at"], "left").withColumn(name, F.col(x) - F.when(F.col("__at") > short, F.col("__before")).otherwise(F.col("__last"))).select(*df.columns, name)
 
 
 def moving_average3(x: str, by: str, *order: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import tolerant_ceil, tolerant_floor
+from .pairing import numbered
 
 #: Fixed values of the window algebra: tolerance in seconds, and on counts of windows.
 TOL, TOL_COUNT = 1e-8, 1e-3
@@ -61,11 +64,27 @@ def lookup(points: DataFrame, t: str, intervals: DataFrame, by: str, bucket: flo
     return points.withColumn("__b", F.floor(F.col(t) / bucket)).join(spread, [by, "__b"]).filter(hit).drop("__b", "__first")
 
 
-def associate_frames(labelled: DataFrame, pool: DataFrame, label: str, frame: str, order: str, pool_order: str) -> DataFrame:
-    """Gives each labelled window the next unused frame of its label. The caller checks that none is left without."""
-    a = labelled.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    b = pool.select(label, frame, F.row_number().over(Window.partitionBy(label).orderBy(pool_order)).alias("rn"))
-    return a.join(b, [label, "rn"], "left").drop("rn")
+def associate_frames(labelled: DataFrame, pool: DataFrame, label: str, frame: str, order: str, pool_order: str, check: bool = False) -> DataFrame:
+    """Gives each labelled window the next unused frame of its label; with ``check`` it is an error if one is left without, else its frame is null."""
+    a, b = numbered(labelled, label, order), numbered(pool.select(label, frame, *({pool_order} - {label, frame})), label, pool_order).select(label, frame, "rn")
+    got = a.join(b, [label, "rn"], "left").drop("rn")
+    if check and not got.filter(F.col(frame).isNull()).isEmpty():
+        raise ValueError("the frames of a label have run out")
+    return got
+
+
+def pane_counts(points: DataFrame, t: str, origin: str, width: int, shift: int, *by: str) -> DataFrame:
+    """``by..., window, n``: points in each sliding window (start, end] from ``origin`` on, counted by panes that windows share.
+
+    Width and shift are whole numbers; a pane is as long as their greatest common divisor. Windows from
+    0 up to any number are given: the caller joins those that exist.
+    """
+    pane = math.gcd(width, shift)
+    step, panes = shift // pane, width // pane
+    at = F.ceil((F.col(t) - F.col(origin)) / pane) - 1
+    counts = points.filter(F.col(t) > F.col(origin)).groupBy(*by, at.alias("pane")).agg(F.count("*").alias("n"))
+    low, high = F.greatest(F.ceil((F.col("pane") - panes + 1) / step), F.lit(0)), F.floor(F.col("pane") / step)
+    return counts.filter(low <= high).select(*by, F.explode(F.sequence(low, high)).alias("window"), "n").groupBy(*by, "window").agg(F.sum("n").alias("n"))
 
 
 def sample_range(start: Column, rate: Column, ts: Column, te: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ class Tables:
     def cells(self) -> DataFrame:
         return matrix.long_form(self.embeddings, "vec_id", "embedding", F.abs)
 
+    def labelled_cells(self) -> DataFrame:
+        """``i, label, j, x`` of the embeddings, without joining the table to itself."""
+        return self.embeddings.select(F.col("vec_id").alias("i"), "label", F.posexplode("embedding").alias("j", "x")).select("i", "label", F.col("j").cast("long").alias("j"), F.abs(F.col("x").cast("double")).alias("x"))
+
     def examples(self, absolute: bool = True) -> DataFrame:
         return evaluation.examples(self.vectors(absolute), "i", "label").select(F.col("i").alias("ex_id"), F.col("v").alias("ev"), F.col("label").alias("ex_label"))
 
@@ -244,15 +249,22 @@ def assignment_weight(t: Tables) -> DataFrame:
     return weight(c, t.nation.select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_nationkey") % 5).cast("long").alias("j")))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS g, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+_W5 = "c AS (SELECT a.n_regionkey AS g, a.rn AS r, b.rn AS j, CAST((a.n_nationkey * 5 + b.rn * 3) % 7 AS DOUBLE) AS w FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey)"
+
+
+@query(f"""WITH n AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation), {_W5}
+SELECT CAST(c1.g AS BIGINT) AS g, min(c1.w + c2.w + c3.w + c4.w + c5.w) AS weight, CAST(5 AS BIGINT) AS n FROM c c1
+JOIN c c2 ON c2.g = c1.g AND c2.r = 2 AND c2.j <> c1.j JOIN c c3 ON c3.g = c1.g AND c3.r = 3 AND c3.j NOT IN (c1.j, c2.j)
+JOIN c c4 ON c4.g = c1.g AND c4.r = 4 AND c4.j NOT IN (c1.j, c2.j, c3.j) JOIN c c5 ON c5.g = c1.g AND c5.r = 5 AND c5.j NOT IN (c1.j, c2.j, c3.j, c4.j)
+WHERE c1.r = 1 GROUP BY c1.g""")
 def min_cost_assignment(t: Tables) -> DataFrame:
-    """Assigns each region's nations to as many columns; every nation gets one."""
+    """Assigns each region's nations to as many columns: the total weight, which the SQL seeks among all permutations."""
     from ..operators.assignment import assigned
 
     n = t.nation.withColumn("rn", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
     a, b = n.select("n_regionkey", F.col("n_nationkey").alias("i")), n.select("n_regionkey", F.col("rn").alias("j"))
     cells = a.join(b, "n_regionkey").select(F.col("n_regionkey").cast("long").alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), ((F.col("i") * 5 + F.col("j") * 3) % 7).cast("double").alias("w"))
-    return assigned(cells, "g").groupBy("g").agg(F.countDistinct("j").alias("n"))
+    return assigned(cells, "g").groupBy("g").agg(F.sum("w").alias("weight"), F.countDistinct("j").alias("n"))
 
 
 # -- aggregations
@@ -286,8 +298,8 @@ def modality_coefs(t: Tables) -> DataFrame:
 @query(f"WITH {_CELLS}, l AS (SELECT vec_id AS i, label FROM embeddings), n AS (SELECT label, count(*) AS n FROM l GROUP BY 1) SELECT l.label, j, {_r('sum(x) / any_value(n.n)', 'x')} FROM m JOIN l ON m.i = l.i JOIN n ON n.label = l.label GROUP BY l.label, j")
 def avg_by_group_vector(t: Tables) -> DataFrame:
     n = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
-    m = t.cells().join(t.embeddings.select(F.col("vec_id").alias("i"), "label"), "i").groupBy("label", "j").agg(F.sum("x").alias("s"))
-    return m.join(F.broadcast(n), "label").select("label", "j", r6(F.col("s") / F.col("n")).alias("x"))
+    m = t.labelled_cells().groupBy("label", "j").agg(F.sum("x").alias("s"))
+    return m.join(n, "label").select("label", "j", r6(F.col("s") / F.col("n")).alias("x"))
 
 
 _LAG = "SELECT user_id, {b} + lead(code, {lag}) OVER (PARTITION BY user_id ORDER BY ts, event_id) * 5 + code AS code FROM s"
@@ -474,10 +486,10 @@ c AS (SELECT j, label, bin, n, sum(n) OVER (PARTITION BY j, bin) AS nb, sum(n) O
 g AS (SELECT a.j, a.label, a.nl, b.bin, b.nb, b.t, coalesce(c.n, 0) AS n FROM (SELECT j, label, sum(n) AS nl FROM h GROUP BY ALL) a JOIN (SELECT DISTINCT j, bin, nb, t FROM c) b ON a.j = b.j LEFT JOIN c ON c.j = a.j AND c.label = a.label AND c.bin = b.bin)
 SELECT j, label, {_r('sum(CASE WHEN n > 0 THEN n / t * ln(n * t / (nb * nl)) ELSE 0 END + CASE WHEN nb > n THEN (nb - n) / t * ln((nb - n) * t / (nb * (t - nl))) ELSE 0 END)', 'mi')} FROM g GROUP BY j, label""")
 def mi_matrix(t: Tables) -> DataFrame:
-    m = t.cells()
+    m = t.labelled_cells()
     b = m.groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    at = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10), F.lit(9))
-    h = m.join(F.broadcast(b), "j").join(t.embeddings.select(F.col("vec_id").alias("i"), "label"), "i").groupBy("j", "label", at.alias("bin")).agg(F.count("*").alias("n"))
+    at = information.equal_bin(F.col("x"), F.col("lo"), F.col("hi"), 10)
+    h = m.join(b, "j").groupBy("j", "label", at.alias("bin")).agg(F.count("*").alias("n"))
     return information.label_information(h, "j").select("j", "label", r6("mi").alias("mi"))
 
 
@@ -556,7 +568,7 @@ _SCORES = f"{_CELLS}, l AS (SELECT vec_id AS i, label FROM embeddings), sc AS (S
 
 
 def _scores(t: Tables) -> DataFrame:
-    m = t.cells().filter("j < 10").join(t.embeddings.select(F.col("vec_id").alias("i"), "label"), "i")
+    m = t.labelled_cells().filter("j < 10")
     return m.select(F.col("i").alias("row"), F.col("j").alias("idx"), F.col("x").alias("score"), ((F.col("j") == F.col("label")) | (F.col("j") == (F.col("label") + 1) % 10)).alias("truth"))
 
 
@@ -585,12 +597,13 @@ _NMF = f"{_CELLS}, {_H0}, {_W0}, {_WH}"
 
 
 def _nmf(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """X, W and a dictionary of 3 x 64 cells, which is broadcast."""
     x = t.cells()
     k, j = t.spark.range(3).select(F.col("id").alias("k")), t.spark.range(64).select(F.col("id").alias("j"))
     raw = pairing.distribute(k, j).withColumn("h", (1 + (F.col("k") * 7 + F.col("j") * 3) % 11).cast("double"))
     h = raw.join(raw.groupBy("k").agg(F.sum("h").alias("s")), "k").select("k", "j", (F.col("h") / F.col("s")).alias("h"))
-    w = x.join(F.broadcast(h.limit(1000)), "j").groupBy("i", "k").agg(F.sum(F.col("x") * F.col("h")).alias("w"))
-    return x, w, F.broadcast(h.limit(1000))
+    w = x.join(F.broadcast(h), "j").groupBy("i", "k").agg(F.sum(F.col("x") * F.col("h")).alias("w"))
+    return x, w, F.broadcast(h)
 
 
 @query(f"WITH {_NMF} SELECT {_r('(SELECT sum(x * ln((x + 1e-8) / (wh + 1e-8)) - x) FROM p) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w GROUP BY k) a JOIN (SELECT k, sum(h) AS s FROM h GROUP BY k) b ON a.k = b.k)', 'error')}")
@@ -683,13 +696,14 @@ _N = "count(*) OVER (PARTITION BY user_id)"
 for _args in (
     ("velocities_circular", lambda: series.velocities("value", *_BY), f"coalesce(lead(value) {_OVER}, first_value(value) {_OVER}) - value"),
     ("delayed_velocities_zeros", lambda: series.delayed_velocities("value", 3, *_BY), f"value - coalesce(lag(value, 3) {_OVER}, 0)"),
-    ("delayed_velocities_circular", lambda: series.delayed_velocities("value", 3, *_BY, padding="circular"), f"value - ({_EVERY})[CAST((row_number() {_OVER} - 1 - least(3, {_N}) + {_N}) % {_N} + 1 AS BIGINT)]"),
+    ("delayed_velocities_circular", None, f"value - ({_EVERY})[CAST((row_number() {_OVER} - 1 - least(3, {_N}) + {_N}) % {_N} + 1 AS BIGINT)]"),
     ("moving_avg3", lambda: series.moving_average3("value", *_BY), f"(coalesce(lag(value) {_OVER}, value) + value + coalesce(lead(value) {_OVER}, value)) / 3"),
 ):
     def _lazy(args) -> None:
         @query(f"WITH {_SERIES} SELECT event_id, {_r(args[2], 'v')} FROM s")
         def of_series(t: Tables) -> DataFrame:
-            return t.series().select("event_id", args[1]().alias("x")).select("event_id", r6("x").alias("v"))
+            x = t.series().select("event_id", args[1]().alias("x")) if args[1] else series.delayed_velocities_circular(t.series(), "value", 3, *_BY, name="x")
+            return x.select("event_id", r6("x").alias("v"))
 
         for table in (QUERIES, ORACLES):
             table[args[0]] = table.pop("of_series")
@@ -793,12 +807,10 @@ def align_windows(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SPAN}, k AS (SELECT *, unnest(range(CAST({_FULL} AS BIGINT) + 1)) AS k FROM u), w AS (SELECT user_id, k, t0 + k * 36000.0 AS st, least(t0 + k * 36000.0 + 86400.0, t1) AS en FROM k) SELECT w.user_id, CAST(k AS BIGINT) AS \"window\", CAST(code AS BIGINT) AS code, CAST(count(*) AS BIGINT) AS n FROM w JOIN s ON s.user_id = w.user_id AND s.t > st AND s.t <= en GROUP BY ALL")
 def sliding_window_features(t: Tables) -> DataFrame:
-    """Counts of each kind of event in each sliding window; a point in several windows meets each by its bucket of time."""
-    w = windows.slider(_span(t), F.col("t0"), F.col("t1"), F.lit(86400.0), F.lit(36000.0)).select("user_id", "window", "start", "end")
-    spread = w.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / 86400), F.floor(F.col("end") / 86400))))
-    points = t.series().withColumn("b", F.floor(F.col("t") / 86400))
-    hit = points.join(spread, ["user_id", "b"]).filter("t > start AND t <= end")
-    return hit.groupBy("user_id", "window", "code").agg(F.count("*").alias("n"))
+    """Counts of each kind of event in each sliding window, added up from counts of two hours."""
+    w = windows.slider(_span(t), F.col("t0"), F.col("t1"), F.lit(86400.0), F.lit(36000.0)).select("user_id", "window")
+    points = t.series().join(_span(t).select("user_id", "t0"), "user_id")
+    return windows.pane_counts(points, "t", "t0", 86400, 36000, "user_id", "code").join(w, ["user_id", "window"]).select("user_id", "window", "code", "n")
 
 
 # -- quaternions made of lineitem's numbers
@@ -847,7 +859,7 @@ def joint_angles(t: Tables) -> DataFrame:
     """Angles of the rotation from each line's quaternion to the next line's, as between two joints."""
     q = _quaternions(t)
     after = q.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("q").alias("q2"))
-    e = q.join(after, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", V.quat_euler(V.quat_multiply(V.quat_inverse(F.col("q")), F.col("q2"))).alias("e"))
+    e = q.join(after, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", V.turn_angles(F.col("q"), F.col("q2")).alias("e"))
     return e.select("l_orderkey", "l_linenumber", *(r6(f"e.{a}").alias(a) for a in ("ax", "ay", "az")))
 
 
@@ -899,13 +911,63 @@ def cross_modal_scores(t: Tables) -> DataFrame:
         both = F.array(*(F.struct(F.lit(n).alias(part), F.slice(v, s, 32).alias(name)) for n, s in (("left", 1), ("right", 33))))
         return df.withColumn("b", F.explode(both)).select(*(c for c in df.columns if c != v), f"b.{part}", f"b.{name}")
 
-    m = halves(t.vectors(True), "v", "x", "mod_from")
-    e = halves(t.examples(), "ev", "ev", "mod_to")
-    each = m.join(pairing.small(e, 20_000))
-    near = each.groupBy("mod_from", "mod_to", "i").agg(F.first("label").alias("label"), *(F.min_by("ex_label", F.struct(f(F.col("x"), F.col("ev")), F.col("ex_id"))).alias(n) for n, f in (("frobenius", V.frobenius), ("cosine", V.cosine_diff))))
+    m = halves(t.vectors(True).withColumnRenamed("v", "whole"), "whole", "v", "mod_from")
+    e = halves(t.examples().withColumnRenamed("ev", "whole"), "whole", "ev", "mod_to")
+    near = evaluation.nearest(m, e, {"frobenius": V.frobenius, "cosine": V.cosine_diff}, ("mod_to",))
     return near.groupBy("mod_from", "mod_to").agg(*(r6(F.avg((F.col("label") == F.col(n)).cast("double"))).alias(f"score_{n}") for n in ("frobenius", "cosine")))
 
 
+def _dot_sql(v: str, k: int, low: int, high: int) -> str:
+    return f"list_sum(list_transform(list_zip({v}, {[_h0(k, j) for j in range(low, high)]}), lambda z: z[1] * z[2]))"
+
+
+def _h0(k: int, j: int) -> float:
+    """The starting dictionary of ``_nmf``."""
+    return (1 + (k * 7 + j * 3) % 11) / sum(1 + (k * 7 + i * 3) % 11 for i in range(64))
+
+
+def _spaces_sql(v: str, keys: str, rows: str) -> str:
+    parts = []
+    for name, own, other in (("left", 0, 32), ("right", 32, 0)):
+        x = f"{v}[{own + 1}:{own + 32}]"
+        w = f"[{', '.join(_dot_sql(x, k, own, own + 32) for k in range(3))}]"
+        h = [[_h0(k, j) for k in range(3)] for j in range(other, other + 32)]
+        r = f"list_transform({h}, lambda g: g[1] * w[1] + g[2] * w[2] + g[3] * w[3])"
+        parts.append(f"SELECT {keys}, '{name}' AS mod, unnest(['internal', '{name}', '{'right' if own == 0 else 'left'}']) AS space, unnest([w, x, {r}]) AS p FROM (SELECT {keys}, {x} AS x, {w} AS w FROM {rows})")
+    return " UNION ALL ".join(parts)
+
+
+def _dots_with(columns: F.Column):
+    return lambda w: F.transform(columns, lambda g: V.dot(w, g))
+
+
+_SPACE_DIST = {"kl": _KL("s.p", "e.p"), "rev_kl": _KL("e.p", "s.p"), "frobenius": _FROB("s.p", "e.p"), "cosine": f"-{_COS('s.p', 'e.p')}"}
+
+
+@query(f"""WITH {_A}, {_EX}, s AS ({_spaces_sql('v', 'i, label', 'v')}), e AS ({_spaces_sql('ev', 'ex_id, ex_label', 'ex')}),
+n AS (SELECT s.mod AS source, e.mod AS target, s.space AS space, s.i, any_value(label) AS label, {', '.join(f"arg_min(ex_label, ({d}, ex_id)) AS {n}" for n, d in _SPACE_DIST.items())} FROM s JOIN e ON s.space = e.space GROUP BY ALL)
+SELECT source, target, space, {', '.join(_r(f"avg(CASE WHEN label = {n} THEN 1.0 ELSE 0.0 END)", f"score_{n}") for n in _SPACE_DIST)} FROM n GROUP BY ALL""")
+def modality_comparisons(t: Tables) -> DataFrame:
+    """All 48 scores of two modalities, the halves of the vectors, under the starting dictionary: from each to each, by its coefficients, itself and what is reconstructed of it."""
+    from .experiment import compared, scored
+
+    h = np.array([[_h0(k, j) for j in range(64)] for k in range(3)])
+
+    def spaces(df: DataFrame, v: str, *keys: str) -> DataFrame:
+        rows = []
+        for name, own, other, to in (("left", 0, 32, "right"), ("right", 32, 0, "left")):
+            x = F.slice(v, own + 1, 32)
+            w = F.array(*(V.dot(x, F.lit(h[k, own : own + 32].tolist())) for k in range(3)))
+            columns = F.array(*map(F.lit, h[:, other : other + 32].T.tolist()))
+            r = V.bound(w, _dots_with(columns))
+            rows.append(F.array(*(F.struct(F.lit(name).alias("mod"), F.lit(s).alias("space"), p.alias("p")) for s, p in (("internal", w), (name, x), (to, r)))))
+        return df.select(*keys, F.inline(F.concat(*rows)))
+
+    test = spaces(t.vectors(True), "v", "i", "label").select("i", "label", F.col("mod").alias("source"), "space", F.col("p").alias("v"))
+    ex = spaces(t.examples(), "ev", "ex_id", "ex_label").select("ex_id", "ex_label", F.col("mod").alias("target"), "space", F.col("p").alias("ev"))
+    return scored(compared(test, ex)).select("source", "target", "space", *(r6(f"score_{n}").alias(f"score_{n}") for n in _SPACE_DIST))
+
+
 @query("SELECT event_type, " + ", ".join(_r(f"quantile_cont(value, {p})", n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))) + f", min(value) AS low, max(value) AS high, {_r('avg(value)', 'mean')} FROM events GROUP BY 1")
 def plot_box_stats(t: Tables) -> DataFrame:
     q = [r6(F.percentile("value", F.lit(p))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]

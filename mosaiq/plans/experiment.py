@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import MEASURES, total
 from ..operators import evaluation, pairing, series
-from ..operators.factorize import MultimodalLearner
+from ..operators.factorize import JointLearner
 from .runlog import RunLog
 
 METRICS = ("kl", "rev_kl", "frobenius", "cosine")
+INTERNAL = "internal"
+
+
+def compared(test: DataFrame, ex: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """``source, target, space, i, label`` and, by metric, the found label: every comparison of an experiment in one plan.
+
+    ``test(source, space, i, label, v)`` and ``ex(target, space, ex_id, ex_label, ev)`` hold each sample
+    and example once for every space that it is compared in.
+    """
+    return evaluation.nearest(test, ex, {m: MEASURES[m] for m in metrics}, ("target",), ("space",))
+
+
+def scored(found: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """``source, target, space`` and the share of right labels by metric."""
+    return found.groupBy("source", "target", "space").agg(*(F.avg((F.col("label") == F.col(m)).cast("double")).alias(f"score_{m}") for m in metrics))
 
 
 @dataclass
@@ -54,26 +70,46 @@ class Experiment:
             pairs += [([one], "+".join(n for n in names if n != one)) for one in names]
         return pairs
 
-    def run(self) -> RunLog:
-        """Scores ``score_{from}2{to}_{measure}`` of each fold, classified by internal coefficients."""
+    def spaces(self, learner: JointLearner, rows: DataFrame) -> DataFrame:
+        """``mod, space, i, label, v``: rows in every space they are compared in.
+
+        With two modalities these are the internal coefficients from either one, either one itself, and
+        the other reconstructed from it; with three the coefficients from one and from two of them.
+        """
+        names, out = list(self.modalities), []
+        sources = {tuple(s) for s, _ in self.combinations()} | {tuple(t.split("+")) for _, t in self.combinations()}
+        for source in sorted(sources):
+            w = learner.reconstruct_internal(rows, list(source), self.steps_test)
+            found = [(INTERNAL, w.select("i", F.col("w").alias("v")))]
+            if len(names) == 2:
+                own, other = source[0], next(n for n in names if n != source[0])
+                found += [(own, rows.select("i", F.col(own).alias("v"))), (other, learner.reconstruct(w, other))]
+            for space, v in found:
+                out.append(v.join(rows.select("i", "label"), "i").select(F.lit("+".join(source)).alias("mod"), F.lit(space).alias("space"), "i", "label", "v"))
+        return reduce(DataFrame.unionByName, out)
+
+    def run(self, found_to: str | None = None) -> RunLog:
+        """Scores of each fold: ``score_{from}2{to}`` with ``_{space}`` but for the internal one, and with ``_{measure}``.
+
+        Two modalities give 48 scores a fold. With ``found_to`` the labels found for every test row are
+        written there, by ``run`` and named like the scores; they grow with the samples and never reach the driver.
+        """
         samples, ex, coefs = self.prepare()
         log = RunLog({"k": self.k, "steps_train": self.steps_train, "steps_test": self.steps_test})
-        for train, test in self.folds(samples):
+        wanted = {("+".join(s), t) for s, t in self.combinations()}
+        for number, (train, test) in enumerate(self.folds(samples)):
             log.new_run()
-            learner = MultimodalLearner(list(self.modalities), [d for _, d in self.modalities.values()], coefs, self.k)
+            learner = JointLearner(list(self.modalities), [d for _, d in self.modalities.values()], coefs, self.k)
             learner.train(train, self.steps_train, seed=self.seed)
-            known: dict[tuple, DataFrame] = {}
-
-            def internal(rows: DataFrame, which: str, names: tuple[str, ...]) -> DataFrame:
-                if (which, names) not in known:
-                    w = learner.reconstruct_internal(rows, list(names), self.steps_test)
-                    known[which, names] = w.join(rows.select("i", "label"), "i")
-                return known[which, names]
-
-            for source, target in self.combinations():
-                got = internal(test, "test", tuple(source)).select("i", F.col("w").alias("v"), "label")
-                e = internal(ex, "ex", tuple(target.split("+"))).select(F.col("i").alias("ex_id"), F.col("w").alias("ev"), F.col("label").alias("ex_label"))
-                for m in METRICS:
-                    score = evaluation.score(evaluation.classify(got, e, MEASURES[m])).first()[0]
-                    log.store_result(f"score_{'+'.join(source)}2{target}_{m}", score)
+            t = self.spaces(learner, test).withColumnRenamed("mod", "source")
+            e = self.spaces(learner, ex).select(F.col("mod").alias("target"), "space", F.col("i").alias("ex_id"), F.col("label").alias("ex_label"), F.col("v").alias("ev"))
+            found = compared(t, e)
+            if found_to:
+                named = found.withColumn("run", F.lit(number)).withColumn("comparison", F.concat("source", F.lit("2"), "target", F.when(F.col("space") != INTERNAL, F.concat(F.lit("_"), "space")).otherwise("")))
+                named.select("run", "comparison", "i", "label", *METRICS).write.mode("append").parquet(found_to)
+            for r in scored(found).collect():
+                if (r["source"], r["target"]) in wanted:
+                    space = "" if r["space"] == INTERNAL else f"_{r['space']}"
+                    for m in METRICS:
+                        log.store_result(f"score_{r['source']}2{r['target']}{space}_{m}", r[f"score_{m}"])
         return log

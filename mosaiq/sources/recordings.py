@@ -55,6 +55,17 @@ def without(records: DataFrame, blacklist: DataFrame) -> DataFrame:
     return records.join(blacklist, ["speaker_id", "pos"], "left_anti")
 
 
+def first_tags(records: DataFrame, tags: DataFrame, speaker: int | None = None) -> DataFrame:
+    """Adds ``label``, the name of a record's first tag; of one speaker's records, if given. The tag names are joined by Spark's own choice."""
+    mine = records if speaker is None else records.filter(F.col("speaker_id") == speaker)
+    return mine.withColumn("id", F.get("tags", F.lit(0))).join(tags.select("id", F.col("name").alias("label")), "id", "left").drop("id")
+
+
+def in_all(records: DataFrame) -> DataFrame:
+    """Records of ``read_speech`` that have both a sound and a text."""
+    return records.filter("audio IS NOT NULL AND transcription IS NOT NULL")
+
+
 def read_utterances(spark: SparkSession, path: str, tag: str = "vistag") -> DataFrame:
     """The first utterance of each XML file: ``path, audio, transcription, tags``."""
     x = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
@@ -65,7 +76,7 @@ def read_utterances(spark: SparkSession, path: str, tag: str = "vistag") -> Data
 def speaker_info(spark: SparkSession, path: str) -> DataFrame:
     """``id, age, gender, accent, region`` of lines parted by white space; the region is the rest of the line."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter("trim(value) <> ''").select(p[0].alias("id"), p[1].cast("int").alias("age"), p[2].alias("gender"), p[3].alias("accent"), F.array_join(F.slice(p, 5, 1000), " ").alias("region"))
+    return spark.read.text(path).filter("trim(value) <> ''").select(p[0].alias("id"), p[1].try_cast("int").alias("age"), p[2].alias("gender"), p[3].alias("accent"), F.array_join(F.slice(p, 5, 1000), " ").alias("region"))
 
 
 def read_speech(spark: SparkSession, wavs: str, texts: str) -> DataFrame:
@@ -91,6 +102,50 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<int>")
 
 
+def codebooks(wavs: DataFrame, sizes: tuple[int, int, int], mode: str = "iterative", seed: int = 0) -> list[np.ndarray]:
+    """Codebooks of all frames' cepstra, their differences and second differences, from ``wavs(rate, samples)``.
+
+    Frames become rows of three arrays in one pass; every codebook is learned from all of them.
+    """
+    from ..functions import sound
+    from ..operators.quantize import build_codebook
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rate, samples in zip(b["rate"], b["samples"], strict=True):
+                c = sound.mfcc(samples, int(rate))
+                d = sound.delta(c)
+                yield pd.DataFrame({name: list(x.T) for name, x in zip("cde", (c, d, sound.delta(d)), strict=True)})
+
+    frames = wavs.select("rate", "samples").mapInPandas(run, "c array<double>, d array<double>, e array<double>")
+    books = [build_codebook(frames.select(F.col(name).alias("v")), k, mode, seed) for name, k in zip("cde", sizes, strict=True)]
+    return [np.array([r["centroid"] for r in book.orderBy("code").collect()]) for book in books]
+
+
+def joined(wavs: DataFrame, order: str) -> tuple[int, np.ndarray]:
+    """The rate and all samples of a few sounds behind one another in the given order, on the driver; rates must agree.
+
+    For lists of files that make one sound; a corpus stays a table of ``read_wavs``.
+    """
+    parts = wavs.orderBy(order).select("rate", "samples").collect()
+    if len({r["rate"] for r in parts}) != 1:
+        raise ValueError("sounds of different rates, or none")
+    return parts[0]["rate"], np.concatenate([np.array(r["samples"], np.int32) for r in parts])
+
+
+def cropped(rate: int, samples: np.ndarray, start: float, end: float, offset: float = 0.0) -> tuple[int, np.ndarray]:
+    """The samples between two times of a sound that begins at ``offset``; times outside of it are an error."""
+    low, high = (start - offset) * rate, (end - offset) * rate
+    if low < -1e-3 or high > len(samples) + 1e-3 or high < low:
+        raise ValueError(f"{start} to {end} is out of {offset} to {offset + len(samples) / rate}")
+    return rate, samples[round(low) : round(high)]
+
+
+def save_wav(path: str, rate: int, samples: np.ndarray) -> None:
+    with open(path, "xb") as f:
+        f.write(wav_bytes(rate, samples))
+
+
 def wav_bytes(rate: int, samples: np.ndarray) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

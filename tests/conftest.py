@@ -15,4 +15,5 @@ def spark(tmp_path_factory):
 
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir"))
     return s
