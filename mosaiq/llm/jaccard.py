@@ -180,11 +180,12 @@ def shingle_sets(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
 
 
 def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
-    """``token, g, n, pos, hub, back``: the groups of each prefix element that several groups have.
+    """``token, g, n, pos, hub, back, mate``: the groups of each prefix element that several groups have.
 
     A list is sorted by size bucket; the first group of a bucket is its hub. ``hub`` is the bucket's hub
-    and ``back`` that of the bucket before, where the sizes and places let the two link. The rows of a
-    token pass one by one with three rows held, whatever a list's length.
+    and ``back`` that of the bucket before, where the sizes and places let the two link. Where a list is
+    seen to have two groups only, ``mate`` is the other one: these two are a hub and its pair, or too far
+    apart to link. The rows of a token pass one by one with three rows held, whatever a list's length.
     """
     entries = described.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n").cast("int").alias("n"))
     by = F.shiftleft(rule.bucket(F.col("n")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 12))
@@ -212,16 +213,20 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
             ahead = np.where((token[ahead] == token[begins]) & (b[ahead] == b[begins] - 1), ahead, begins)
             back = np.where(ahead[nth] == hub, np.arange(len(token)), ahead[nth])
             of = np.cumsum(first) - 1
-            several = np.bincount(of)[of] > 1
+            many = np.bincount(of)
+            several = many[of] > 1
             out = several & ~done
+            two = (many[of] == 2) & (of < of[-1]) & (np.bincount(of, weights=done)[of] == 0)
+            mate = np.arange(len(token)) + np.where(first, 1, -1)
+            mates = pa.array(g[np.where(two, mate, 0)], mask=~two).filter(pa.array(out))
             ends = [pa.array(g[x], mask=(x == np.arange(len(token))) | ~rule.possible(n, pos, n[x], pos[x])).filter(pa.array(out)) for x in (hub, back)]
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(g[out]), pa.array(n[out]), pa.array(pos[out].astype(np.int32)), *ends], names=["token", "g", "n", "pos", "hub", "back"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(g[out]), pa.array(n[out]), pa.array(pos[out].astype(np.int32)), *ends, mates], names=["token", "g", "n", "pos", "hub", "back", "mate"])
             last = len(token) - 1
             before = begins[nth[last] - 1] if nth[last] and token[begins[nth[last] - 1]] == token[last] else last
             hold = sorted({int(before), int(hub[last]), last})
             kept = [token[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold]]
 
-    return entries.mapInArrow(run, "token long, g long, n long, pos int, hub long, back long")
+    return entries.mapInArrow(run, "token long, g long, n long, pos int, hub long, back long, mate long")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, many: int, rule: Rule) -> DataFrame:
@@ -284,14 +289,19 @@ def _unlike(a: str, b: str, words: int = BITMAP) -> Column:
 def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, ca, cb, d``: pairs of different components ca and cb that may link, and the bits d in which they differ.
 
-    Lists and groups whose members are of one component have none. The others' groups are expanded into
+    Lists and groups whose members are of one component have none, nor have lists of two groups with one
+    member each, whose pair has been tested. The others' groups are expanded into
     their members, and those outside a list's largest component meet the rest of the list; only pairs
     that pass by size, place and bitmap leave the join.
     """
     m = members.join(labels, members.rid == labels.node, "left").select("g", "rid", "n", F.coalesce("label", "rid").alias("comp"))
     of_group = m.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rid").alias("rid"), F.count("*").alias("m"))
     of_token = Window.partitionBy("token")
-    listed = lists.select("token", "g", "n", "pos").join(of_group, "g").select("*", *(f.over(of_token).alias(x) for x, f in (("from", F.min("low")), ("to", F.max("high")), ("groups", F.count("*")), ("most", F.max("m")))))
+    multi = keep(of_group.filter("m > 1").select("g"), "multi")
+    size = 16.0 * multi.count()
+    pairs, row = lists.filter("mate IS NOT NULL"), ("token", "g", "n", "pos")
+    again = attach(pairs, multi, "g", "left_semi", size).select(*row).union(attach(pairs, multi.withColumnRenamed("g", "mate"), "mate", "left_semi", size).select(*row)).distinct()
+    listed = lists.filter("mate IS NULL").select(*row).union(again).join(of_group, "g").select("*", *(f.over(of_token).alias(x) for x, f in (("from", F.min("low")), ("to", F.max("high")), ("groups", F.count("*")), ("most", F.max("m")))))
     listed = keep(listed.filter("from < to AND (groups > 2 OR most > 1)").select("token", "g", "m", "rid", "n", "pos", F.col("low").alias("comp")), "listed")
     several = listed.filter("m > 1").select("token", "g", "pos").union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos")))
     rows = listed.filter("m = 1").select("token", "rid", "n", "pos", "comp").union(several.join(m, "g").select("token", "rid", "n", "pos", "comp"))
@@ -307,7 +317,7 @@ def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describ
     comps = (F.when(low, F.col(p)).otherwise(F.col(q)) for p, q in (("compx", "compy"), ("compy", "compx")))
     near = near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), next(comps).alias("ca"), next(comps).alias("cb"), d.alias("d"))
     near = keep(near.distinct(), "left")
-    discard(rows, listed)
+    discard(rows, listed, multi)
     return near
 
 
