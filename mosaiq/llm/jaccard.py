@@ -318,6 +318,7 @@ def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describ
     near = near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), next(comps).alias("ca"), next(comps).alias("cb"), d.alias("d"))
     near = keep(near.distinct(), "left")
     discard(rows, listed, multi)
+    release(lists.sparkSession)
     return near
 
 
