@@ -224,7 +224,7 @@ def main_node(root: Node) -> tuple[Node | None, float]:
             if isinstance(p, Node) and p.peak.total > x.peak.total * (1 + 1e-9):
                 x.peak = p.peak
     best = root.peak if root.chars else None
-    least, x = math.inf, best
+    least, x = best.density if best else math.inf, best
     while x is not None and x.tag != "html":
         least, x = min(least, x.density), x.up
     return best, least
