@@ -23,6 +23,8 @@ COMMON = 200_000
 SEEN = 1 << 20
 #: Orders by which the first group of a list, its hub, is chosen.
 ORDERS = 4
+#: Members of a list that meet in a turn, about, and turns.
+MEET, TURNS = 8, 2
 _PRIME, _OTHER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -286,13 +288,11 @@ def _unlike(a: str, b: str, words: int = BITMAP) -> Column:
     return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(words)))
 
 
-def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b, ca, cb, d``: pairs of different components ca and cb that may link, and the bits d in which they differ.
+def _rows_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
+    """``token, rid, n, pos, comp, bitmap``: the members of lists that are of several components.
 
-    Lists and groups whose members are of one component have none, nor have lists of two groups with one
-    member each, whose pair has been tested. The others' groups are expanded into
-    their members, and those outside a list's largest component meet the rest of the list; only pairs
-    that pass by size, place and bitmap leave the join.
+    Lists and groups whose members are of one component are left out, and so are lists of two groups with
+    one member each, whose pair has been tested. The others' groups are expanded into their members.
     """
     m = members.join(labels, members.rid == labels.node, "left").select("g", "rid", "n", F.coalesce("label", "rid").alias("comp"))
     of_group = m.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rid").alias("rid"), F.count("*").alias("m"))
@@ -307,18 +307,71 @@ def _pairs_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describ
     rows = listed.filter("m = 1").select("token", "rid", "n", "pos", "comp").union(several.join(m, "g").select("token", "rid", "n", "pos", "comp"))
     half = BITMAP // 2  # a bitmap whose halves are laid on each other is a parity bitmap too
     bitmaps = described.filter("prefix IS NOT NULL").select(F.col("doc_id").alias("rid"), F.expr(f"zip_with(slice(bitmap, 1, {half}), slice(bitmap, {half + 1}, {half}), (x, y) -> x ^ y)").alias("bitmap"))
-    largest = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).getField("comp").alias("largest"))
-    rows = keep(rows.join(largest, "token").join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", (F.col("comp") != F.col("largest")).alias("outer"), "bitmap"), "mixed")
-    x, y = (rows.select(F.col("token").alias("t" + k), *(F.col(c).alias(c + k) for c in ("rid", "n", "pos", "comp", "outer", "bitmap"))) for k in "xy")
-    may = F.expr(f"compx <> compy AND (ridx < ridy OR NOT outery) AND least(nx - posx, ny - posy) >= {rule.overlap_sql('nx', 'ny')}")
-    d = _unlike("bitmapx", "bitmapy", half)
-    near = x.filter("outerx").join(y, (F.col("tx") == F.col("ty")) & may & (d <= F.expr(rule.apart_sql("nx", "ny"))))
-    low = F.col("ridx") < F.col("ridy")
-    comps = (F.when(low, F.col(p)).otherwise(F.col(q)) for p, q in (("compx", "compy"), ("compy", "compx")))
-    near = near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), next(comps).alias("ca"), next(comps).alias("cb"), d.alias("d"))
-    near = keep(near.distinct(), "left")
-    discard(rows, listed, multi)
+    rows = keep(rows.join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", "bitmap"), "mixed")
+    discard(listed, multi)
     release(lists.sparkSession)
+    return rows
+
+
+def _still_left(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists that are of several components yet, after links have joined some; ``rows`` is deleted."""
+    now = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "bitmap")
+    mixed = now.groupBy("token").agg(F.min("comp").alias("from"), F.max("comp").alias("to")).filter("from < to").select("token")
+    left = keep(now.join(mixed, "token", "left_semi"), "mixed")
+    discard(rows)
+    release(left.sparkSession)
+    return left
+
+
+def _sides(rows: DataFrame, *more: str) -> list[DataFrame]:
+    return [rows.select(F.col("token").alias("t" + k), *(F.col(c).alias(c + k) for c in ("rid", "n", "pos", "comp", "bitmap", *more))) for k in "xy"]
+
+
+def _may_link(rule: Rule) -> tuple[Column, Column]:
+    """Whether rows x and y of a list may link by component, place and bitmap, and the bits in which they differ."""
+    d = _unlike("bitmapx", "bitmapy", BITMAP // 2)
+    may = F.expr(f"compx <> compy AND least(nx - posx, ny - posy) >= {rule.overlap_sql('nx', 'ny')}")
+    return may & (d <= F.expr(rule.apart_sql("nx", "ny"))), d
+
+
+def _ordered(near: DataFrame, d: Column) -> DataFrame:
+    low = F.col("ridx") < F.col("ridy")
+    comps = [F.when(low, F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("ca", "compx", "compy"), ("cb", "compy", "compx"))]
+    return near.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b"), *comps, d.alias("d"))
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """``a, b``: of the pairs between each two components the one with the fewest different bits."""
+    return pairs.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def _met(rows: DataFrame, turn: int, rule: Rule) -> DataFrame:
+    """``a, b``: the closest pair between each two components, of the members that meet in this turn.
+
+    Each list's members are dealt by chance to slots of about ``MEET``, and those of a slot meet: pairs
+    that grow with the lists. Where many of a list's members link, most have met one of them then.
+    """
+    slots = rows.groupBy("token").agg(F.expr(f"greatest(1, count(*) div {MEET})").alias("slots"))
+    dealt = rows.join(slots, "token").withColumn("slot", F.pmod(F.xxhash64("rid", "token", F.lit(turn)), "slots"))
+    x, y = _sides(dealt, "slot")
+    may, d = _may_link(rule)
+    near = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("slotx") == F.col("sloty")) & F.expr("ridx < ridy") & may)
+    return _closest(_ordered(near, d))
+
+
+def _pairs_left(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b, ca, cb, d``: every pair of different components ca and cb that may link, and the bits d in which they differ.
+
+    Members outside a list's largest component meet the rest of the list; only pairs that pass by size,
+    place and bitmap leave the join. ``rows`` is deleted.
+    """
+    largest = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).getField("comp").alias("largest"))
+    x, y = _sides(rows.join(largest, "token").withColumn("outer", F.col("comp") != F.col("largest")), "outer")
+    may, d = _may_link(rule)
+    near = x.filter("outerx").join(y, (F.col("tx") == F.col("ty")) & F.expr("ridx < ridy OR NOT outery") & may)
+    near = keep(_ordered(near, d).distinct(), "left")
+    discard(rows)
+    release(near.sparkSession)
     return near
 
 
@@ -331,7 +384,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     before, and within a group each class with the first one: pairs that grow with the lists, not with
     their squares. They are filtered by size, by the places of the shared element, by bitmaps and by
     common elements of the prefixes, expanded and verified by whole sets. Then only pairs of different
-    components are left: the closest of each two components are verified first, and what remains after.
+    components are left. In two turns a list's members meet a few others of it by chance, so that large
+    groups of near copies join. All pairs of different components that are left after these are tested:
+    the closest of each two components are verified first, and what remains after.
 
     A document without words has no shingles, links with nothing and is its own component. Rows that
     share a ``doc_id`` are one node. A null ``doc_id`` never stands for a class that has another one.
@@ -351,11 +406,21 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     tested = keep(between.union(within).filter("a <> b"), "tested")
     edges = _verified(docs, tested, every, rule)
     labels = components(edges)
-    left = _pairs_left(lists, members, labels, every, rule).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    left = keep(left, "untested")
-    discard(lists, heads, tested)
+    rows = _rows_left(lists, members, labels, every)
+    discard(lists, heads)
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(TURNS):
+        met = keep(_met(rows, turn, rule).join(done, ["a", "b"], "left_anti"), "met")
+        links = _verified(docs, met, every, rule)
+        if not links.isEmpty():
+            edges = edges.union(links)
+            labels = components(edges)
+            rows = _still_left(rows, labels)
+        done = done.union(met)
+    left = keep(_pairs_left(rows, rule).join(done, ["a", "b"], "left_anti"), "untested")
+    discard(tested)
     if not left.isEmpty():
-        first = keep(left.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"), "first")
+        first = keep(_closest(left), "first")
         more = _verified(docs, first, every, rule)
         if not more.isEmpty():
             edges = edges.union(more)
