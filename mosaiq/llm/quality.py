@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample
+from .labelled import held_out, learned, sample
 from .textbytes import Substrings, chunks, words
 
 #: Documents that are learned from at most; words of a passage; width of a passage's code and of the attention.
@@ -148,7 +148,7 @@ def fit(count: np.ndarray, x: np.ndarray, label: np.ndarray, steps: int = 250, r
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
-    """The model for ``labels(doc_id, label)``, from at most ``most`` documents whose passage features come to the driver."""
+    """The model for ``labels(doc_id, label)``, from at most ``most`` documents whose passage features meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, data in chunks(batches):
@@ -157,10 +157,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             blobs = [x[e - c : e].astype(np.float32).tobytes() for e, c in zip(end, count, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary())], names=["label", "x"])
 
-    got = sample(docs, labels, label, most).mapInArrow(run, "label int, x binary").toPandas().sort_values(["label", "x"])
-    each = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["x"]]
-    x = np.concatenate(each).astype(np.float64) if each else np.zeros((0, FEATURES))
-    return fit(np.array([len(e) for e in each], np.int64), x, got["label"].to_numpy(np.float64))
+    def fitted(marks: list[int], blobs: list[bytes]) -> Model:
+        each = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in blobs]
+        x = np.concatenate(each).astype(np.float64) if each else np.zeros((0, FEATURES))
+        return fit(np.array([len(e) for e in each], np.int64), x, np.array(marks, np.float64))
+
+    return learned(sample(docs, labels, label, most).mapInArrow(run, "label int, x binary"), fitted)
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_passages int"

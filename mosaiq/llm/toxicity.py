@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample
+from .labelled import held_out, learned, sample
 from .textbytes import PUNCTUATION, Substrings, chunks, words
 
 #: Documents that are learned from at most; hash buckets; terms that the machine may use; factors of a term.
@@ -51,7 +51,7 @@ class Machine:
         return self._raw(text[hit], at[hit], n)[0]
 
     def _raw(self, text: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        # One factor at a time: the pairs are many, and they are in the driver's memory while a machine is learned.
+        # One factor at a time: the pairs are many, and they are in a task's memory while a machine is learned.
         sums = np.empty((n, self.factors.shape[1]))
         for f in range(sums.shape[1]):
             sums[:, f] = np.bincount(text, weights=self.factors[:, f][term], minlength=n)
@@ -163,7 +163,7 @@ def fit_lists(lists: list[np.ndarray], label: np.ndarray, steps: int = 300, rate
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Machine:
-    """The machine for ``labels(doc_id, label)``, from at most ``most`` documents whose terms come to the driver."""
+    """The machine for ``labels(doc_id, label)``, from at most ``most`` documents whose terms meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, data in chunks(batches):
@@ -172,8 +172,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             blobs = [bucket[i:j].astype(np.int32).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary())], names=["label", "terms"])
 
-    got = sample(docs, labels, label, most).mapInArrow(run, "label int, terms binary").toPandas().sort_values(["label", "terms"])
-    return fit_lists([np.frombuffer(b, np.int32) for b in got["terms"]], got["label"].to_numpy(np.float64))
+    def fitted(marks: list[int], blobs: list[bytes]) -> Machine:
+        return fit_lists([np.frombuffer(b, np.int32) for b in blobs], np.array(marks, np.float64))
+
+    return learned(sample(docs, labels, label, most).mapInArrow(run, "label int, terms binary"), fitted)
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,13 @@ def test_odd_rows_and_missing_labels(docs, tables, module):
     assert keeps.columns == docs.columns
 
 
+@pytest.mark.parametrize("module,fit", [(toxicity, "fit_lists"), (quality, "fit")])
+def test_learning_takes_no_memory_of_the_driver(tables, module, fit, monkeypatch):
+    monkeypatch.setattr(module, fit, lambda *features: (os.getpid(), len(features[-1])))
+    where, rows = module.learn(*tables)
+    assert where != os.getpid() and rows > 100
+
+
 def test_pairs_of_terms_matter():
     """An insult with a group's name is toxic, and neither is alone: an additive model can't tell."""
     rng = np.random.default_rng(0)
