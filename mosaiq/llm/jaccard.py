@@ -182,30 +182,35 @@ def shingle_sets(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
 
 
 def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
-    """``token, g, n, pos, hub, back, mate``: the groups of each prefix element that several groups have.
-
-    A list is sorted by size bucket; the first group of a bucket is its hub. ``hub`` is the bucket's hub
-    and ``back`` that of the bucket before, where the sizes and places let the two link. Where a list is
-    seen to have two groups only, ``mate`` is the other one: these two are a hub and its pair, or too far
-    apart to link. The rows of a token pass one by one with three rows held, whatever a list's length.
+    """``token, g, n, pos, hub, back, mate``: lists of groups that have a prefix element in common and may link by size.
+
+    The groups of an element are sorted by size bucket and parted wherever a bucket is missing, since
+    linked sets are in one or in neighbouring buckets; each part that has several groups is a list, and
+    ``token`` is its own, made of the element and the part's first bucket. The first group of a bucket is
+    its hub. ``hub`` is the bucket's hub and ``back`` that of the bucket before, where the sizes and places
+    let the two link. Where a list is seen to have two groups only, ``mate`` is the other one: these two
+    are a hub and its pair, or too far apart to link. The rows of an element pass one by one with three
+    rows held, whatever a list's length.
     """
     entries = described.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n").cast("int").alias("n"))
     by = F.shiftleft(rule.bucket(F.col("n")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 12))
     entries = entries.repartition("token").select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("token", "by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool)]
+        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool, np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             token, by, g, n, pos = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept[:5]))
             done = np.concatenate([kept[5], np.zeros(batch.num_rows, bool)])
+            own = mix(token.view(np.uint64) + (by >> 52).astype(np.uint64) * _PRIME).view(np.int64)
+            own[: len(kept[6])] = kept[6]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            token, by, g, n, pos, done = (x[new] for x in (token, by, g, n, pos, done))
+            token, by, g, n, pos, done, own = (x[new] for x in (token, by, g, n, pos, done, own))
             b, n, pos = by >> 52, n.astype(np.int64), pos.astype(np.int64)
             first, opens = np.ones(len(token), bool), np.ones(len(token), bool)
-            first[1:] = token[1:] != token[:-1]
+            first[1:] = (token[1:] != token[:-1]) | (b[1:] > b[:-1] + 1)
             opens[1:] = first[1:] | (b[1:] != b[:-1])
             begins = np.flatnonzero(opens)
             nth = np.cumsum(opens) - 1
@@ -215,6 +220,7 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
             ahead = np.where((token[ahead] == token[begins]) & (b[ahead] == b[begins] - 1), ahead, begins)
             back = np.where(ahead[nth] == hub, np.arange(len(token)), ahead[nth])
             of = np.cumsum(first) - 1
+            own = own[first][of]
             many = np.bincount(of)
             several = many[of] > 1
             out = several & ~done
@@ -222,11 +228,11 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
             mate = np.arange(len(token)) + np.where(first, 1, -1)
             mates = pa.array(g[np.where(two, mate, 0)], mask=~two).filter(pa.array(out))
             ends = [pa.array(g[x], mask=(x == np.arange(len(token))) | ~rule.possible(n, pos, n[x], pos[x])).filter(pa.array(out)) for x in (hub, back)]
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(g[out]), pa.array(n[out]), pa.array(pos[out].astype(np.int32)), *ends, mates], names=["token", "g", "n", "pos", "hub", "back", "mate"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[out]), pa.array(g[out]), pa.array(n[out]), pa.array(pos[out].astype(np.int32)), *ends, mates], names=["token", "g", "n", "pos", "hub", "back", "mate"])
             last = len(token) - 1
-            before = begins[nth[last] - 1] if nth[last] and token[begins[nth[last] - 1]] == token[last] else last
+            before = begins[nth[last] - 1] if nth[last] and of[begins[nth[last] - 1]] == of[last] else last
             hold = sorted({int(before), int(hub[last]), last})
-            kept = [token[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold]]
+            kept = [token[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold], own[hold]]
 
     return entries.mapInArrow(run, "token long, g long, n long, pos int, hub long, back long, mate long")
 
@@ -247,21 +253,26 @@ def _full_sets(docs: DataFrame, ids: DataFrame, many: int, rule: Rule) -> DataFr
 def _verified(docs: DataFrame, pairs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     """Those of the candidate ``pairs(a, b)`` that link, by their whole sets.
 
-    Sizes, parity bitmaps and the number of common elements in the prefixes first drop, without loss,
-    pairs that can't link. Linked sets share so many elements that, without those behind the longer
-    rest of the two, some are left that both prefixes must have in common.
+    Sizes and parity bitmaps first drop, without loss, pairs that can't link; then the number of common
+    elements in the prefixes, which are longer than the bitmaps and are sent only for the pairs that are
+    left. Linked sets share so many elements that, without those behind the longer rest of the two, some
+    are left that both prefixes must have in common.
     """
     traits = described.filter("prefix IS NOT NULL").select("doc_id", "n", "prefix", "bitmap")
     pairs = keep(pairs, "pairs")
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     traits = keep(attach(traits, ids, "doc_id", "left_semi", 16.0 * ids.count()), "traits")
-    a, b = (traits.select(F.col("doc_id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "prefix", "bitmap"))) for x in "ab")
+    sides = lambda of, c: [of.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col(c).alias(c + x)) for x in "ab"]
+    a, b = sides(traits, "bitmap")
+    alike = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)").filter(_unlike("bitmapa", "bitmapb") <= F.expr(rule.apart_sql("na", "nb")))
+    alike = keep(alike.select("a", "b"), "alike")
+    some = keep(alike.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "some")
+    a, b = sides(attach(traits, some, "doc_id", "left_semi", 16.0 * some.count()), "prefix")
     common = f"size(array_intersect(prefixa, prefixb)) >= {rule.overlap_sql('na', 'nb')} - greatest(na - size(prefixa), nb - size(prefixb))"
-    near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)").filter(_unlike("bitmapa", "bitmapb") <= F.expr(rule.apart_sql("na", "nb"))).filter(common)
-    near = keep(near.select("a", "b"), "near")
+    near = keep(alike.join(a, "a").join(b, "b").filter(common).select("a", "b"), "near")
     wanted = keep(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
     full = keep(_full_sets(docs, wanted, wanted.count(), rule), "sets")
-    discard(pairs, ids, traits)
+    discard(pairs, ids, traits, alike, some)
     release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +300,7 @@ def _unlike(a: str, b: str, words: int = BITMAP) -> Column:
 
 
 def _rows_left(lists: DataFrame, members: DataFrame, labels: DataFrame, described: DataFrame) -> DataFrame:
-    """``token, rid, n, pos, comp, bitmap``: the members of lists that are of several components.
+    """``token, rid, n, pos, comp, k, bitmap``: the members of lists that are of several components, and how many a list has.
 
     Lists and groups whose members are of one component are left out, and so are lists of two groups with
     one member each, whose pair has been tested. The others' groups are expanded into their members.
@@ -301,24 +312,27 @@ def _rows_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describe
     size = 16.0 * multi.count()
     pairs, row = lists.filter("mate IS NOT NULL"), ("token", "g", "n", "pos")
     again = attach(pairs, multi, "g", "left_semi", size).select(*row).union(attach(pairs, multi.withColumnRenamed("g", "mate"), "mate", "left_semi", size).select(*row)).distinct()
-    listed = lists.filter("mate IS NULL").select(*row).union(again).join(of_group, "g").select("*", *(f.over(of_token).alias(x) for x, f in (("from", F.min("low")), ("to", F.max("high")), ("groups", F.count("*")), ("most", F.max("m")))))
-    listed = keep(listed.filter("from < to AND (groups > 2 OR most > 1)").select("token", "g", "m", "rid", "n", "pos", F.col("low").alias("comp")), "listed")
-    several = listed.filter("m > 1").select("token", "g", "pos").union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos")))
-    rows = listed.filter("m = 1").select("token", "rid", "n", "pos", "comp").union(several.join(m, "g").select("token", "rid", "n", "pos", "comp"))
+    listed = lists.filter("mate IS NULL").select(*row).union(again).join(of_group, "g").select("*", *(f.over(of_token).alias(x) for x, f in (("from", F.min("low")), ("to", F.max("high")), ("groups", F.count("*")), ("most", F.max("m")), ("k", F.sum("m")))))
+    listed = keep(listed.filter("from < to AND (groups > 2 OR most > 1)").select("token", "g", "m", "rid", "n", "pos", F.col("low").alias("comp"), "k"), "listed")
+    several = listed.filter("m > 1").select("token", "g", "pos", "k").union(of_group.filter("low < high AND m > 2").select(F.col("g").alias("token"), "g", F.lit(0).alias("pos"), F.col("m").alias("k")))
+    rows = listed.filter("m = 1").select("token", "rid", "n", "pos", "comp", "k").union(several.join(m, "g").select("token", "rid", "n", "pos", "comp", "k"))
     half = BITMAP // 2  # a bitmap whose halves are laid on each other is a parity bitmap too
     bitmaps = described.filter("prefix IS NOT NULL").select(F.col("doc_id").alias("rid"), F.expr(f"zip_with(slice(bitmap, 1, {half}), slice(bitmap, {half + 1}, {half}), (x, y) -> x ^ y)").alias("bitmap"))
-    rows = keep(rows.join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", "bitmap"), "mixed")
+    rows = keep(rows.join(bitmaps, "rid").select("token", "rid", "n", "pos", "comp", "k", "bitmap"), "mixed")
     discard(listed, multi)
     release(lists.sparkSession)
     return rows
 
 
 def _still_left(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of lists that are of several components yet, after links have joined some; ``rows`` is deleted."""
-    now = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "bitmap")
-    mixed = now.groupBy("token").agg(F.min("comp").alias("from"), F.max("comp").alias("to")).filter("from < to").select("token")
-    left = keep(now.join(mixed, "token", "left_semi"), "mixed")
-    discard(rows)
+    """The rows of lists that are of several components yet, after links have joined some; ``rows`` is deleted.
+
+    The lists that are of one component now are fewer than the others, so that these are sent.
+    """
+    now = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "k", "bitmap")
+    joined = keep(now.groupBy("token").agg(F.min("comp").alias("from"), F.max("comp").alias("to")).filter("from = to").select("token"), "joined")
+    left = keep(attach(now, joined, "token", "left_anti", 16.0 * joined.count()), "mixed")
+    discard(rows, joined)
     release(left.sparkSession)
     return left
 
@@ -351,8 +365,7 @@ def _met(rows: DataFrame, turn: int, rule: Rule) -> DataFrame:
     Each list's members are dealt by chance to slots of about ``MEET``, and those of a slot meet: pairs
     that grow with the lists. Where many of a list's members link, most have met one of them then.
     """
-    slots = rows.groupBy("token").agg(F.expr(f"greatest(1, count(*) div {MEET})").alias("slots"))
-    dealt = rows.join(slots, "token").withColumn("slot", F.pmod(F.xxhash64("rid", "token", F.lit(turn)), "slots"))
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("rid", "token", F.lit(turn)), F.expr(f"greatest(1, k div {MEET})")))
     x, y = _sides(dealt, "slot")
     may, d = _may_link(rule)
     near = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("slotx") == F.col("sloty")) & F.expr("ridx < ridy") & may)

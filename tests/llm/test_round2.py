@@ -222,3 +222,15 @@ def test_a_text_of_very_many_terms():
     m = toxicity.Machine(np.arange(100_000), 0.0, np.full(100_000, 0.1), np.full((100_000, 8), 0.5))
     p = m.logits(np.zeros(100_000, np.int64), np.arange(100_000), 1)
     assert np.isfinite(p).all() and 0 <= toxicity._sigmoid(p)[0] <= 1
+
+
+def test_lists_part_where_sizes_are_too_far_apart_to_link(spark):
+    """One element in sets of 20, 21, 100, 104 and 400 elements, whatever the batches."""
+    rows = [(g, n, [7]) for g, n in ((1, 20), (2, 21), (3, 100), (4, 104), (5, 400))]
+    for most in ("1", "2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        lists = {}
+        for r in jaccard.shared_lists(spark.createDataFrame(rows, "g long, n long, prefix array<long>"), jaccard.Rule()).collect():
+            lists.setdefault(r.token, set()).add(r.g)
+        assert sorted(map(sorted, lists.values())) == [[1, 2], [3, 4]]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
