@@ -327,7 +327,7 @@ def _rows_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describe
 def _still_left(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of lists that are of several components yet, after links have joined some; ``rows`` is deleted.
 
-    The lists that are of one component now are fewer than the others, so that these are sent.
+    Lists that became one are few where most share elements by chance, so that their tokens are sent, not the rows.
     """
     now = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "k", "bitmap")
     joined = keep(now.groupBy("token").agg(F.min("comp").alias("from"), F.max("comp").alias("to")).filter("from = to").select("token"), "joined")
