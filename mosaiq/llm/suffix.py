@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import discard, keep
-from .textbytes import Substrings, as_list, chunks, mix
+from .textbytes import Substrings, as_list, chunks, mix, trim
 
 #: Bytes of the strings, and of the anchors that they are dealt by.
 WINDOW, GRAM = 200, 32
 #: Bytes of contexts that a suffix array is built over, about, and the most that one anchor gives it.
 SHARD_BYTES, ANCHOR_BYTES = 2 << 20, 8 << 20
+#: Bytes of texts whose anchors are found at once, some 130 bytes of memory for each.
+ANCHOR_CHUNK = 1 << 19
 
 
 def _eights(text: np.ndarray, depth: int) -> np.ndarray:
@@ -195,14 +197,15 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[last]
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, data in chunks(batches):
-            text, start, length, anchor, content = anchors(at, data)
-            key = batch.column("key").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), key, pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["anchor", "content", "key", "start", "len"])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, at, data in chunks(batches, limit=ANCHOR_CHUNK):
+        text, start, length, anchor, content = anchors(at, data)
+        key = batch.column("key").take(pa.array(text))
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), key, pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["anchor", "content", "key", "start", "len"])
 
-    return docs.select("key", "text").mapInArrow(run, "anchor long, content long, key binary, start int, len int")
+
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("key", "text").mapInArrow(_runs, "anchor long, content long, key binary, start int, len int")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -253,6 +256,8 @@ def _marks(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(row[3])
     if held:
         yield solved()
+    held = []
+    trim()
 
 
 def _hot_marks(contexts: DataFrame) -> DataFrame:
