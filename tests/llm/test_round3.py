@@ -1,9 +1,11 @@
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from mosaiq.llm import suffix
+from mosaiq.llm import graph, suffix
 
 
 def test_anchors_take_little_memory():
@@ -18,3 +20,31 @@ def test_anchors_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows >= 1000 and peak < 100 << 20
+
+
+def lowest(links):
+    above = {x: x for link in links for x in link}
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    return {x: top(x) for x in above}
+
+
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_links_are_joined_in_few_tables(spark, monkeypatch, most):
+    """A long chain and random links, in one task and in several; one task needs no rounds."""
+    rng = random.Random(4)
+    ids = rng.sample(range(10**6), 200)
+    links = [*zip(ids[:60], ids[1:61], strict=True), *((rng.choice(ids[61:]), rng.choice(ids[61:])) for _ in range(50))]
+    written = []
+    monkeypatch.setattr(graph, "keep", lambda df, name, keep=graph.keep: written.append(name) or keep(df, name))
+    monkeypatch.setattr(graph, "LINKS", most)
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
+    assert got == lowest(links)
+    assert most < len(links) or len(written) == 2
