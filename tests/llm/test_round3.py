@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from mosaiq.llm import graph, suffix
+from mosaiq.llm import graph, spm, suffix
 
 
 def test_anchors_take_little_memory():
@@ -48,3 +48,24 @@ def test_links_are_joined_in_few_tables(spark, monkeypatch, most):
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
     assert got == lowest(links)
     assert most < len(links) or len(written) == 2
+
+
+def test_units_that_come_again_are_kept(monkeypatch):
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "▁ab", "abc"]
+    v = spm.Vocabulary(pieces, np.arange(len(pieces)), np.log(np.full(len(pieces), 0.1)), np.arange(256) + 100, -9.0)
+    v.prepare()
+    built, lattice = [], spm.lattice
+    monkeypatch.setattr(spm, "lattice", lambda names, v: built.extend(names) or lattice(names, v))
+    units, rng = spm.Units(v, 200), random.Random(6)
+    for _ in range(40):
+        rare = " ".join("".join(rng.choice("abc") for _ in range(9)) for _ in range(5))
+        unit, per = units.add([f"abc ab cab {rare}", "ab abc é"])
+        assert per.tolist() == [8, 4] and len(units.lat.piece) <= 200 + 400
+        names = list(units.number)
+        for u in set(unit.tolist()):
+            one = spm._some(units.lat, np.array([u]))
+            fresh = lattice([names[u]], v)
+            for x, y in ((one.target, fresh.target), (one.piece, fresh.piece), (one.arc_at, fresh.arc_at), (one.cond, fresh.cond)):
+                assert np.array_equal(x, y)
+            assert np.allclose(one.upto, fresh.upto, atol=1e-9)
+    assert built.count("▁abc") == 1
