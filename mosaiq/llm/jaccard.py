@@ -193,8 +193,11 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
     rows held, whatever a list's length.
     """
     entries = described.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n").cast("int").alias("n"))
-    by = F.shiftleft(rule.bucket(F.col("n")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 12))
-    entries = entries.repartition("token").select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("token", "by")
+    # One number to sort by, which Spark does by radix: an element's first 36 bits, the size bucket, and a hash of the group.
+    # Elements that meet in their first bits share a list, which adds candidates and loses none.
+    bucket = F.shiftleft(F.least(rule.bucket(F.col("n")), F.lit(4095)).cast("long"), 16)
+    by = F.col("token").bitwiseAND(F.lit(-1 << 28)).bitwiseOR(bucket).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 48))
+    entries = entries.repartition("token").select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool, np.int64)]
@@ -203,12 +206,23 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
                 continue
             token, by, g, n, pos = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept[:5]))
             done = np.concatenate([kept[5], np.zeros(batch.num_rows, bool)])
-            own = mix(token.view(np.uint64) + (by >> 52).astype(np.uint64) * _PRIME).view(np.int64)
-            own[: len(kept[6])] = kept[6]
+            own = np.concatenate([kept[6], np.zeros(batch.num_rows, np.int64)])
+            # Most elements are in one group only; the last row may go on in the next batch.
+            again = by[1:] >> 28 == by[:-1] >> 28
+            held = np.append(again, True) | np.append(False, again)
+            old = int(held[: len(kept[6])].sum())
+            token, by, g, n, pos, done, own = (x[held] for x in (token, by, g, n, pos, done, own))
+            tied = np.append(by[1:] == by[:-1], False)
+            tied[1:] |= tied[:-1]
+            tied[:old] = False
+            if len(spot := np.flatnonzero(tied)):
+                move = spot[np.lexsort((g[spot], token[spot], by[spot]))]
+                token[spot], g[spot], n[spot], pos[spot] = token[move], g[move], n[move], pos[move]
+            own[old:] = mix(token[old:].view(np.uint64) + (by[old:] >> 16 & 4095).astype(np.uint64) * _PRIME).view(np.int64)
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
             token, by, g, n, pos, done, own = (x[new] for x in (token, by, g, n, pos, done, own))
-            b, n, pos = by >> 52, n.astype(np.int64), pos.astype(np.int64)
+            b, token, whole, n, pos = by >> 16 & 4095, by >> 28, token, n.astype(np.int64), pos.astype(np.int64)
             first, opens = np.ones(len(token), bool), np.ones(len(token), bool)
             first[1:] = (token[1:] != token[:-1]) | (b[1:] > b[:-1] + 1)
             opens[1:] = first[1:] | (b[1:] != b[:-1])
@@ -232,7 +246,7 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
             last = len(token) - 1
             before = begins[nth[last] - 1] if nth[last] and of[begins[nth[last] - 1]] == of[last] else last
             hold = sorted({int(before), int(hub[last]), last})
-            kept = [token[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold], own[hold]]
+            kept = [whole[hold], by[hold], g[hold], n[hold].astype(np.int32), pos[hold].astype(np.int32), (several | done)[hold], own[hold]]
 
     return entries.mapInArrow(run, "token long, g long, n long, pos int, hub long, back long, mate long")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from mosaiq.llm import graph, spm, suffix
+from mosaiq.llm import graph, jaccard, spm, suffix
 
 
 def test_anchors_take_little_memory():
@@ -50,6 +50,14 @@ def test_links_are_joined_in_few_tables(spark, monkeypatch, most):
     assert most < len(links) or len(written) == 2
 
 
+def test_lists_are_sorted_by_one_number(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 40))) for k in range(30)], "doc_id long, text string")
+    lists = jaccard.shared_lists(jaccard.shingle_sets(docs, jaccard.Rule(), np.zeros(0, np.uint64)), jaccard.Rule())
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [by#" in plan and "ASC NULLS FIRST, " not in plan
+    assert lists.count() > 0
+
+
 def test_units_that_come_again_are_kept(monkeypatch):
     pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "▁ab", "abc"]
     v = spm.Vocabulary(pieces, np.arange(len(pieces)), np.log(np.full(len(pieces), 0.1)), np.arange(256) + 100, -9.0)
