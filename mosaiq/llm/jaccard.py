@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ SEEN = 1 << 20
 ORDERS = 4
 #: Members of a list that meet in a turn, about, and turns.
 MEET, TURNS = 8, 2
+#: One pair for so many members at most is verified at once; of more, the closest between each two components first.
+FEW = 8
+#: An entry of a prefix as bytes, how many a task sends at once, about, and shares of the elements for each partition.
+ENTRY, SENT, DEALT = np.dtype([("token", "<i8"), ("g", "<i8"), ("n", "<i4"), ("pos", "<i4")]), 1 << 20, 16
 _PRIME, _OTHER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -181,6 +186,62 @@ def shingle_sets(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {SETS}")
 
 
+def _entries(described: DataFrame) -> DataFrame:
+    """``token, g, n, pos``: the prefix elements that at least two sets have; all entries of an element are in one partition.
+
+    Most elements are in one set only. So entries are shuffled in shares, as bytes, and become rows only
+    where their element comes again; a task holds one share of the elements at a time.
+    """
+    shares = DEALT * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = np.min_scalar_type(shares)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            every, g, n = lists.values.to_numpy(zero_copy_only=False), batch.column("g").to_numpy(), batch.column("n").to_numpy()
+            low = 0
+            while low < len(lists):
+                high = max(low + 1, int(np.searchsorted(at, at[low] + SENT, "right")) - 1)
+                many = np.diff(at[low : high + 1])
+                rows = np.empty(int(at[high] - at[low]), ENTRY)
+                rows["token"], rows["g"], rows["n"] = every[at[low] : at[high]], np.repeat(g[low:high], many), np.repeat(n[low:high], many)
+                rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+                share = (rows["token"].view(np.uint64) % np.uint64(shares)).astype(kind)
+                size = np.bincount(share, minlength=shares)
+                rows = rows[np.argsort(share, kind="stable")]
+                some = np.flatnonzero(size)
+                ends = np.concatenate([[0], np.cumsum(size[some]) * ENTRY.itemsize]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), data], names=["share", "entries"])
+                low = high
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def met() -> pa.RecordBatch:
+            rows = np.frombuffer(b"".join(held), ENTRY)
+            by = np.argsort(rows["token"])
+            token = rows["token"][by]
+            same = token[1:] == token[:-1]
+            rows = rows[by[np.append(same, False) | np.append(False, same)]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ENTRY.names], names=ENTRY.names)
+
+        for batch in batches:
+            for share, entries in zip(batch.column("share").to_pylist(), batch.column("entries"), strict=True):
+                if share != now and held:
+                    yield met()
+                    held.clear()
+                now = share
+                held.append(entries.as_buffer())
+        if held:
+            yield met()
+
+    sets = described.filter("prefix IS NOT NULL").select("prefix", "g", F.col("n").cast("int").alias("n"))
+    shared = sets.mapInArrow(dealt, "share int, entries binary").repartition("share").sortWithinPartitions("share")
+    return shared.mapInArrow(again, "token long, g long, n int, pos int")
+
+
 def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
     """``token, g, n, pos, hub, back, mate``: lists of groups that have a prefix element in common and may link by size.
 
@@ -192,12 +253,11 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
     are a hub and its pair, or too far apart to link. The rows of an element pass one by one with three
     rows held, whatever a list's length.
     """
-    entries = described.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n").cast("int").alias("n"))
     # One number to sort by, which Spark does by radix: an element's first 36 bits, the size bucket, and a hash of the group.
     # Elements that meet in their first bits share a list, which adds candidates and loses none.
     bucket = F.shiftleft(F.least(rule.bucket(F.col("n")), F.lit(4095)).cast("long"), 16)
     by = F.col("token").bitwiseAND(F.lit(-1 << 28)).bitwiseOR(bucket).bitwiseOR(F.shiftrightunsigned(F.xxhash64("g", F.pmod("token", F.lit(ORDERS))), 48))
-    entries = entries.repartition("token").select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("by")
+    entries = _entries(described).select("token", by.alias("by"), "g", "n", "pos").sortWithinPartitions("by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool, np.int64)]
@@ -207,7 +267,7 @@ def shared_lists(described: DataFrame, rule: Rule) -> DataFrame:
             token, by, g, n, pos = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept[:5]))
             done = np.concatenate([kept[5], np.zeros(batch.num_rows, bool)])
             own = np.concatenate([kept[6], np.zeros(batch.num_rows, np.int64)])
-            # Most elements are in one group only; the last row may go on in the next batch.
+            # Elements of one group only leave; the last row may go on in the next batch.
             again = by[1:] >> 28 == by[:-1] >> 28
             held = np.append(again, True) | np.append(False, again)
             old = int(held[: len(kept[6])].sum())
@@ -274,6 +334,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, described: DataFrame, rule: Rul
     """
     traits = described.filter("prefix IS NOT NULL").select("doc_id", "n", "prefix", "bitmap")
     pairs = keep(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     traits = keep(attach(traits, ids, "doc_id", "left_semi", 16.0 * ids.count()), "traits")
     sides = lambda of, c: [of.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col(c).alias(c + x)) for x in "ab"]
@@ -285,7 +347,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, described: DataFrame, rule: Rul
     common = f"size(array_intersect(prefixa, prefixb)) >= {rule.overlap_sql('na', 'nb')} - greatest(na - size(prefixa), nb - size(prefixb))"
     near = keep(alike.join(a, "a").join(b, "b").filter(common).select("a", "b"), "near")
     wanted = keep(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
-    full = keep(_full_sets(docs, wanted, wanted.count(), rule), "sets")
+    many = wanted.count()
+    if not many:
+        return near
+    full = keep(_full_sets(docs, wanted, many, rule), "sets")
     discard(pairs, ids, traits, alike, some)
     release(docs.sparkSession)
 
@@ -339,11 +404,12 @@ def _rows_left(lists: DataFrame, members: DataFrame, labels: DataFrame, describe
 
 
 def _still_left(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of lists that are of several components yet, after links have joined some; ``rows`` is deleted.
+    """The rows of lists that are of several components yet, after a turn; ``rows`` is deleted.
 
-    Lists that became one are few where most share elements by chance, so that their tokens are sent, not the rows.
+    Lists of one slot are done: all their members have met. Lists that became one are few where most share
+    elements by chance, so that their tokens are sent, not the rows.
     """
-    now = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "k", "bitmap")
+    now = rows.filter(f"k >= {2 * MEET}").join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "pos", F.coalesce("label", "rid").alias("comp"), "k", "bitmap")
     joined = keep(now.groupBy("token").agg(F.min("comp").alias("from"), F.max("comp").alias("to")).filter("from = to").select("token"), "joined")
     left = keep(attach(now, joined, "token", "left_anti", 16.0 * joined.count()), "mixed")
     discard(rows, joined)
@@ -374,16 +440,17 @@ def _closest(pairs: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, turn: int, rule: Rule) -> DataFrame:
-    """``a, b``: the closest pair between each two components, of the members that meet in this turn.
+    """``a, b, ca, cb, d``: the pairs of different components that may link, of the members that meet in this turn.
 
     Each list's members are dealt by chance to slots of about ``MEET``, and those of a slot meet: pairs
-    that grow with the lists. Where many of a list's members link, most have met one of them then.
+    that grow with the lists. Where many of a list's members link, most have met one of them then. Lists
+    of fewer than twice ``MEET`` members are one slot.
     """
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("rid", "token", F.lit(turn)), F.expr(f"greatest(1, k div {MEET})")))
     x, y = _sides(dealt, "slot")
     may, d = _may_link(rule)
     near = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("slotx") == F.col("sloty")) & F.expr("ridx < ridy") & may)
-    return _closest(_ordered(near, d))
+    return _ordered(near, d).distinct()
 
 
 def _pairs_left(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -411,9 +478,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     before, and within a group each class with the first one: pairs that grow with the lists, not with
     their squares. They are filtered by size, by the places of the shared element, by bitmaps and by
     common elements of the prefixes, expanded and verified by whole sets. Then only pairs of different
-    components are left. In two turns a list's members meet a few others of it by chance, so that large
-    groups of near copies join. All pairs of different components that are left after these are tested:
-    the closest of each two components are verified first, and what remains after.
+    components are left. In a turn or two a list's members meet a few others of it by chance, in short lists all
+    others, so that large groups of near copies join. All pairs of different components that are left
+    after these are tested. Few pairs are verified at once; of many, the closest of each two components
+    first, and what remains after.
 
     A document without words has no shingles, links with nothing and is its own component. Rows that
     share a ``doc_id`` are one node. A null ``doc_id`` never stands for a class that has another one.
@@ -436,27 +504,41 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = _rows_left(lists, members, labels, every)
     discard(lists, heads)
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many, later = members.count(), []
     for turn in range(TURNS):
         met = keep(_met(rows, turn, rule).join(done, ["a", "b"], "left_anti"), "met")
-        links = _verified(docs, met, every, rule)
+        at_once = met.count() * FEW <= many
+        first = met.select("a", "b") if at_once else keep(_closest(met), "first")
+        links = _verified(docs, first, every, rule)
+        done = done.union(first)
+        if not at_once:
+            later.append(met)
         if not links.isEmpty():
             edges = edges.union(links)
             labels = components(edges)
-            rows = _still_left(rows, labels)
-        done = done.union(met)
-    left = keep(_pairs_left(rows, rule).join(done, ["a", "b"], "left_anti"), "untested")
-    discard(tested)
-    if not left.isEmpty():
-        first = keep(_closest(left), "first")
+        rows = _still_left(rows, labels)
+        if at_once:  # where few that met may link, so do few of the others
+            break
+    if rows.isEmpty():
+        discard(rows)
+    else:
+        later.append(_pairs_left(rows, rule))
+    if later:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+        apart = lambda pairs: pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        left = reduce(DataFrame.union, later).select("a", "b", "d").distinct().join(done, ["a", "b"], "left_anti")
+        left = keep(apart(left).select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb"), "d"), "untested")
+        at_once = left.count() * FEW <= many
+        first = left.select("a", "b") if at_once else keep(_closest(left), "first")
         more = _verified(docs, first, every, rule)
         if not more.isEmpty():
             edges = edges.union(more)
             labels = components(edges)
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
-        rest = left.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        rest = _verified(docs, rest, every, rule)
-        if not rest.isEmpty():
-            labels = components(edges.union(rest))
+        if not at_once:
+            rest = _verified(docs, apart(left.select("a", "b").join(first, ["a", "b"], "left_anti")).select("a", "b"), every, rule)
+            if not rest.isEmpty():
+                labels = components(edges.union(rest))
+    discard(tested)
     found = classes.join(labels, classes.rid == labels.node, "left").select("s1", "s2", "n", "low", F.coalesce("label", "rid").alias("comp"))
     lowest = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("lowest"))
     answer = keep(found.join(lowest, "comp", "left").select("s1", "s2", "n", F.coalesce("lowest", "low").alias("component_id")), "answer")

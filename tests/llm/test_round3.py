@@ -4,6 +4,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_texts import brute_components
 
 from mosaiq.llm import graph, jaccard, spm, suffix
 
@@ -77,3 +78,25 @@ def test_units_that_come_again_are_kept(monkeypatch):
                 assert np.array_equal(x, y)
             assert np.allclose(one.upto, fresh.upto, atol=1e-9)
     assert built.count("▁abc") == 1
+
+
+@pytest.mark.parametrize("few,rounds", [(0, 2), (1 << 40, 4)])
+def test_short_lists_meet_once(spark, monkeypatch, few, rounds):
+    """Lists of few members are done after one turn; pairs are verified at once where they are few."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(9 * g + i, " ".join(f"{w}x{g}" if 2 + i * (i < 4) != j else f"n{g}y{i}" for j, w in enumerate(words))) for g in range(4) for i in range(9)]
+    calls = []
+    monkeypatch.setattr(jaccard, "_verified", lambda *a, verified=jaccard._verified: calls.append(1) or verified(*a))
+    monkeypatch.setattr(jaccard, "FEW", few)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+    assert len(calls) <= rounds
+
+
+def test_elements_of_one_set_leave_before_the_sort(spark, monkeypatch):
+    """Of 3,000 elements the two that two sets share are sorted, however many are sent at once; places stay."""
+    monkeypatch.setattr(jaccard, "SENT", 7)
+    sets = [(k, 100, [1000 * k + j for j in range(1000)]) for k in range(3)]
+    sets[2][2][5], sets[2][2][999] = 1007, 3
+    got = jaccard._entries(spark.createDataFrame([*sets, (7, 5, []), (8, 5, None)], "g long, n long, prefix array<long>").repartition(2)).collect()
+    assert sorted(map(tuple, got)) == [(3, 0, 100, 3), (3, 2, 100, 999), (1007, 1, 100, 7), (1007, 2, 100, 5)]
