@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, html, jaccard, packing, quality, sharding, spm, suffix, toxicity, vptree
+from . import gif, html, jaccard, packing, quality, sharding, spm, suffix, tokencount, toxicity, vptree
 
 #: Bytes of a shard and of a packed sequence; where the tokenizer is; segmentations of a text.
 SHARD_LIMIT, SEQUENCE = 1 << 20, 8192
 SAMPLES = 2
+#: Tokens beyond which a text is over its limit.
+TOKENS = 4096
 
 
 def tokenizer_path() -> str:
@@ -69,7 +71,11 @@ def op10_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gif, op2_attention_quality, op3_extendible_sharding, op4_grouped_prefix_join, op5_text_density, op6_vantage_point_search, op7_best_fit_packing, op8_gumbel_segmentations, op9_suffix_array_dedup, op10_factorization_toxicity)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), TOKENS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gif, op2_attention_quality, op3_extendible_sharding, op4_grouped_prefix_join, op5_text_density, op6_vantage_point_search, op7_best_fit_packing, op8_gumbel_segmentations, op9_suffix_array_dedup, op10_factorization_toxicity, op13_token_counts)}
 
 _OP3 = f"""
 WITH RECURSIVE docs AS (
