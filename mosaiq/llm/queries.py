@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, html, jaccard, packing, quality, sharding, spm, suffix, tokencount, toxicity, vptree
+from . import collocations, gif, html, jaccard, packing, quality, sharding, spm, suffix, tokencount, toxicity, vptree
 
 #: Bytes of a shard and of a packed sequence; where the tokenizer is; segmentations of a text.
 SHARD_LIMIT, SEQUENCE = 1 << 20, 8192
@@ -71,11 +71,15 @@ def op10_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), TOKENS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gif, op2_attention_quality, op3_extendible_sharding, op4_grouped_prefix_join, op5_text_density, op6_vantage_point_search, op7_best_fit_packing, op8_gumbel_segmentations, op9_suffix_array_dedup, op10_factorization_toxicity, op13_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gif, op2_attention_quality, op3_extendible_sharding, op4_grouped_prefix_join, op5_text_density, op6_vantage_point_search, op7_best_fit_packing, op8_gumbel_segmentations, op9_suffix_array_dedup, op10_factorization_toxicity, op12_phrase_collocations, op13_token_counts)}
 
 _OP3 = f"""
 WITH RECURSIVE docs AS (
@@ -90,4 +94,23 @@ SELECT doc_id, n_bytes,
     leaf.d AS local_depth, CAST(b AS BIGINT) AS shard_bytes, CAST(0 AS BIGINT) AS page
 FROM leaf JOIN nodes ON leaf.d = nodes.d AND h >> (60 - leaf.d) = p
 """
-ORACLES: dict[str, str] = {"op3_extendible_sharding": _OP3}
+_OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+grams AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS p FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM listed, sizes WHERE len(w) >= k)),
+counts AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.k, c.p, c.f AS a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+    FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM counts WHERE k > 1) c
+    JOIN counts x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, cut)
+    JOIN counts y ON y.lang = c.lang AND y.p = list_slice(c.p, cut + 1, c.k)),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+longer AS (SELECT lang, list_slice(p, i, i + m - 1) AS p, max(f) AS most FROM (SELECT lang, k, p, f, m, unnest(generate_series(1, k - m + 1)) AS i FROM counts, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+    FROM lowest b LEFT JOIN longer USING (lang, p) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op3_extendible_sharding": _OP3, "op12_phrase_collocations": _OP12}

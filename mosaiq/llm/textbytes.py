@@ -105,13 +105,13 @@ def _through(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the words from ``start`` to ``end`` with A-Z lower-cased, by eight bytes at a time."""
     low = np.zeros(len(data) + 8, np.uint8)
     low[: len(data)] = _through(data, _LOWER)
     eight = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
     size = end - start
-    h = mix(size.astype(U))
+    h = mix(size.astype(U) + (U(seed) << U(32)))
     live = np.arange(len(start))
     for k in range(0, int(size.max(initial=0)), 8):
         if k:
@@ -147,6 +147,14 @@ def sets(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return np.bincount(text[new], minlength=n), h[new]
 
 
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """An Arrow column of the strings from ``start`` to ``end``, with A-Z lower-cased."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    held = _through(data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])], _LOWER)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).cast(pa.string())
+
+
 def as_list(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
     """An Arrow column of lists from their sizes and all values in a row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
