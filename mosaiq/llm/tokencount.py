@@ -49,7 +49,7 @@ class Counter:
         self.edge = re.compile(f"(?<=[^ {MARK}]){marks}|[^ {MARK}{inside}]", re.S)
         self.whole = {p.replace(MARK, " "): 1 for p, n in zip(pieces, self.merged([p.replace(MARK, " ") for p in pieces]), strict=True) if n == 1}
         self.whole["\n"] = 1  # the token of its byte
-        self.rest: dict[str, int] = {}
+        self.known = dict(self.whole)
 
     def merged(self, units: list[str]) -> list[int]:
         """Tokens of each unit, none of which has a line feed, by the model's encoder."""
@@ -74,13 +74,12 @@ class Counter:
             n = 0
             for span in self.spans(text) if text else ():
                 units = self.units.findall(span)
-                new = [*(set(units) - self.whole.keys() - self.rest.keys())]
-                if len(self.rest) + len(new) > REMEMBERED:
-                    self.rest = {}
-                    new = [*(set(units) - self.whole.keys())]
-                self.rest.update(zip(new, self.merged(new), strict=True))
-                whole, rest = self.whole.get, self.rest
-                n += sum(whole(unit) or rest[unit] for unit in units)
+                new = [*set(units).difference(self.known)]
+                if len(self.known) - len(self.whole) + len(new) > REMEMBERED:
+                    self.known = dict(self.whole)
+                    new = [*set(units).difference(self.known)]
+                self.known.update(zip(new, self.merged(new), strict=True))
+                n += sum(map(self.known.__getitem__, units))
             out.append(n)
         return out
 
