@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-import io
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .perfecthash import PerfectHash
 from .scratch import keep
+from .sums import PART, PARTS, parts_of, tree_sum, unpacked
 from .textbytes import chunks, mix, slices, trim, word_hashes, words
 
 U = np.uint64
-#: Words of the longest phrase; buckets of a sieve, as a power of two; numbers of an array that are summed together.
-LONGEST, SIEVE, PART = 4, 24, 1 << 16
-#: Candidates that are counted in one reading of the texts; arrays that a first sum takes; text bytes that are taken at a time.
-KEYS, FAN, TEXT = 1 << 20, 64, 8 << 20
+#: Words of the longest phrase; buckets of a sieve, as a power of two.
+LONGEST, SIEVE = 4, 24
+#: Candidates that are counted in one reading of the texts; text bytes that are taken at a time.
+KEYS, TEXT = 1 << 20, 8 << 20
 #: Shares of a language that are ranked apart before the last ranking.
 SHARES = 64
 
@@ -79,72 +77,6 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return each.groupBy("h", "lang", "word").agg(F.sum("n").alias("f"))
 
 
-# --- arrays of counts, cut into parts and summed as a tree
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the least type that holds them, as pairs of place and count where most are zero."""
-    kind = np.min_scalar_type(int(counts.max(initial=0)))
-    some = np.flatnonzero(counts)
-    out = io.BytesIO()
-    if len(some) * (4 + kind.itemsize) < len(counts) * kind.itemsize:
-        np.savez(out, n=len(counts), at=some.astype(np.uint32), x=counts[some].astype(kind))
-    else:
-        np.savez(out, x=counts.astype(kind))
-    return zlib.compress(out.getvalue(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    with np.load(io.BytesIO(zlib.decompress(data))) as held:
-        if "at" not in held:
-            return held["x"].astype(np.int64)
-        out = np.zeros(int(held["n"]), np.int64)
-        out[held["at"]] = held["x"]
-        return out
-
-
-def _parts(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of the parts, without those of zeros, of a task's arrays."""
-    task = TaskContext.get().partitionId()
-    for k, counts in arrays.items():
-        for low in range(0, len(counts), PART):
-            part = counts[low : low + PART]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([low // PART], pa.int32()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["k", "part", "task", "counts"])
-    trim()
-
-
-PARTS = "k int, part int, task int, counts binary"
-
-
-def tree_sum(parts: DataFrame, most: int | None = None) -> DataFrame:
-    """``k, part, task, counts``: the sum of each part over all tasks, first over ``FAN`` tasks at a time; sums stop at ``most``."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(0, np.int64)
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in at] + [pa.array([_packed(total)], pa.binary())], names=["k", "part", "task", "counts"])
-
-        for batch in batches:
-            for k, part, task, data in zip(*(batch.column(c) for c in range(4)), strict=True):
-                key, counts = (k.as_py(), part.as_py(), task.as_py()), _unpacked(data.as_py())
-                if key != at:
-                    if at:
-                        yield row()
-                    at, total = key, counts
-                else:
-                    total = total + counts
-                if most:
-                    total = np.minimum(total, most)
-        if at:
-            yield row()
-
-    for step in (FAN, 1 << 31):
-        parts = parts.withColumn("task", F.floor(F.col("task") / step).cast("int")).repartition("k", "part", "task").sortWithinPartitions("k", "part", "task").mapInArrow(summed, PARTS)
-    return parts
-
-
 # --- sieves
 
 
@@ -164,7 +96,7 @@ def _sifted(parts: DataFrame, most: int) -> dict[int, Sieve]:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.packbits(_unpacked(x.as_py()) >= most, bitorder="little").tobytes() for x in batch.column("counts")]
+            found = [np.packbits(unpacked(x.as_py()) >= most, bitorder="little").tobytes() for x in batch.column("counts")]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("part"), pa.array(found, pa.binary())], names=["k", "part", "bits"])
 
     out: dict[int, Sieve] = {}
@@ -186,7 +118,7 @@ def word_sieve(frequent: DataFrame) -> dict[int, Sieve]:
         buckets = np.zeros(1 << SIEVE, np.uint8)
         for batch in batches:
             _added(buckets, batch.column("h").to_numpy().view(U), 1)
-        yield from _parts({1: buckets})
+        yield from parts_of({1: buckets})
 
     return _sifted(frequent.select("h").mapInArrow(marked, PARTS), 1)
 
@@ -220,7 +152,7 @@ def run_sieves(docs: DataFrame, sieves: dict[int, Sieve], lengths: range, rule:
             for k, _, g in _runs(key, joined, held.value, max(lengths)):
                 if k in buckets:
                     _added(buckets[k], g, most)
-        yield from _parts(buckets)
+        yield from parts_of(buckets)
 
     found = _sifted(docs.select("text", "lang").mapInArrow(counted, PARTS), most)
     held.unpersist()
@@ -286,7 +218,7 @@ def slot_counts(docs: DataFrame, slots, sieves, share: Callable[[np.ndarray], np
                 at, g = at[own], g[own]
                 slot = table.find(g, k, [key[at + j] for j in range(k)])
                 counts += np.bincount(slot[slot >= 0], minlength=len(counts))
-        yield from _parts({0: counts})
+        yield from parts_of({0: counts})
 
     return tree_sum(docs.select("text", "lang").mapInArrow(counted, PARTS))
 
@@ -301,7 +233,7 @@ def _frequent(parts: DataFrame, slots, rule: Rule) -> DataFrame:
         table = slots.value
         for batch in batches:
             for part, data in zip(batch.column("part"), batch.column("counts"), strict=True):
-                counts = _unpacked(data.as_py())
+                counts = unpacked(data.as_py())
                 at = np.flatnonzero(counts >= rule.support)
                 slot = part.as_py() * PART + at
                 h = table.h[:, slot]
@@ -371,7 +303,7 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, rule: Rule) -> DataFr
         slots = Slots.of(keys.filter(F.col("g").bitwiseAND(blocks - 1) == b).toArrow())
         total = slots.f.copy()
         for row in counts[b].select("part", "counts").collect():  # 8 bytes for each of about KEYS candidates
-            n = _unpacked(row.counts)
+            n = unpacked(row.counts)
             total[row.part * PART : row.part * PART + len(n)] += n
         phrases = keep(_with_cuts(phrases, spark.sparkContext.broadcast((slots, total)), share(b)), "cuts")
     return phrases

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from mosaiq.llm import collocations, queries
+from mosaiq.llm import collocations, queries, sums
 from mosaiq.llm.perfecthash import PerfectHash
 
 
@@ -44,8 +44,8 @@ def random_rows():
 @pytest.mark.parametrize("keys,text,fan", [(1 << 20, 8 << 20, 64), (60, 500, 2)])
 def test_against_brute_force(spark, monkeypatch, keys, text, fan):
     """Small blocks, chunks and sums give the same rows as large ones."""
-    for name, value in (("KEYS", keys), ("TEXT", text), ("FAN", fan)):
-        monkeypatch.setattr(collocations, name, value)
+    for module, name, value in ((collocations, "KEYS", keys), (collocations, "TEXT", text), (sums, "FAN", fan)):
+        monkeypatch.setattr(module, name, value)
     rows = random_rows()
     docs = spark.createDataFrame([(i % 7, t, lang, 0) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, score int").repartition(5)
     got = sorted(map(tuple, collocations.collocations(docs, collocations.Rule(12, 80, 25)).collect()))
@@ -92,4 +92,4 @@ def test_perfect_hash():
 def test_arrays_of_counts_come_back():
     rng = np.random.default_rng(4)
     for counts in (np.zeros(9, np.int64), rng.integers(0, 300, 1000), (rng.random(70_000) < 0.01) * rng.integers(1, 1 << 40, 70_000)):
-        assert np.array_equal(collocations._unpacked(collocations._packed(counts)), counts)
+        assert np.array_equal(sums.unpacked(sums.packed(counts)), counts)
