@@ -22,7 +22,7 @@ U = np.uint64
 #: Words of the longest phrase; buckets of a sieve, as a power of two.
 LONGEST, SIEVE = 4, 24
 #: Candidates that are counted in one reading of the texts; text bytes that are taken at a time.
-KEYS, TEXT = 1 << 20, 8 << 20
+KEYS, TEXT = 1 << 20, 2 << 20
 #: Shares of a language that are ranked apart before the last ranking.
 SHARES = 64
 
@@ -59,7 +59,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[pa.Ar
         known = lang.dictionary_encode()
         of = np.array([_lang_key(x) for x in known.dictionary.to_pylist()], U)[known.indices.to_numpy(zero_copy_only=False)] if len(lang) else np.zeros(0, U)
         key = mix(word_hashes(data, start, end, seed) + of[text])
-        broken = np.concatenate([[0], np.cumsum(BREAK[data])])
+        broken = np.concatenate([[0], np.cumsum(BREAK[data], dtype=np.int32)])
         joined = np.zeros(len(start), bool)
         joined[:-1] = (text[1:] == text[:-1]) & (broken[start[1:]] == broken[end[:-1]])
         yield lang, data, text, start, end, key, joined
