@@ -55,7 +55,7 @@ def with_folds(df: DataFrame, ratio: float, *order) -> DataFrame:
     if size < 1:
         raise ValueError("a fold has no rows")
     fold = F.floor((F.col("rn") - 1) / size)
-    return ranked(df, *order).withColumn("fold", F.when(fold < int(1 / ratio), fold).cast("long"))
+    return ranked(df, *order).withColumn("fold", F.when(fold < int(1 / ratio + 1e-9), fold).cast("long"))
 
 
 def ranked(df: DataFrame, *order, name: str = "rn") -> DataFrame:
