@@ -69,27 +69,17 @@ def binned_histograms(motion: DataFrame, bins: int = 16, bounds: tuple[float, fl
     return density.smooth(cells, ["bin_x", "bin_y"], weights, side, groups=("record_id", "dof"))
 
 
-def quantized_histograms(motion: DataFrame, codes: int = 16, soft: float | None = None, seed: int = 0, joints: tuple[tuple[str, str], ...] = JOINTS) -> DataFrame:
+def quantized_histograms(motion: DataFrame, codes: int = 16, soft: float | None = None, seed: int = 0, joints: tuple[tuple[str, str], ...] = JOINTS, starts: int = 20) -> DataFrame:
     """``record_id, dof, code, share``: how a record's angles and velocities fall to the codes of each joint angle's codebook.
 
     Both are divided by their deviation over all records; the shares of a record sum to 1 over all joint
-    angles. ``soft`` weighs codes by distance instead of counting the nearest.
+    angles. The codebooks are the best of ``starts`` k-means each, of all joint angles in the same readings of the
+    points. ``soft`` weighs codes by distance instead of counting the nearest.
     """
     df = with_velocities(joint_angles(motion, joints)).filter("angle IS NOT NULL")
     scaled = [(F.col(c) / F.coalesce(F.nullif(d, F.lit(0.0)), F.lit(1.0))) for c, d in ((c, F.col(f"__{c}")) for c in ("angle", "velocity"))]
     deviations = df.groupBy("dof").agg(*(F.stddev_pop(c).alias(f"__{c}") for c in ("angle", "velocity")))
     points = df.join(deviations, "dof").select("record_id", "dof", F.array(*scaled).alias("v")).checkpoint()
-    out = None
-    for dof in [r["dof"] for r in points.select("dof").distinct().orderBy("dof").collect()]:
-        mine = points.filter(F.col("dof") == dof)
-        book = quantize.build_codebook(mine, codes, "raw", seed)
-        if soft is None:
-            got = quantize.assign(mine, book).select("record_id", "dof", "code", F.lit(1.0).alias("weight"))
-        else:
-            numbered = mine.withColumn("i", F.struct("record_id", "dof"))
-            got = quantize.soft_assign(numbered, book, soft).select("i.record_id", "i.dof", "code", "weight")
-        got = got.groupBy("record_id", "dof", "code").agg(F.sum("weight").alias("weight"))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return points.select("record_id", "dof", F.lit(0).alias("code"), F.lit(0.0).alias("share")).limit(0)
-    return out.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("record_id"))).select("record_id", "dof", "code", "share")
+    books, _ = quantize.keyed_kmeans(points, "dof", codes, starts, seed=seed)
+    got = quantize.keyed_assign(points, "dof", books, soft).groupBy("record_id", "dof", "code").agg(F.sum("weight").alias("weight"))
+    return got.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("record_id"))).select("record_id", "dof", "code", "share")
