@@ -52,16 +52,84 @@ def gaps(df: DataFrame, by: str, *order: str) -> DataFrame:
     return df.withColumn("__gap", gap).groupBy(by).agg(F.count_if(F.col("__gap")).alias("n_gaps"))
 
 
+def dyadic_cells(low: Column, high: Column) -> Column:
+    """The dyadic cells ``level, cell`` that make up the whole numbers from ``low`` to ``high``: two at most of each level.
+
+    Cell c of level l holds the numbers from c * 2**l up to the next cell; an interval of n numbers has at
+    most 2 log2 n cells, and none overlap.
+    """
+    def of_level(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        a, b = F.floor((low + size - 1) / size), F.floor((high + 1) / size)
+        left = F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.array(a)).otherwise(F.array().cast("array<bigint>"))
+        right = F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.array(b - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.concat(left, right), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    # An interval of n numbers has no cell above level log2 n.
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2((high - low + 1).cast("double"))).cast("int")), of_level))
+
+
 def lookup(points: DataFrame, t: str, intervals: DataFrame, by: str, bucket: float) -> DataFrame:
     """Points with the interval (start, end] of their group that holds them; a group's first interval holds its start too.
 
-    Intervals are spread over buckets of time, so that the range condition becomes an equality join with a check.
+    Time is cut into buckets, and an interval's buckets are written as dyadic cells: a number of rows that
+    grows with the logarithm of its length. A point looks up its cell of each level that any interval has, so that the
+    range condition becomes an equality join with a check. Intervals that end before they start hold nothing.
+    """
+    low, high = F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)
+    first = intervals.groupBy(by).agg(F.min("start").alias("__first"))
+    spread = intervals.filter("start <= end").join(first, by).withColumn("__c", F.explode(dyadic_cells(low, high)))
+    spread = spread.withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
+    levels = sorted(r["__level"] for r in spread.select("__level").distinct().collect())  # 64 at most
+    at = F.floor(F.col(t) / bucket)
+    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.shiftright(at, x).alias("cell")) for x in levels or [0])))
+    placed = points.withColumn("__c", cells).withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
+    hit = (F.col(t) > F.col("start")) & (F.col(t) <= F.col("end")) | (F.col("start") == F.col("__first")) & (F.col(t) == F.col("start"))
+    return placed.join(spread, [by, "__level", "__cell"]).filter(hit).drop("__level", "__cell", "__first")
+
+
+def consecutive(pieces: DataFrame, by: str) -> DataFrame:
+    """Adds ``n``, a piece's number in its timeline by start; a gap or an overlap of neighbours is an error when the rows are read."""
+    each = numbered(pieces, by, "start", "end").withColumnRenamed("rn", "n")
+    before = each.select(by, (F.col("n") + 1).alias("n"), F.col("end").alias("__before"))
+    wrong = F.abs(F.col("__before") - F.col("start")) > TOL
+    joined = each.join(before, [by, "n"], "left")
+    return joined.withColumn("start", F.when(wrong, F.raise_error(F.lit("pieces are not consecutive")).cast("double")).otherwise(F.col("start"))).select(*each.columns)
+
+
+def cut(pieces: DataFrame, cuts: DataFrame, by: str, bucket: float, samples: bool = True) -> DataFrame:
+    """``cuts(by, cut, ts, te)`` of timelines that are made of pieces: the parts, or the samples, between two times.
+
+    ``pieces`` has ``by, start, end``, consecutive within a timeline, and with ``samples`` also ``rate`` and
+    ``samples``. Both ends of a cut are looked up: a time belongs to the first piece that ends at it or
+    later. A cut has all pieces from the one to the other; the first begins at ts, the last ends at te. A time that is
+    no piece's is an error, as is a cut that ends before it starts.
+
+    Without ``samples`` the rows are the parts: the pieces' columns with ``cut, start, end`` cropped. With
+    it there is a row ``by, cut, start, rate, samples`` for each cut: of the first piece the samples
+    whose cells begin at ts or later, of the last those whose cells end by te, one behind another in one array; pieces of
+    different rates are an error. Only the pieces that a cut has are joined to it, by number.
     """
-    first = Window.partitionBy(by).orderBy("start")
-    spread = intervals.withColumn("__first", F.row_number().over(first) == 1)
-    spread = spread.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    hit = (F.col(t) > F.col("start")) & (F.col(t) <= F.col("end")) | F.col("__first") & (F.col(t) == F.col("start"))
-    return points.withColumn("__b", F.floor(F.col(t) / bucket)).join(spread, [by, "__b"]).filter(hit).drop("__b", "__first")
+    held = consecutive(pieces, by)
+    index = held.select(by, F.col("n").alias("__n"), "start", "end")
+    ends = cuts.select(by, "cut", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ts").alias("t")), F.struct(F.lit(1).alias("side"), F.col("te").alias("t")))).alias("e")).select(by, "cut", "e.side", "e.t")
+    found = lookup(ends, "t", index, by, bucket).groupBy(by, "cut").agg(F.min(F.when(F.col("side") == 0, F.col("__n"))).alias("__a"), F.min(F.when(F.col("side") == 1, F.col("__n"))).alias("__b"))
+    wrong = F.col("__a").isNull() | F.col("__b").isNull() | (F.col("te") < F.col("ts"))
+    ranges = cuts.join(found, [by, "cut"], "left")
+    ranges = ranges.withColumn("__a", F.when(wrong, F.raise_error(F.lit("a cut is out of its timeline")).cast("long")).otherwise(F.col("__a")))
+    parts = ranges.withColumn("n", F.explode(F.sequence("__a", "__b"))).join(held, [by, "n"])
+    first, last = F.col("n") == F.col("__a"), F.col("n") == F.col("__b")
+    if not samples:
+        cropped = parts.withColumn("start", F.when(first, F.col("ts")).otherwise(F.col("start"))).withColumn("end", F.when(last, F.col("te")).otherwise(F.col("end")))
+        return cropped.drop("__a", "__b", "ts", "te", "n")
+    r = sample_range(F.col("start"), F.col("rate"), F.col("ts"), F.col("te"))
+    low = F.when(first, F.greatest(r["low"], F.lit(0))).otherwise(F.lit(0))
+    high = F.when(last, F.least(r["high"], F.size("samples"))).otherwise(F.size("samples"))
+    own = parts.withColumns({"__low": low, "__high": high})
+    own = own.select(by, "cut", "n", "rate", (F.col("start") + F.col("__low") / F.col("rate")).alias("start"), F.slice("samples", (F.col("__low") + 1).cast("int"), F.greatest(F.col("__high") - F.col("__low"), F.lit(0)).cast("int")).alias("samples"))
+    whole = own.groupBy(by, "cut").agg(F.array_sort(F.collect_list(F.struct("n", "start", "samples"))).alias("p"), F.min("rate").alias("rate"), F.max("rate").alias("__most"))
+    rate = F.when(F.col("rate") == F.col("__most"), F.col("rate")).otherwise(F.raise_error(F.lit("pieces of different rates")).cast(own.schema["rate"].dataType))
+    return whole.select(by, "cut", F.col("p")[0]["start"].alias("start"), rate.alias("rate"), F.flatten(F.col("p.samples")).alias("samples"))
 
 
 def associate_frames(labelled: DataFrame, pool: DataFrame, label: str, frame: str, order: str, pool_order: str, check: bool = False) -> DataFrame:
