@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import density, evaluation, factorize, information, matrix, pairing, quantize, series, windows
+from ..operators import density, evaluation, factorize, information, matrix, pairing, quantize, series, sliding, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,6 +211,16 @@ def interval_lookup(t: Tables) -> DataFrame:
     return got.select("user_id", "point", "interval_id")
 
 
+@query(f"""WITH {_INTERVALS}, l AS (SELECT user_id, event_id, st, st + CASE WHEN event_id % 97 = 0 THEN 315576000.0 ELSE 1.0 END AS en FROM w), f AS (SELECT user_id, min(st) AS first FROM l GROUP BY 1)
+SELECT s.user_id, s.event_id AS point, l.event_id AS interval_id FROM s JOIN l ON s.user_id = l.user_id JOIN f ON f.user_id = l.user_id WHERE t > st AND t <= en OR st = first AND t = st""")
+def interval_lookup_mixed(t: Tables) -> DataFrame:
+    """Points in intervals of one second and of ten years mixed: a long one is a few dyadic cells."""
+    points = t.series().select("user_id", F.col("event_id").alias("point"), "t")
+    end = F.col("start") + F.when(F.col("event_id") % 97 == 0, 315576000.0).otherwise(1.0)
+    got = windows.lookup(points, "t", _intervals(t).select("user_id", F.col("event_id").alias("interval_id"), "start", end.alias("end")), "user_id", 60.0)
+    return got.select("user_id", "point", "interval_id")
+
+
 @query("""WITH a AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders),
 l AS (SELECT *, dense_rank() OVER (ORDER BY o_orderpriority) AS li FROM a),
 b AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, dense_rank() OVER (ORDER BY event_type) AS li FROM events)
@@ -606,6 +616,59 @@ def _nmf(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return x, w, F.broadcast(h)
 
 
+def _updates(steps: int, fold: str = "", before: str = "") -> str:
+    """CTEs of whole updates: w{s}, h{s} and the products p{s} at X's cells; ``fold`` is a condition on rows that train, by f."""
+    f, on = ("f, ", "AND a.f = b.f") if fold else ("", "")
+    out = [f"h0 AS (SELECT {'f, ' if fold else ''}k, j, h FROM h{', folds' if fold else ''})", f"w0 AS (SELECT {f}i, k, sum(x * h) AS w FROM m JOIN h0 ON m.j = h0.j {fold} GROUP BY {f}i, k)"]
+    for s in range(steps + 1):
+        out.append(f"p{s} AS (SELECT {'a.f, ' if fold else ''}m.i, m.j, any_value(x) AS x, sum(w * h) AS wh FROM m JOIN w{s} a ON m.i = a.i JOIN h{s} b ON b.k = a.k AND b.j = m.j {on} GROUP BY {'a.f, ' if fold else ''}m.i, m.j)")
+        if s < steps:
+            out.append(f"w{s + 1} AS (SELECT {'a.f, ' if fold else ''}a.i, a.k, any_value(a.w) * sum((x + 1e-8) / (wh + 1e-8) * h) AS w FROM w{s} a JOIN p{s} p ON p.i = a.i {'AND p.f = a.f' if fold else ''} JOIN h{s} b ON b.k = a.k AND b.j = p.j {on} GROUP BY {'a.f, ' if fold else ''}a.i, a.k)")
+            out.append(f"g{s + 1} AS (SELECT {'a.f, ' if fold else ''}b.k, b.j, any_value(h) * sum((x + 1e-8) / (wh + 1e-8) * a.w) AS h FROM h{s} b JOIN p{s} p ON p.j = b.j {'AND p.f = b.f' if fold else ''} JOIN w{s + 1} a ON a.i = p.i AND a.k = b.k {on} GROUP BY {'a.f, ' if fold else ''}b.k, b.j)")
+            out.append(f"h{s + 1} AS (SELECT {f}k, j, h / (1e-16 + sum(h) OVER (PARTITION BY {f}k)) AS h FROM g{s + 1})")
+    return ", ".join(out)
+
+
+def _start(d: int = 64) -> np.ndarray:
+    """The starting dictionary of ``_NMF``."""
+    h = np.array([[1.0 + (k * 7 + j * 3) % 11 for j in range(d)] for k in range(3)])
+    return h / h.sum(1, keepdims=True)
+
+
+def _error_sql(s: int) -> str:
+    return f"SELECT {s} AS step, (SELECT sum(x * ln((x + 1e-8) / (wh + 1e-8)) - x) FROM p{s}) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w{s} GROUP BY k) a JOIN (SELECT k, sum(h) AS s FROM h{s} GROUP BY k) b ON a.k = b.k) AS error"
+
+
+@query(f"WITH {_CELLS}, {_H0}, {_updates(2)} SELECT k, j, {_r('h', 'h')} FROM h2")
+def nmf_fit(t: Tables) -> DataFrame:
+    """The dictionary learned in two steps; the data stay in their buckets."""
+    h = factorize.fit(t.vectors(True).select("i", "v"), steps=2, tol=0.0, h0=_start()).h
+    return t.spark.createDataFrame([(k, j, float(x)) for k, row in enumerate(h) for j, x in enumerate(row)], "k long, j long, x double").select("k", "j", r6("x").alias("h"))
+
+
+@query(f"WITH {_CELLS}, {_H0}, {_updates(2)} SELECT CAST(step AS BIGINT) AS step, {_r('error', 'error')} FROM ({_error_sql(0)} UNION ALL {_error_sql(1)})")
+def nmf_fit_errors(t: Tables) -> DataFrame:
+    """The divergence before each of two steps."""
+    errors = factorize.fit(t.vectors(True).select("i", "v"), steps=2, tol=0.0, h0=_start()).errors
+    return t.spark.createDataFrame(list(enumerate(errors)), "step long, x double").select("step", r6("x").alias("error"))
+
+
+@query(f"WITH {_CELLS}, {_H0}, {_W0}, p AS (SELECT m.i, m.j, any_value(x) AS x, sum(w * h) AS wh FROM m JOIN w ON m.i = w.i JOIN h ON h.k = w.k AND h.j = m.j GROUP BY m.i, m.j), w1 AS (SELECT w.i, w.k, any_value(w.w) * sum((x + 1e-8) / (wh + 1e-8) * h) AS w FROM w JOIN p ON p.i = w.i JOIN h ON h.k = w.k AND h.j = p.j GROUP BY w.i, w.k), p1 AS (SELECT m.i, m.j, any_value(x) AS x, sum(w * h) AS wh FROM m JOIN w1 ON m.i = w1.i JOIN h ON h.k = w1.k AND h.j = m.j GROUP BY m.i, m.j) SELECT w1.i, w1.k, {_r('any_value(w1.w) * sum((x + 1e-8) / (wh + 1e-8) * h)', 'w')} FROM w1 JOIN p1 ON p1.i = w1.i JOIN h ON h.k = w1.k AND h.j = p1.j GROUP BY w1.i, w1.k")
+def nmf_transform(t: Tables) -> DataFrame:
+    """Every row's coefficients after two steps under a fixed dictionary."""
+    w = factorize.transform(t.vectors(True).select("i", "v"), _start(), 2)
+    return w.select("i", F.posexplode("w").alias("k", "x")).select("i", F.col("k").cast("long").alias("k"), r6("x").alias("w"))
+
+
+@query(f"WITH {_CELLS}, {_H0}, folds AS (SELECT unnest(range(4)) AS f), {_updates(1, 'AND m.i % 4 <> f')} SELECT CAST(f AS BIGINT) AS fold, k, j, {_r('h', 'h')} FROM h1")
+def fold_dictionaries(t: Tables) -> DataFrame:
+    """Four folds' dictionaries, each learned from the rows of the three others, in the same reading of the data."""
+    rows = t.vectors(True).select("i", "v")
+    others = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda f: f != F.col("i") % 4)
+    found = factorize.fit_models(rows, others, np.repeat(_start()[None], 4, 0), 1, 0.0)
+    return t.spark.createDataFrame([(f, k, j, float(x)) for f, m in enumerate(found) for k, row in enumerate(m.h) for j, x in enumerate(row)], "fold long, k long, j long, x double").select("fold", "k", "j", r6("x").alias("h"))
+
+
 @query(f"WITH {_NMF} SELECT {_r('(SELECT sum(x * ln((x + 1e-8) / (wh + 1e-8)) - x) FROM p) + (SELECT sum(a.s * b.s) FROM (SELECT k, sum(w) AS s FROM w GROUP BY k) a JOIN (SELECT k, sum(h) AS s FROM h GROUP BY k) b ON a.k = b.k)', 'error')}")
 def nmf_error(t: Tables) -> DataFrame:
     return factorize.error(*_nmf(t)).select(r6("error").alias("error"))
@@ -685,6 +748,21 @@ def kmeans_step(t: Tables) -> DataFrame:
     return quantize.kmeans_step(t.vectors(), t.codebook()).select("code", F.posexplode("centroid").alias("j", "x")).select("code", F.col("j").cast("long").alias("j"), r6("x").alias("x"))
 
 
+_STARTS = "b AS (SELECT event_type, s AS start, c AS code, 20.0 + 40 * c + 7 * s AS centroid FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(3)) AS s), (SELECT unnest(range(4)) AS c))"
+
+
+@query(f"""WITH {_STARTS}, d AS (SELECT e.event_type, event_id, start, any_value(value) AS value, arg_min(code, ((value - centroid) * (value - centroid), code)) AS code FROM events e JOIN b ON b.event_type = e.event_type GROUP BY e.event_type, event_id, start),
+c AS (SELECT b.event_type, b.start, b.code, coalesce(avg(value), any_value(centroid)) AS centroid FROM b LEFT JOIN d ON d.event_type = b.event_type AND d.start = b.start AND d.code = b.code GROUP BY ALL)
+SELECT event_type, CAST(start AS BIGINT) AS start, CAST(code AS BIGINT) AS code, {_r('centroid', 'centroid')} FROM c""")
+def keyed_kmeans(t: Tables) -> DataFrame:
+    """One step of a k-means for each kind of event from three starts each, all in one reading of the events."""
+    rows = t.events.select("event_type", F.array(F.col("value").cast("double")).alias("v"))
+    kinds = [r["event_type"] for r in rows.select("event_type").distinct().collect()]
+    model = quantize.Codebooks({n: np.array([[[20.0 + 40 * c + 7 * s] for c in range(4)] for s in range(3)]) for n in kinds})
+    after, _ = quantize.keyed_kmeans_step(rows, "event_type", model)
+    return after.frame(t.spark, "event_type", "string").select("event_type", F.col("start").cast("long"), F.col("code").cast("long"), r6(F.col("centroid")[0]).alias("centroid"))
+
+
 # -- ordered series
 
 _OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -785,11 +863,30 @@ def array_subwindow(t: Tables) -> DataFrame:
     return t.vectors().select("i", c.alias("c")).select("i", F.round("c.start", 6).alias("start"), F.size("c.samples").cast("long").alias("n"), r6(V.total(F.col("c.samples"))).alias("total"))
 
 
-@query(f"WITH {_INTERVALS}, f AS (SELECT user_id, min(st) AS first FROM w GROUP BY 1) SELECT w.user_id, event_id, round(greatest(st, 1704800000.0), 3) AS start, round(least(en, 1705200000.0), 3) AS \"end\" FROM w JOIN f ON f.user_id = w.user_id WHERE (en >= 1704800000.0) AND st < 1705200000.0")
+_CUT = "c AS (SELECT user_id, first + (last - first) * 0.2 AS ts, first + (last - first) * 0.7 AS te FROM (SELECT user_id, min(st) AS first, max(en) AS last FROM w GROUP BY 1))"
+
+
+@query(f"WITH {_INTERVALS}, {_CUT} SELECT w.user_id, event_id, round(greatest(st, ts), 3) AS start, round(least(en, te), 3) AS \"end\" FROM w JOIN c ON c.user_id = w.user_id WHERE en >= ts AND st < te AND en > st")
 def concat_subwindow(t: Tables) -> DataFrame:
-    """The part of each user's gap-free timeline within two times: whole windows, and cropped ends."""
-    w = _intervals(t).filter((F.col("end") >= 1704800000.0) & (F.col("start") < 1705200000.0))
-    return w.select("user_id", "event_id", F.round(F.greatest("start", F.lit(1704800000.0)), 3).alias("start"), F.round(F.least("end", F.lit(1705200000.0)), 3).alias("end"))
+    """The part of each user's gap-free timeline from a fifth to seven tenths of it: whole windows, and cropped ends."""
+    pieces = _intervals(t).filter("end > start")
+    spans = pieces.groupBy("user_id").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    cuts = spans.select("user_id", F.lit(0).alias("cut"), (F.col("a") + (F.col("b") - F.col("a")) * 0.2).alias("ts"), (F.col("a") + (F.col("b") - F.col("a")) * 0.7).alias("te"))
+    got = windows.cut(pieces.select("user_id", "event_id", "start", "end"), cuts, "user_id", 6 * 3600.0, samples=False)
+    return got.select("user_id", "event_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query(f"""WITH {_V}, p AS (SELECT label, v, 8.0 * (row_number() OVER (PARTITION BY label ORDER BY i) - 1) AS st, 8.0 * count(*) OVER (PARTITION BY label) AS total FROM v),
+x AS (SELECT label, st + (j - 1) / 8.0 AS low, st + j / 8.0 AS high, v[j] AS x, cut, total * ts AS ts, total * te AS te FROM (SELECT *, unnest(range(1, 65)) AS j FROM p), (SELECT unnest([0, 1]) AS cut, unnest([0.13, 0.4]) AS ts, unnest([0.61, 0.41]) AS te))
+SELECT label, CAST(cut AS BIGINT) AS cut, round(min(low), 6) AS start, CAST(count(*) AS BIGINT) AS n, {_r('sum(x)', 'total')} FROM x WHERE low >= ts - 1e-4 AND high <= te + 1e-4 GROUP BY label, cut""")
+def concat_samples(t: Tables) -> DataFrame:
+    """Two cuts of each label's vectors, taken as arrays of 8 samples a second one behind another, as arrays."""
+    v = t.vectors().select("i", "label", F.col("v").alias("samples"), F.lit(8.0).alias("duration"), F.lit(8.0).alias("rate"))
+    pieces = windows.align(v, "duration", "label", "i").select("label", "start", "end", "rate", "samples")
+    total = pieces.groupBy("label").agg(F.max("end").alias("total"))
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("cut"), (F.col("total") * a).alias("ts"), (F.col("total") * b).alias("te")) for n, a, b in ((0, 0.13, 0.61), (1, 0.4, 0.41)))))
+    got = windows.cut(pieces, total.select("label", both.alias("c")).select("label", "c.*"), "label", 16.0)
+    return got.select("label", F.col("cut").cast("long").alias("cut"), F.round("start", 6).alias("start"), F.size("samples").cast("long").alias("n"), r6(V.total(F.col("samples"))).alias("total")).filter("n > 0")
 
 
 @query(f"WITH {_INTERVALS}, g AS (SELECT user_id, abs(lead(st + event_id % 2) OVER (PARTITION BY user_id ORDER BY st, event_id) - en) > 1e-8 AS gap FROM w) SELECT user_id, CAST(count(*) FILTER (gap) AS BIGINT) AS n_gaps FROM g GROUP BY 1")
@@ -813,6 +910,54 @@ def sliding_window_features(t: Tables) -> DataFrame:
     return windows.pane_counts(points, "t", "t0", 86400, 36000, "user_id", "code").join(w, ["user_id", "window"]).select("user_id", "window", "code", "n")
 
 
+_K = f"k AS (SELECT *, unnest(range(CAST({_FULL} AS BIGINT) + 1)) AS k FROM u), win AS (SELECT user_id, k, t0 + k * 36000.0 AS st, least(t0 + k * 36000.0 + 86400.0, t1) AS en FROM k)"
+_NEXT = "s2 AS (SELECT *, lead(code, 1) OVER o AS c1, lead(t, 1) OVER o AS n1, lead(code, 2) OVER o AS c2, lead(t, 2) OVER o AS n2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))"
+_PAIRS = "pairs AS (SELECT user_id, t, n1 AS n, c1 * 5 + code AS cell FROM s2 WHERE c1 IS NOT NULL UNION ALL SELECT user_id, t, n2, c2 * 5 + code + 25 FROM s2 WHERE c2 IS NOT NULL)"
+_WINDOW_CELLS = f"{_SPAN}, {_K}, {_NEXT}, {_PAIRS}, cells AS (SELECT win.user_id, k, cell, count(*) AS n FROM win JOIN pairs p ON p.user_id = win.user_id AND p.t > st AND p.n <= en GROUP BY ALL)"
+
+
+def _window_cells(t: Tables) -> DataFrame:
+    w = windows.slider(_span(t), F.col("t0"), F.col("t1"), F.lit(86400.0), F.lit(36000.0)).select("user_id", "window")
+    points = t.series().join(_span(t).select("user_id", "t0"), "user_id")
+    # The pairs' order includes a user's first event, which lies in no window.
+    return sliding.pane_cooccurrences(points, "t", "t0", 86400, 36000, "code", 5, [1, 2], "user_id", "ts", "event_id").join(w, ["user_id", "window"])
+
+
+@query(f"WITH {_WINDOW_CELLS} SELECT user_id, CAST(k AS BIGINT) AS \"window\", CAST(cell AS BIGINT) AS cell, CAST(n AS BIGINT) AS n FROM cells")
+def sliding_cooccurrences(t: Tables) -> DataFrame:
+    """Which event follows which one and two events later, in each sliding window, added up from panes of two hours."""
+    return _window_cells(t).select("user_id", "window", "cell", "n")
+
+
+def _h114(k: int, j: int) -> float:
+    return (1 + (k * 7 + j * 3) % 11) / 100
+
+
+def _coefs_sql(x: str, h: list[list[float]]) -> str:
+    """Coefficients after one step of a list ``x`` under a dictionary."""
+    d, dot = len(h[0]), "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    w0 = "[" + ", ".join(dot.format(a=x, b=row) for row in h) + "]"
+    columns = [[row[j] for row in h] for j in range(d)]
+    wh = f"list_transform({columns}, lambda c: {' + '.join(f'c[{k + 1}] * w0[{k + 1}]' for k in range(len(h)))})"
+    q = "list_transform(list_zip(x, wh), lambda z: CASE WHEN z[1] = 0 THEN 0 ELSE (z[1] + 1e-8) / (z[2] + 1e-8) END)"
+    w1 = "[" + ", ".join(f"w0[{k + 1}] * {dot.format(a='q', b=row)}" for k, row in enumerate(h)) + "]"
+    return f"SELECT * EXCLUDE (x, w0, wh, q), {w1} AS w FROM (SELECT *, {q} AS q FROM (SELECT *, {wh} AS wh FROM (SELECT *, {w0} AS w0 FROM ({{rows}}))))"
+
+
+_H_EVENTS, _H_VECTORS = ([[_h114(k, j) for j in range(*span)] for k in range(3)] for span in ((0, 50), (50, 114)))
+_HISTS = "SELECT user_id, k, list_transform(range(50), lambda c: CAST(coalesce(map_extract(any_value(m), c)[1], 0) AS DOUBLE)) AS x FROM (SELECT user_id, k, map_from_entries(list((cell, n))) AS m FROM cells GROUP BY user_id, k) GROUP BY user_id, k"
+
+
+@query(f"""WITH {_WINDOW_CELLS}, {_A}, {_EX}, tests AS ({_coefs_sql('x', _H_EVENTS).format(rows=_HISTS)}), found AS ({_coefs_sql('x', _H_VECTORS).format(rows='SELECT ex_id, ex_label, ev AS x FROM ex')})
+SELECT user_id, CAST(k AS BIGINT) AS "window", arg_min(ex_label, (-{_COS('t.w', 'e.w')}, ex_id)) AS label FROM tests t, found e GROUP BY user_id, k""")
+def sliding_recognition(t: Tables) -> DataFrame:
+    """The label recognised in each sliding window: its co-occurrences' coefficients against those of the vectors' examples, by cosine."""
+    ex = t.examples()
+    coefs = factorize.transform(ex.select(F.col("ex_id").alias("i"), F.col("ev").alias("v")), np.array(_H_VECTORS), 1)
+    ex = ex.drop("ev").join(coefs, ex["ex_id"] == coefs["i"]).select("ex_id", "ex_label", F.col("w").alias("ev"))
+    return sliding.recognised(_window_cells(t), "user_id", np.array(_H_EVENTS), ex, "cosine", 1)
+
+
 # -- quaternions made of lineitem's numbers
 
 _Q = "q AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS x, l_discount * 5 AS y, l_tax * 7 AS z, 1 + l_extendedprice / 100000 AS w FROM lineitem)"
