@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from .labelled import held_out, learned, sample
 from .textbytes import PUNCTUATION, Substrings, chunks, words
 
-#: Documents that are learned from at most; hash buckets; terms that the machine may use; factors of a term.
-SAMPLE, BUCKETS, TERMS, FACTORS = 12_000, 1 << 22, 4096, 8
-#: Rows of the smaller class that a term needs to be looked at in pairs; most terms so looked at; the evidence of a pair.
-PAIR_ROWS, PAIR_TERMS, PAIR_Z = 26, 12_288, 5
+#: Documents that are learned from at most; hash buckets; rows that a term needs; factors of a term.
+SAMPLE, BUCKETS, SUPPORT, FACTORS = 12_000, 1 << 22, 4, 8
+#: What a weight, and a term's factors, must gain to stay, and the epochs until it is the whole of that; the share of it once the terms that stay are known; what missing a row of class 1 costs.
+WEIGHT_COST, FACTOR_COST, RAMP, STAYED, MISSED = 1e-3, 4e-3, 4, 0.3, 4.0
+#: Rows below which chance counts for more.
+FEW = 4500
 #: First bytes of a longer term that are a term of their own.
 STEM = 5
 
@@ -69,97 +71,96 @@ def fit(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, **settings) ->
     return fit_lists(np.split(bucket[order], np.searchsorted(text[order], np.arange(1, len(label)))), label, **settings)
 
 
-def pair_terms(lists: list[np.ndarray], label: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Which of the ``known`` buckets are in a pair that is far more common in one class than its two terms explain.
+@dataclass
+class _Edges:
+    """Pairs of documents and terms, document by document."""
+
+    term: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray], number: np.ndarray) -> _Edges:
+        used = [x[x >= 0] for x in (number[terms_] for terms_ in lists)]
+        return cls(np.concatenate(used), np.concatenate([[0], np.cumsum([len(x) for x in used])]))
+
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among ``rows`` and terms of some documents."""
+        size = self.at[rows + 1] - self.at[rows]
+        place = np.repeat(np.arange(len(rows)), size)
+        return place, self.term[np.repeat(self.at[rows] - (np.cumsum(size) - size), size) + np.arange(len(place))]
+
+
+def _descend(m: Machine, edges: _Edges, label: np.ndarray, cost: np.ndarray, epochs: int, ramp: int, weight_cost: float, factor_cost: float, rate: float, batch: int, rng: np.random.Generator) -> None:
+    """Steps against the gradient of the costly log loss, each followed by taking from a weight, and from the length of a term's factors, what they must gain.
 
-    ``counts`` has each bucket's rows of class 0 and 1. A pair is expected in class 1 as often as in class
-    0, times what each of its terms differs by itself; it counts beyond three times that or a third of it,
-    by ``PAIR_Z`` standard errors. No pair passes with fewer than ``PAIR_ROWS`` rows in its own class, so
-    that terms rarer than that in the smaller class are left out beforehand; of more than ``PAIR_TERMS``
-    the most common ones are compared.
+    A step is as long as the earlier gradients of its term are small, so that rare terms learn as fast as common
+    ones. In the first ``ramp`` epochs less is taken, so that pairs are found before their terms could be given up.
     """
-    ones = int(label.sum())
-    zeros = len(label) - ones
-    least = counts[int(ones <= zeros)]
-    vocabulary = np.flatnonzero(least >= PAIR_ROWS)
-    vocabulary = np.sort(vocabulary[np.argsort(-least[vocabulary], kind="stable")[:PAIR_TERMS]])
-    v = len(vocabulary)
-    found = np.zeros(v, bool)
-    if v:
-        place = np.full(BUCKETS, -1, np.int32)
-        place[known[vocabulary]] = np.arange(v)
-        used = [x[x >= 0] for x in (place[terms_] for terms_ in lists)]
-        del place
-        odds = (counts[1, vocabulary] + 0.5) / (ones + 1) / ((counts[0, vocabulary] + 0.5) / (zeros + 1))
-        at_once = max(1, (8 << 20) // v)  # cells of a dense piece, of rows by terms or of terms by terms
-        chunks_ = [r[i : i + at_once] for r in (np.flatnonzero(label == 0), np.flatnonzero(label == 1)) for i in range(0, len(r), at_once)]
-        for low in range(0, v, min(at_once, 1024)):
-            high = min(v, low + min(at_once, 1024))
-            joint = np.zeros((2, high - low, v - low), np.float32)
-            for rows in chunks_:
-                x = np.zeros((len(rows), v - low), np.float32)
-                for k, r in enumerate(rows.tolist()):
-                    x[k, used[r][used[r] >= low] - low] = 1
-                joint[int(label[rows[0]] == 1)] += x[:, : high - low].T @ x
-            b, a = joint
-            scale = (odds[low:high, None] * odds[low:] * (ones / zeros)).astype(np.float32)
-            want = b * scale
-            strong = np.abs(a - want) > PAIR_Z * np.sqrt(np.maximum(a, want) + 1 + scale * scale * (b + 1))
-            strong &= np.maximum((a + 0.5) / (want + 0.5), (want + 0.5) / (a + 0.5)) > 3
-            strong &= np.arange(low, high)[:, None] < np.arange(low, v)
-            found[low:high] |= strong.any(1)
-            found[low:] |= strong.any(0)
-    return vocabulary[found]
-
-
-def fit_lists(lists: list[np.ndarray], label: np.ndarray, steps: int = 300, rate: float = 0.08, decay: float = 2e-4, seed: int = 3) -> Machine:
-    """Learns a machine from each document's distinct buckets by Adam on the whole sample.
-
-    Terms whose odds differ much between the classes, beyond chance, are used, of these the ``TERMS``
-    with the most evidence, and the terms of pairs that differ beyond their terms (``pair_terms``), however
-    equal these are by themselves. Others would only measure a text's length or language. Without rows of both classes the score is the share of class 1, or 0.5 without rows.
+    past, seen, seen_factors = 1e-6, np.full(len(m.weight), 1e-6), np.full(len(m.weight), 1e-6)
+    for epoch in range(epochs):
+        taken = factor_cost * min(1.0, (epoch + 1) / ramp)
+        order = rng.permutation(len(label))
+        for low in range(0, len(label), batch):
+            rows = order[low : low + batch]
+            text, term = edges.rows(rows)
+            own, term = np.unique(term, return_inverse=True)
+            part = Machine(own, m.bias, m.weight[own], m.factors[own])
+            logit, sums = part._raw(text, term, len(rows))
+            g = cost[rows] * (_sigmoid(logit) - label[rows]) / len(rows)
+            each = g[text]
+            slope = np.bincount(term, weights=each, minlength=len(own))
+            slopes = np.empty_like(part.factors)
+            for f in range(slopes.shape[1]):
+                slopes[:, f] = np.bincount(term, weights=each * (sums[:, f][text] - part.factors[:, f][term]), minlength=len(own))
+            past += g.sum() ** 2
+            m.bias -= rate * g.sum() / np.sqrt(past)
+            seen[own] += slope**2
+            step = rate / np.sqrt(seen[own])
+            moved = part.weight - step * slope
+            m.weight[own] = np.sign(moved) * np.maximum(np.abs(moved) - step * weight_cost, 0)
+            seen_factors[own] += (slopes**2).mean(1)
+            step = (rate / 2 / np.sqrt(seen_factors[own]))[:, None]
+            moved = part.factors - step * slopes
+            length = np.linalg.norm(moved, axis=1, keepdims=True)
+            m.factors[own] = moved * np.maximum(1 - step * taken / np.maximum(length, 1e-12), 0)
+    m.bias = float(m.bias)
+
+
+def fit_lists(lists: list[np.ndarray], label: np.ndarray, epochs: tuple[int, int] = (24, 8), rate: float = 0.1, seed: int = 3) -> Machine:
+    """Learns a machine from each document's distinct buckets.
+
+    Every term of ``SUPPORT`` rows or more takes part, with a weight and factors. While it learns, a weight
+    goes to zero unless it gains ``WEIGHT_COST``, and all factors of a term together unless they gain
+    ``FACTOR_COST``, so that what stays are the terms that tell the classes apart, by themselves or in pairs with others,
+    however equal they are alone and however rare a single pair is. A second descent over these terms, at
+    ``STAYED`` of the costs, undoes what the first one took from them. The fewer rows there are, the more chance
+    there is in a slope: costs grow as the root of 1 / n below ``FEW`` rows, and with them the passes. Missing a row of class 1 costs ``MISSED`` times
+    what a wrong one of class 0 costs, and both classes weigh the same. Without rows of both classes the score is
+    the share of class 1, or 0.5 without rows; so it is for a text with no term that stayed, but for the bias that was learned.
     """
     n, ones = len(label), int(label.sum())
     if not ones or ones == n:
         return Machine(np.zeros(0, np.int64), float(np.log((ones + 0.5) / (n - ones + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for terms_, one in zip(lists, (label == 1).astype(int).tolist(), strict=True):
-        counts[one, terms_] += 1
-    known = np.flatnonzero(counts.any(0))
-    counts = counts[:, known]
-    b, a = counts.astype(np.float64)
-    p, q = (a + 0.5) / (ones + 1), (b + 0.5) / (n - ones + 1)
-    z = (p - q) / np.sqrt((a + b + 1) / n * (1 - (a + b) / (n + 1)) * (1 / ones + 1 / (n - ones)))
-    odds = p / (1 - p + 1e-9) / (q / (1 - q + 1e-9))
-    useful = (np.abs(z) > 4) & (np.maximum(odds, 1 / odds) > 3)
-    chosen = np.flatnonzero(useful)
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:TERMS]]
-    chosen = np.union1d(chosen, pair_terms(lists, label, known, counts))
-    place = np.full(BUCKETS, -1, np.int32)
-    place[known[chosen]] = np.arange(len(chosen))
-    used = [x[x >= 0] for x in (place[terms_] for terms_ in lists)]
-    text = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in used])
-    term = np.concatenate(used)
-    del place, used
+    counts = np.zeros(BUCKETS, np.int32)
+    for terms_ in lists:
+        counts[terms_] += 1
+    known = np.flatnonzero(counts >= SUPPORT)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[known] = np.arange(len(known))
     rng = np.random.default_rng(seed)
-    m = Machine(known[chosen], float(np.log(ones / (n - ones))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS)))
-    balance = np.where(label == 1, 0.5 * n / ones, 0.5 * n / (n - ones)) ** 0.5
-    state = [np.zeros((2, *np.shape(x))) for x in (m.bias, m.weight, m.factors)]
-    for step in range(1, steps + 1):
-        logit, sums = m._raw(text, term, n)
-        g = balance * (_sigmoid(logit) - label) / n
-        each = g[text]
-        slopes = np.empty_like(m.factors)
-        for f in range(FACTORS):
-            slopes[:, f] = np.bincount(term, weights=each * (sums[:, f][text] - m.factors[:, f][term]), minlength=len(chosen))
-        grads = (g.sum(), np.bincount(term, weights=each, minlength=len(chosen)) + decay * m.weight / max(1, len(chosen)), slopes + decay * m.factors)
-        for s, d, name in zip(state, grads, ("bias", "weight", "factors"), strict=True):
-            s[0] = 0.9 * s[0] + 0.1 * d
-            s[1] = 0.99 * s[1] + 0.01 * d**2
-            move = rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-9)
-            setattr(m, name, getattr(m, name) - move * (0.25 if name == "factors" else 1))
-    m.bias = float(m.bias)
-    return m
+    short = max(1.0, FEW / n)
+    taken, batch = short**0.5, min(256, max(16, n // 16))
+    first, second = (int(x * max(1.0, short / 4)) for x in epochs)
+    cost = np.where(label == 1, n / ones * MISSED, n / (n - ones)) / (1 + MISSED)
+    m = Machine(known, float(np.log(ones / (n - ones))), np.zeros(len(known)), rng.normal(0, 0.05, (len(known), FACTORS)))
+    _descend(m, _Edges.of(lists, number), label, cost, first, RAMP, taken * WEIGHT_COST, taken * FACTOR_COST, rate, batch, rng)
+    stay = np.flatnonzero((m.weight != 0) | m.factors.any(1))
+    m = Machine(known[stay], m.bias, m.weight[stay], m.factors[stay])
+    number[:] = -1
+    number[m.buckets] = np.arange(len(stay))
+    _descend(m, _Edges.of(lists, number), label, cost, second, 1, STAYED * taken * WEIGHT_COST, STAYED * taken * FACTOR_COST, rate, batch, rng)
+    stay = np.flatnonzero((m.weight != 0) | m.factors.any(1))
+    return Machine(m.buckets[stay], m.bias, m.weight[stay], m.factors[stay])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Machine:

@@ -83,6 +83,53 @@ def test_a_term_of_many_clean_rows_counts():
     assert p[0] > 0 > p[1]
 
 
+def lexicon(n, size, kind, seed=1):
+    """Documents of 40 filler words. ``both``: toxic ones have an insult and a group, clean ones either; ``pairs``: all have both, and which go together decides."""
+    rng, lists, label = np.random.default_rng(seed), [], []
+    for _ in range(n):
+        a, b, one = int(rng.integers(size)), 100 + int(rng.integers(size)), rng.random() < 0.5
+        toxic = one if kind == "both" else (a + b) % 2 == 0
+        own = [a, b] if kind == "pairs" or toxic else [a] if rng.random() < 0.5 else [b]
+        lists.append(np.unique([*(1000 + rng.zipf(1.3, 40) % 3000), *own]))
+        label.append(float(toxic))
+    return lists, np.array(label)
+
+
+@pytest.mark.parametrize("n,size,kind", [(6000, 10, "both"), (6000, 20, "both"), (12_000, 10, "both"), (12_000, 20, "both"), (6000, 10, "pairs"), (12_000, 10, "pairs")])
+def test_a_lexicon_whose_pairs_are_rare(n, size, kind):
+    """Insults and groups by tens: no single pair is in many rows, and some pairs are in none that is learned from."""
+    lists, label = lexicon(n + 2000, size, kind)
+    seen = {(x[0], x[1]) for x in lists[:n] if x[1] < 200}
+    m = toxicity.fit_lists(lists[:n], label[:n])
+    rest, want = lists[n:], label[n:]
+    p = toxicity._sigmoid(m.logits(np.repeat(np.arange(2000), [len(x) for x in rest]), np.concatenate(rest), 2000)) >= 0.7
+    assert p[want == 1].mean() >= 0.9 and p[want == 0].mean() < 0.01
+    assert len(m.buckets) < 2000 and len(seen) <= size * size
+
+
+def test_pairs_that_were_never_seen():
+    """An insult and a group that no learned row has together are toxic together all the same."""
+    lists, label = lexicon(8000, 10, "both")
+    never = [k for k, x in enumerate(lists) if x[1] < 200 and x[0] % 5 == x[1] % 5]
+    rest = np.setdiff1d(np.arange(8000), never)
+    m = toxicity.fit_lists([lists[k] for k in rest], label[rest])
+    held = [lists[k] for k in never]
+    p = toxicity._sigmoid(m.logits(np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held), len(held)))
+    assert len(held) > 500 and (p >= 0.7).mean() >= 0.9
+
+
+def test_scores_are_the_plain_double_sum():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.array([3, 8, 9, 40]), 0.3, rng.normal(size=4), rng.normal(size=(4, 3)))
+    texts = [[3, 8, 40], [5], [9, 3, 7, 8, 40], []]
+    want = []
+    for x in texts:
+        at = [m.buckets.tolist().index(b) for b in x if b in m.buckets]
+        want.append(m.bias + sum(m.weight[k] for k in at) + sum(m.factors[j] @ m.factors[k] for i, j in enumerate(at) for k in at[i + 1 :]))
+    got = m.logits(np.repeat(np.arange(4), [len(x) for x in texts]), np.array([b for x in texts for b in x]), 4)
+    assert np.allclose(got, want)
+
+
 def test_attention_finds_the_passage():
     rng = np.random.default_rng(1)
     count = np.full(300, 6)
