@@ -30,22 +30,23 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "inline", "inline_links", "density", "total", "peak", "layout")
+    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "inline", "inline_links", "density", "total", "peak", "mark", "clean", "covered")
 
-    def __init__(self, tag: str, up: Node | None, layout: bool = False):
-        self.tag, self.up, self.layout = tag, up, layout
+    def __init__(self, tag: str, up: Node | None, mark: str | None = None):
+        self.tag, self.up, self.mark = tag, up, mark
         self.inline = self.inline_links = 0
         self.peak: Node = self
         self.parts: list[Node | tuple[str, bool]] = []
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.chars = self.link_chars = self.tags = self.link_tags = self.clean = 0
         self.density = self.total = 0.0
 
 
 def _named(value: str) -> str | None:
-    """What a class or an id says of its element: always left out, part of the page's layout, or nothing.
+    """What a class or an id says of its element: no main text, part of the page's layout, or nothing.
 
     Each name is judged by its parts. ``no-sidebar`` or ``nav-open`` are states of a wrapper, and
-    ``entry-header`` belongs to the content; beside ``content`` or ``post``, layout names say nothing.
+    ``entry-header`` belongs to the content. Beside ``content`` or ``post``, layout names say nothing, and of the
+    others only whole names: ``post category-social`` is a post of a category, ``post comments`` are comments.
     """
     said = None
     names = value.lower().split()
@@ -55,7 +56,7 @@ def _named(value: str) -> str | None:
         if not STATE.isdisjoint(parts):
             continue
         parts.append(re.sub(r"[-_]+", "", name))
-        if any(map(ALWAYS.fullmatch, parts)):
+        if any(map(ALWAYS.fullmatch, parts if not content else parts[-1:])):
             return "always"
         found = {p for p in parts if LAYOUT.fullmatch(p)}
         if found and not content and not (found == {"header"} and not CONTENT.isdisjoint(parts)):
@@ -64,6 +65,9 @@ def _named(value: str) -> str | None:
 
 
 def _left_out(tag: str, attrs: str, article: bool) -> str | None:
+    """What tag and attributes say: ``gone`` if it isn't seen at all, ``always`` or ``layout`` if it isn't main text unless the page is in it."""
+    if tag in ("head", "button", "select"):
+        return "gone"
     if tag in NEVER or tag == "header" and not article:
         return "always"
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -71,13 +75,15 @@ def _left_out(tag: str, attrs: str, article: bool) -> str | None:
     said = None
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return "always"
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return "gone"
+        if name == "role" and value.lower() in ROLES:
+            said = "always"
         if name in ("class", "id"):
             said = "always" if said == "always" else _named(value) or said
     if said and tag not in BLOCK:
         # Inside a sentence only an advert is no part of it.
-        return "always" if re.search(r"(?:^|[\s\"'=_-])(?:ads?|advert\w*|sponsor\w*)(?:$|[\s\"'_-])", attrs, re.I) else None
+        return "gone" if re.search(r"(?:^|[\s\"'=_-])(?:ads?|advert\w*|sponsor\w*)(?:$|[\s\"'_-])", attrs, re.I) else None
     return said
 
 
@@ -158,12 +164,12 @@ def parse(html: str) -> Node:
                 now = x.up
             x = x.up
         said = _left_out(tag, attrs, articles > 0)
-        if said == "always":
+        if said == "gone":
             if tag not in VOID:
                 open_.append(tag)
             continue
         links = 0
-        node = Node(tag, now, said == "layout")
+        node = Node(tag, now, said)
         now.parts.append(node)
         if tag not in VOID:
             now = node
@@ -192,9 +198,43 @@ def _measure(root: Node) -> list[Node]:
 
 
 def _pruned(root: Node) -> Node:
-    """The tree without the nodes that are layout by name, but for those that hold most of the page's text."""
-    layout = [x for x in _measure(root) if x.layout and x.chars * 2 <= root.chars]
-    for x in layout:
+    """The tree without the nodes that their tags or names mark, but for those that the page's text is in.
+
+    A layout name goes unless more than half of the text is inside. Other marks (menus, forms, adverts,
+    comments) go, too, unless that is so and what no mark covers is less than a tenth of it, with no article
+    outside: a form around the whole page, an advert that is never closed, a post with a category in its names. Of a
+    node that stays, what is marked inside is judged in the same way, by the text of that node.
+    """
+    _measure(root)
+
+    def cleaned() -> list[Node]:
+        order = [root]
+        root.covered = False
+        for x in order:
+            for p in x.parts:
+                if isinstance(p, Node):
+                    p.covered = x.covered or x.mark is not None
+                    order.append(p)
+        for x in reversed(order):
+            inside = [p for p in x.parts if isinstance(p, Node)]
+            x.clean = x.chars - sum(p.chars for p in inside) + sum(p.clean for p in inside if not p.mark)
+        return order
+
+    page = root
+    while True:
+        order = cleaned()
+        outer = [x for x in order if x.mark and not x.covered]
+        article = any(x.clean and x.tag in ("article", "main") and not x.covered for x in order)
+        within = [x for x in outer if x.chars * 2 > page.chars and (x.mark == "layout" or 10 * root.clean < x.chars and not article)]
+        if not within:
+            break
+        page = within[0]
+        own = sum(len("".join(p[0].split())) for p in page.parts if not isinstance(p, Node))
+        if page.mark == "always" and own * 2 < page.chars:
+            page.parts = [p for p in page.parts if isinstance(p, Node)]  # what stands loose in an advert or a form
+        page.mark = None
+        _measure(root)
+    for x in outer:
         x.up.parts = [p for p in x.up.parts if p is not x]
     return root
 

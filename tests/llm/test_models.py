@@ -193,3 +193,67 @@ def test_recall(spark):
     _, found = tree.search(ids[q], x[q], 10, vptree.FACTOR)
     exact = vptree.Tree(ids, x, leaf=len(ids)).search(ids[q], x[q], 10, 1.0)[1]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, exact)]) >= 0.9
+
+
+LONG = "A sentence of the page's own text. " * 20
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><header>Site</header><form id='aspnetForm'><div class='menu'><a href=x>Home</a></div><div id='content'><p>{LONG}</p></div><div class='comments'><p>first!</p></div></form><footer>f</footer>",
+    f"<body><div class='nav'><a href=x>Home</a></div><div class='post category-social hentry'><p>{LONG}</p></div><div class='sidebar'>More</div>",
+    f"<body><div class='post-12 post tag-recommended-reading'><p>{LONG}</p></div><div class='related-posts'><a href=x>Another</a></div>",
+    f"<body><div class='weather-alert-story'><p>{LONG}</p></div><footer>f</footer>",
+    f"<body class='login'><div class='login-guide'><p>{LONG}</p></div><nav><a href=x>Home</a></nav>",
+    f"<body><div class='ad'>Buy now<article><p>{LONG}</p></article><footer>f</footer>",
+    f"<body><div class='content'><p>{LONG}</p></div><div class='comment-list'>{'<p>I read it, and I liked it a lot.</p>' * 60}</div>",
+    f"<body><article><p>{LONG}</p></article><form><p>{'Please fill in this form. ' * 100}</p></form>",
+])
+def test_no_name_empties_a_page(page):
+    assert html.main_text(page) == LONG.strip()
+
+
+def test_densities_by_their_definition():
+    """Counts, densities and the main node of random trees, from the definition alone."""
+    rng = np.random.default_rng(11)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            kind = rng.integers(4) if depth else 0
+            parts.append(("text", "x" * int(rng.integers(1, 60)), bool(rng.integers(2))) if kind < 2 else ("node", tree(depth - 1)))
+        return parts
+
+    def page(parts):
+        return "".join((f"<a href=y>{p[1]}</a>" if p[2] else p[1]) if p[0] == "text" else f"<div>{page(p[1])}</div>" for p in parts)
+
+    def counts(parts):
+        n = [0, 0, 0, 0]  # characters, of links, tags, of links
+        for p in parts:
+            more = (len(p[1]), len(p[1]) * p[2], int(p[2]), int(p[2])) if p[0] == "text" else [a + b for a, b in zip(counts(p[1]), (0, 0, 1, 0))]
+            n = [a + b for a, b in zip(n, more)]
+        return n
+
+    for _ in range(60):
+        body = tree(4)
+        total = counts(body)
+        share = (total[1] + 1) / (total[0] + 1)
+
+        def density(parts):
+            chars, link_chars, tags, link_tags = counts(parts)
+            if not chars:
+                return 0.0
+            base = np.log(chars / max(1, chars - link_chars) * link_chars + share * chars + np.e)
+            ratio = max(chars / (link_chars or 1) * (tags or 1) / (link_tags or 1), 1.0)
+            return chars / (tags or 1) * np.log(ratio + np.e - 1) / np.log(max(2.0, base))
+
+        def sums(parts):
+            own = sum(len(p[1]) for p in parts if p[0] == "text")
+            here = sum(density(p[1]) for p in parts if p[0] == "node") + (density(parts) if own * 2 > counts(parts)[0] else 0)
+            return [here, *(s for p in parts if p[0] == "node" for s in sums(p[1]))]
+
+        root = html.parse("<body>" + page(body))
+        best, least = html.main_node(root)
+        (inner,) = [p for p in root.parts if isinstance(p, html.Node)]
+        assert [inner.chars, inner.link_chars, inner.tags, inner.link_tags] == total
+        assert best.total == pytest.approx(max([density(body), *sums(body)]), rel=1e-6)
+        assert inner.density == pytest.approx(density(body), rel=1e-9)
