@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the features: coefficients, lags in order.
@@ -60,6 +62,36 @@ def sound_histogram(samples: np.ndarray, rate: int, books: list[np.ndarray], lag
     return np.concatenate(out)
 
 
+def coded_frames(wavs: DataFrame, key: str, books: list[np.ndarray]) -> DataFrame:
+    """``key, stream, t, code`` of ``wavs(key, rate, samples)``: each frame's code of cepstra, differences and second differences, a sound at a time."""
+    kind = wavs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, rate, samples in zip(b[key], b["rate"], b["samples"], strict=True):
+                c = mfcc(samples, int(rate))
+                d = delta(c)
+                for stream, (x, book) in enumerate(zip((c, d, delta(d)), books, strict=True)):
+                    yield pd.DataFrame({key: name, "stream": stream, "t": np.arange(x.shape[1]), "code": ((x.T[:, None] - book) ** 2).sum(2).argmin(1)})
+
+    return wavs.select(key, "rate", "samples").mapInPandas(run, f"{key} {kind}, stream int, t int, code long")
+
+
+def sparse_histograms(wavs: DataFrame, key: str, books: list[np.ndarray], lags=LAGS) -> DataFrame:
+    """``key, cell, n``: the cells of ``sound_histogram`` that aren't zero, counted by Spark from coded frames.
+
+    What a sound has grows with its frames and not with the squares of the codebooks.
+    """
+    from ..operators.series import cooccurrences as counted
+
+    frames, out, first = coded_frames(wavs, key, books).withColumn("__of", F.struct(key, "stream")), None, 0
+    for stream, book in enumerate(books):
+        part = counted(frames.filter(F.col("stream") == stream), "code", len(book), list(lags), "__of", "t")
+        part = part.select(f"__of.{key}", (F.col("code") + first).alias("cell"), "n")
+        out, first = part if out is None else out.unionByName(part), first + len(lags) * len(book) ** 2
+    return out
+
+
 def histograms(samples: Column, rate: Column, books: list[np.ndarray], lags=LAGS) -> Column:
     @F.pandas_udf("array<long>")
     def run(s: pd.Series, r: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import minmax
+from .pairing import small
 
 
 def _plogp(p: Column) -> Column:
@@ -64,7 +65,7 @@ def word_label_information(df: DataFrame, text: str, label: str) -> DataFrame:
     words = counts.groupBy("word").agg(F.sum("n").alias("nw"))
     labels = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("nl"))
     n = df.agg(F.count("*").alias("total"))
-    every = counts.join(words, "word").join(F.broadcast(labels), "label").join(F.broadcast(n))
+    every = counts.join(words, "word").join(small(labels), "label").join(F.broadcast(n))
     d = lambda c: F.col(c).cast("double")
     return every.select("word", "label", two_by_two_information(d("n"), d("nw") - d("n"), d("nl") - d("n"), d("total")).alias("mi"))
 
@@ -96,7 +97,7 @@ def confusion(df: DataFrame, truth: str, found: str) -> DataFrame:
     """``truth, found, n`` with a zero for each pair of labels that doesn't occur."""
     labels = df.select(F.col(truth).alias("label")).union(df.select(F.col(found).alias("label"))).distinct()
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(found).alias("found")).agg(F.count("*").alias("n"))
-    grid = labels.select(F.col("label").alias("truth")).join(F.broadcast(labels.select(F.col("label").alias("found"))))
+    grid = labels.select(F.col("label").alias("truth")).crossJoin(small(labels.select(F.col("label").alias("found"))))
     return grid.join(counts, ["truth", "found"], "left").select("truth", "found", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from .series import ranked
 
@@ -55,11 +56,36 @@ def zip_shortest(*arrays):
     return F.slice(F.arrays_zip(*arrays), F.lit(1), n)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """``df``, broadcast where it has at most ``most`` rows, as counted; beyond it joins shuffle, and no row goes."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(c: Column, kind: DataType) -> Column:
+    """About the bytes of a column's value."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        flat = not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType))
+        inner = F.size(c) * 8 if flat else F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + _width(x, kind.elementType).cast("long"))
+        return F.coalesce(inner, F.lit(0)) + 16
+    if isinstance(kind, MapType):
+        return _width(F.map_keys(c), ArrayType(kind.keyType)) + _width(F.map_values(c), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of all rows, as counted."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, broadcast where its rows have at most ``most`` bytes, as counted; beyond it joins shuffle, and no row goes."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
 
 
 def distribute(df: DataFrame, values: DataFrame) -> DataFrame:
     """Every row with every value; the values are broadcast where they are a short list of settings."""
-    return df.crossJoin(small(values, 10_000))
+    return df.crossJoin(small(values))

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import pairwise
+from .pairing import bytes_of
 
 #: Fixed value added to the smallest squared distance of soft weights.
 EPSILON = 1e-9
+#: Bytes of a codebook, or of all codebooks that are learned together, at most.
+BOOK_BYTES = 64 << 20
 
 
 def square_distance(a: Column, b: Column) -> Column:
@@ -23,7 +26,9 @@ def square_distance(a: Column, b: Column) -> Column:
 
 
 def _codes(codebook: DataFrame) -> DataFrame:
-    """The codebook ``code, centroid`` as one row; a codebook is a model of a few hundred rows."""
+    """The codebook ``code, centroid`` as one row, which is broadcast; of more than ``BOOK_BYTES`` it is an error."""
+    if bytes_of(codebook) > BOOK_BYTES:
+        raise ValueError("a codebook too large to be broadcast")
     return codebook.agg(F.array_sort(F.collect_list(F.struct("code", "centroid"))).alias("book"))
 
 
@@ -113,10 +118,6 @@ class Codebooks:
         return spark.createDataFrame(rows, f"{key} {kind}, start int, code int, centroid array<double>")
 
 
-#: Bytes of all codebooks that are learned together, at most.
-BOOK_BYTES = 64 << 20
-
-
 def _grouped(batch: pa.RecordBatch, key: str) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
     """Each key of a batch with the places of its rows and their vectors."""
     if not batch.num_rows:

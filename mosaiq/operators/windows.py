@@ -27,6 +27,21 @@ def slider(df: DataFrame, t0: Column, t1: Column, width: Column, shift: Column,
     return w.withColumn("start", F.col("__t0") + F.col("window") * F.col("__s")).withColumn("end", snapped).drop("__t0", "__t1", "__w", "__s")
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """Adds ``duration`` and ``mean_time`` of windows ``start, end``."""
+    return df.withColumn("duration", F.col("end") - F.col("start")).withColumn("mean_time", (F.col("start") + F.col("end")) / 2)
+
+
+def moved(df: DataFrame, by: Column) -> DataFrame:
+    """Windows ``start, end`` moved in time; what was measured of them before stays."""
+    return df.withColumn("start", F.col("start") + by).withColumn("end", F.col("end") + by)
+
+
+def sample_times(n: Column, start: Column, rate: Column) -> Column:
+    """The middles of ``n`` samples' cells of 1 / rate, the first of which begins at ``start``."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: start + (k + 0.5) / rate)).otherwise(F.array().cast("array<double>"))
+
+
 def frames(df: DataFrame, t0: Column, t1: Column, rate: float) -> DataFrame:
     """Windows of 1 / rate one after another; the last may be short."""
     return slider(df, t0, t1, F.lit(1 / rate), F.lit(1 / rate), partial=True)

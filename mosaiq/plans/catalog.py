@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import density, evaluation, factorize, information, matrix, pairing, quantize, series, sliding, windows
+from ..sources import recordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +51,7 @@ class Tables:
     def series(self) -> DataFrame:
         """``user_id, t, event_id, value, code`` of events: seconds since the epoch and a code from 0 to 4."""
         codes = self.events.select("event_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
-        return self.events.join(pairing.small(codes, 1000), "event_type").select("user_id", F.col("ts"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"), "event_id", "value", "event_type", F.col("code").cast("long").alias("code"))
+        return self.events.join(pairing.small(codes), "event_type").select("user_id", F.col("ts"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"), "event_id", "value", "event_type", F.col("code").cast("long").alias("code"))
 
 
 def query(sql: str | None = None):
@@ -96,24 +97,24 @@ def _r(x: str, name: str) -> str:
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name, r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey")
 def label_lookup(t: Tables) -> DataFrame:
-    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("id"), "n_name", F.col("r_name").alias("description"))
+    return t.nation.join(pairing.small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("id"), "n_name", F.col("r_name").alias("description"))
 
 
 @query("SELECT conv_id, role, CAST(count(*) AS BIGINT) AS n, CAST(min(turn) AS BIGINT) AS first_turn FROM conversations GROUP BY ALL")
 def nested_explode(t: Tables) -> DataFrame:
     """Nested records by conversation, flattened again."""
-    nested = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("records"))
-    return nested.select("conv_id", F.explode("records").alias("r")).groupBy("conv_id", "r.role").agg(F.count("*").alias("n"), F.min("r.turn").cast("long").alias("first_turn"))
+    groups = recordings.nested(t.conversations, ("conv_id",), "turn", "turn", "role")
+    return recordings.unnested(groups, "conv_id").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").cast("long").alias("first_turn"))
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
 def blacklist_anti(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "source").join(t.labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    return recordings.without(t.documents.select("doc_id", "source"), t.labels.filter("quality = 0"), ("doc_id",))
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, l.quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def outer_union_records(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "full").select("doc_id", "lang", "quality")
+    return recordings.of_either(t.documents.select("doc_id", "lang"), t.labels.select("doc_id", "quality"), "doc_id").select("doc_id", "lang", "quality")
 
 
 _LINE = "concat(CAST(event_id AS VARCHAR), '_o0', CAST(code AS VARCHAR), '_', CAST(CAST(floor(t) AS BIGINT) AS VARCHAR), '.5 | 10 6 ', CAST(user_id AS VARCHAR), ' 336')"
@@ -510,7 +511,7 @@ _UNIT = lambda a: f"list_transform({a}, lambda x: x / (list_sum({a}) + 1e-16))"
 
 
 def _paired(t: Tables) -> DataFrame:
-    return t.vectors(True).join(pairing.small(t.examples(), 10_000), F.col("label") == F.col("ex_label"))
+    return t.vectors(True).join(pairing.small(t.examples()), F.col("label") == F.col("ex_label"))
 
 
 def _metric_query(name: str, f, sql: str) -> None:
@@ -842,8 +843,8 @@ def tolerant_floor(t: Tables) -> DataFrame:
 
 @query(f"WITH {_INTERVALS} SELECT user_id, event_id, round(en - st, 3) AS duration, round((st + en) / 2, 3) AS mean_time, round(st + 100, 3) AS moved FROM w")
 def window_arith(t: Tables) -> DataFrame:
-    s, e = F.col("start"), F.col("end")
-    return _intervals(t).select("user_id", "event_id", F.round(e - s, 3).alias("duration"), F.round((s + e) / 2, 3).alias("mean_time"), F.round(s + 100, 3).alias("moved"))
+    w = windows.moved(windows.measured(_intervals(t)), F.lit(100.0))
+    return w.select("user_id", "event_id", F.round("duration", 3).alias("duration"), F.round("mean_time", 3).alias("mean_time"), F.round("start", 3).alias("moved"))
 
 
 @query(f"WITH {_INTERVALS}, c AS (SELECT user_id, event_id, greatest(st, 1704800000.0) AS st2, en FROM w) SELECT user_id, event_id, round(st2, 3) AS start, round(greatest(st2, least(en, 1705200000.0)), 3) AS \"end\" FROM c")
@@ -854,7 +855,8 @@ def interval_crop(t: Tables) -> DataFrame:
 
 @query(f"WITH {_V} SELECT i, CAST(j AS BIGINT) AS pos, round(i + (j + 0.5) / 5, 6) AS t FROM (SELECT i, unnest(range(len(v))) AS j FROM v)")
 def sample_times(t: Tables) -> DataFrame:
-    return t.vectors().select("i", F.posexplode("v").alias("pos", "x")).select("i", F.col("pos").cast("long").alias("pos"), F.round(F.col("i") + (F.col("pos") + 0.5) / 5, 6).alias("t"))
+    times = windows.sample_times(F.size("v"), F.col("i").cast("double"), F.lit(5.0))
+    return t.vectors().select("i", F.posexplode(times).alias("pos", "t")).select("i", F.col("pos").cast("long").alias("pos"), F.round("t", 6).alias("t"))
 
 
 @query(f"WITH {_V} SELECT i, round(2.0 + 13 / 5.0, 6) AS start, CAST(len(v[14:27]) AS BIGINT) AS n, {_r('list_sum(v[14:27])', 'total')} FROM v")
@@ -1122,4 +1124,4 @@ def plot_box_stats(t: Tables) -> DataFrame:
 @query("SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b WHERE a.lang <> b.lang")
 def modality_pairs(t: Tables) -> DataFrame:
     m = t.documents.select("lang").distinct()
-    return m.select(F.col("lang").alias("a")).join(pairing.small(m.select(F.col("lang").alias("b")), 1000), F.col("a") != F.col("b"))
+    return m.select(F.col("lang").alias("a")).join(pairing.small(m.select(F.col("lang").alias("b"))), F.col("a") != F.col("b"))

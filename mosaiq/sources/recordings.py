@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pairing import small
+
 MARKER = "tx ty tz qx qy qz qw".split()
 
 
@@ -30,7 +32,7 @@ def read_motion(spark: SparkSession, arrays: str, meta: str) -> DataFrame:
                         yield pd.DataFrame({"data_id": key, "t": t, "m": k} | {c: x[..., i].ravel() for i, c in enumerate(MARKER)})
 
     raw = spark.read.format("binaryFile").load(arrays).select("content").mapInPandas(run, "data_id string, t int, m int, " + ", ".join(f"{c} double" for c in MARKER))
-    return raw.join(F.broadcast(names), "m").join(labels, "data_id").select("record_id", "t", "marker", *MARKER, "labels")
+    return raw.join(small(names), "m").join(labels, "data_id").select("record_id", "t", "marker", *MARKER, "labels")
 
 
 def read_sounds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +48,28 @@ def read_sounds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_sounds(records: DataFrame, path: str) -> None:
     """Records nested under their speakers, one JSON object a speaker; an existing path is an error."""
-    each = F.struct("audio", "tags", "transcription", "style")
-    records.groupBy("speaker_id", "speaker").agg(F.array_sort(F.collect_list(F.struct("pos", each.alias("r")))).alias("x")).select("speaker_id", F.col("speaker").alias("name"), F.transform("x", lambda x: x["r"]).alias("records")).write.mode("errorifexists").json(path)
+    nested(records, ("speaker_id", "speaker"), "pos", "audio", "tags", "transcription", "style").withColumnRenamed("speaker", "name").write.mode("errorifexists").json(path)
+
+
+def without(records: DataFrame, blacklist: DataFrame, on: tuple[str, ...] = ("speaker_id", "pos")) -> DataFrame:
+    """Records but for those whose key is in ``blacklist``."""
+    return records.join(blacklist.select(*on), list(on), "left_anti")
+
+
+def nested(records: DataFrame, by: tuple[str, ...], order: str, *fields: str) -> DataFrame:
+    """``by..., records``: each key's records as one array in order."""
+    each = F.struct(order, F.struct(*fields).alias("r"))
+    return records.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["r"]).alias("records"))
+
+
+def unnested(groups: DataFrame, *by: str) -> DataFrame:
+    """``by..., pos`` and the fields of each of the ``records``, numbered as they come; the inverse of ``nested``."""
+    return groups.select(*by, F.posexplode("records").alias("pos", "r")).select(*by, "pos", "r.*")
 
 
-def without(records: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Records but for those of ``blacklist(speaker_id, pos)``."""
-    return records.join(blacklist, ["speaker_id", "pos"], "left_anti")
+def of_either(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+    """Records that ``a`` or ``b`` has, with null where one is missing."""
+    return a.join(b, list(on), "full")
 
 
 def first_tags(records: DataFrame, tags: DataFrame, speaker: int | None = None) -> DataFrame:
@@ -85,19 +102,18 @@ def read_speech(spark: SparkSession, wavs: str, texts: str) -> DataFrame:
     who = F.regexp_extract("path", r"([^/]+)/([^/]+)\.\w+$", 1)
     a = spark.read.format("binaryFile").load(wavs).select("path").select(who.alias("speaker"), stem.alias("name"), F.col("path").alias("audio"))
     b = spark.read.text(texts, wholetext=True).select(F.input_file_name().alias("path"), F.trim("value").alias("transcription")).select(who.alias("speaker"), stem.alias("name"), "transcription")
-    return a.join(b, ["speaker", "name"], "full").withColumn("style", F.lit("ADS"))
+    return of_either(a, b, "speaker", "name").withColumn("style", F.lit("ADS"))
 
 
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
-    """``path, rate, samples`` of 16-bit mono sound files."""
+    """``path, rate, samples`` of 16-bit mono sound files, one file's samples in memory at a time; ``formats`` reads long files in stretches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for p, blob in zip(b["path"], b["content"], strict=True):
                 with wave.open(io.BytesIO(blob)) as w:
-                    rows.append((p, w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["path", "rate", "samples"])
+                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.int32)
+                yield pd.DataFrame([(p, w.getframerate(), x)], columns=["path", "rate", "samples"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<int>")
 

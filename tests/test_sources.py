@@ -161,3 +161,27 @@ def test_expressions_at_depth(spark, kind, rows):
     for level in range(levels + 1):
         got = {r.i: r.y for r in df.select("i", nested.flattened(F.col("x"), level).alias("y")).collect()}
         assert got == {i: flat(x, level) for i, x in enumerate(rows)}
+
+
+def test_sparse_counts_of_sounds(spark):
+    from mosaiq.functions import sound
+
+    rng = np.random.default_rng(3)
+    sounds = {f"s{k}": rng.normal(0, 2000, n).astype(int).tolist() for k, n in enumerate((6000, 9000, 300))}
+    wavs = spark.createDataFrame([(n, 8000, x) for n, x in sounds.items()], "name string, rate int, samples array<int>")
+    books = [rng.normal(0, 20, (k, 13)) for k in (4, 3, 2)]
+    got = {}
+    for r in sound.sparse_histograms(wavs, "name", books).collect():
+        got.setdefault(r.name, {})[r.cell] = r.n
+    for name, x in sounds.items():
+        dense = sound.sound_histogram(np.array(x), 8000, books)
+        assert got.get(name, {}) == {k: n for k, n in enumerate(dense.tolist()) if n}
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from mosaiq.operators import pairing
+
+    df = spark.createDataFrame([(1, "abc", [1.0] * 1000, {"k": ["x" * 50]}, None), (2, None, None, None, (3, "y" * 100))], "i long, s string, v array<double>, m map<string, array<string>>, n struct<a: long, b: string>")
+    assert 8200 < pairing.bytes_of(df) < 8700 and pairing.bytes_of(df.limit(0)) == 0
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(pairing.small(df)) and not hinted(pairing.small(df, 8000))
