@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import transforms as T
 from ..functions import vectors as V
 from ..operators import density, evaluation, factorize, information, matrix, pairing, quantize, series, sliding, windows
 from ..sources import recordings
@@ -1010,6 +1011,83 @@ def joint_angles(t: Tables) -> DataFrame:
     return e.select("l_orderkey", "l_linenumber", *(r6(f"e.{a}").alias(a) for a in ("ax", "ay", "az")))
 
 
+# -- transforms made of the same numbers, a row of cells each
+
+_UNITS = "u AS (SELECT *, x / l AS n0, y / l AS n1, (z + 0.1) / l AS n2 FROM (SELECT *, sqrt(x * x + y * y + (z + 0.1) * (z + 0.1)) AS l FROM q))"
+
+
+def _cells_sql(cells: list[list[str]]) -> str:
+    return ", ".join(_r(c, f"m{i}{j}") for i, row in enumerate(cells) for j, c in enumerate(row))
+
+
+def _cells_of(t: Tables, f: Callable[[F.Column, F.Column], F.Column], columns: int) -> DataFrame:
+    """The first three rows of a matrix that ``f`` makes of lineitem's axes and quaternions."""
+    q = _quaternions(t).withColumn("axis", F.array(F.col("q.x"), F.col("q.y"), F.col("q.z") + 0.1))
+    m = q.select("l_orderkey", "l_linenumber", f(F.col("axis"), F.col("q")).alias("m"))
+    return m.select("l_orderkey", "l_linenumber", *(r6(F.col("m")[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(columns)))
+
+
+_CROSS = [["0", "-n2", "n1"], ["n2", "0", "-n0"], ["-n1", "n0", "0"]]
+_ROTATION = [[f"{'cos(w)' if i == j else '0'} + (1 - cos(w)) * n{i} * n{j} + sin(w) * ({_CROSS[i][j]})" for j in range(3)] for i in range(3)]
+_MIRROR = [[f"{int(i == j)} - 2 * n{i} * n{j}" for j in range(3)] for i in range(3)]
+_STRETCH = [[f"{int(i == j)} + (w - 1) * n{i} * n{j}" for j in range(3)] for i in range(3)]
+_QUATERNION = [["1 - 2 * (y * y + z * z) / d", "2 * (x * y - z * w) / d", "2 * (x * z + y * w) / d"], ["2 * (x * y + z * w) / d", "1 - 2 * (x * x + z * z) / d", "2 * (y * z - x * w) / d"], ["2 * (x * z - y * w) / d", "2 * (y * z + x * w) / d", "1 - 2 * (x * x + y * y) / d"]]
+_EULER = [["cos(y) * cos(z)", "sin(x) * sin(y) * cos(z) - cos(x) * sin(z)", "cos(x) * sin(y) * cos(z) + sin(x) * sin(z)"], ["cos(y) * sin(z)", "sin(x) * sin(y) * sin(z) + cos(x) * cos(z)", "cos(x) * sin(y) * sin(z) - sin(x) * cos(z)"], ["-sin(y)", "sin(x) * cos(y)", "cos(x) * cos(y)"]]
+
+
+def _moved(linear: list[list[str]]) -> list[list[str]]:
+    """A linear map that keeps (1, 2, 3) in place."""
+    return [[*row, f"{i + 1} - (({row[0]}) * 1 + ({row[1]}) * 2 + ({row[2]}) * 3)"] for i, row in enumerate(linear)]
+
+
+_KEYS = "l_orderkey, l_linenumber"
+_POINT = T.vector(1.0, 2.0, 3.0)
+
+
+@query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_ROTATION))} FROM u")
+def rotation_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.rotation_matrix(q["w"], axis, _POINT), 4)
+
+
+@query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_MIRROR))} FROM u")
+def reflection_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.reflection_matrix(_POINT, axis), 4)
+
+
+@query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_STRETCH))} FROM u")
+def scale_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.scale_matrix(q["w"], _POINT, axis), 4)
+
+
+@query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql(_QUATERNION)} FROM (SELECT *, x * x + y * y + z * z + w * w AS d FROM q)")
+def quaternion_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.quaternion_matrix(q), 3)
+
+
+@query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql(_EULER)} FROM q")
+def euler_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.euler_matrix(q["x"], q["y"], q["z"]), 3)
+
+
+@query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql([[*row, f'{i + 1}'] for i, row in enumerate([['w * (' + c + ')' for c in row] for row in _EULER])])} FROM q")
+def compose_matrix(t: Tables) -> DataFrame:
+    return _cells_of(t, lambda axis, q: T.compose_matrix(F.array(q["w"], q["w"], q["w"]), None, F.array(q["x"], q["y"], q["z"]), _POINT), 4)
+
+
+@query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql([['1 / w' if i == j else '0' for j in range(3)] + [f'{-(i + 1)} / w'] for i in range(3)])} FROM q")
+def inverse_matrix(t: Tables) -> DataFrame:
+    """Of a translation after a scaling."""
+    return _cells_of(t, lambda axis, q: T.inverse_matrix(T.product(T.translation_matrix(_POINT), T.scale_matrix(q["w"]))), 4)
+
+
+@query(f"""WITH {_Q}, a AS (SELECT *, (x * 0.5 + y * -0.5 + z * 0.5 + w * 0.5) / d AS cosine FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS d FROM q)),
+b AS (SELECT *, CASE WHEN cosine < 0 THEN -1 ELSE 1 END AS turn, acos(least(1, abs(cosine))) AS angle FROM a)
+SELECT {_KEYS}, {", ".join(_r(f"(sin(0.7 * angle) * {f} / d + sin(0.3 * angle) * turn * ({h})) / sin(angle)", f) for f, h in zip("xyzw", ("0.5", "-0.5", "0.5", "0.5"), strict=True))} FROM b""")
+def quaternion_slerp(t: Tables) -> DataFrame:
+    other = V.quaternion(*map(F.lit, (0.5, -0.5, 0.5, 0.5)))
+    return _xyzw(_quaternions(t), T.quaternion_slerp(F.col("q"), other, F.lit(0.3)))
+
+
 # -- sets, sorts, maps, reports
 
 @query("SELECT page_id, url, CAST(row_number() OVER (ORDER BY url, page_id) AS BIGINT) AS rn FROM pages")

@@ -3,10 +3,10 @@ import math
 import random
 
 import numpy as np
+import plain_geometry as G
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.functions import geometry as G
 from mosaiq.functions import vectors as V
 from mosaiq.operators import density, evaluation, factorize, information, motion, pairing, series, windows
 from mosaiq.plans.experiment import Experiment

@@ -1,8 +1,8 @@
 import numpy as np
+import plain_geometry as G
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.functions import geometry as G
 from mosaiq.functions import sound
 from mosaiq.operators import assignment, evaluation, factorize, pairing, quantize, series, windows
 from mosaiq.plans.runlog import RunLog
