@@ -56,6 +56,11 @@ def zip_shortest(*arrays):
     return F.slice(F.arrays_zip(*arrays), F.lit(1), n)
 
 
+def gathered(rows: DataFrame, key: str, index: DataFrame, at: str) -> DataFrame:
+    """The rows whose ``key`` the column ``at`` of ``index`` names, with the index's other columns: once for each time that it does, in whatever order it gives."""
+    return index.withColumnRenamed(at, key).join(rows, key)
+
+
 #: Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 

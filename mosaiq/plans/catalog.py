@@ -802,6 +802,13 @@ def leave_one_out(t: Tables) -> DataFrame:
     return series.leave_one_out(n, n, "n_nationkey")
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS pos, CAST(c_custkey AS BIGINT) AS c_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def row_gather(t: Tables) -> DataFrame:
+    """Customers in the order, and as often, as orders name them."""
+    index = t.orders.select(F.col("o_orderkey").cast("long").alias("pos"), "o_custkey")
+    return pairing.gathered(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", index, "o_custkey").select("pos", F.col("c_custkey").cast("long"), "c_mktsegment")
+
+
 # -- time windows, on each user's span of events
 
 _SPAN = f"{_SERIES}, u AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM s GROUP BY 1)"

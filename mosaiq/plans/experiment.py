@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -43,6 +44,21 @@ class Experiment:
     mode: float | str = 0.1
     seed: int = 0
 
+    def save_settings(self, path: str) -> None:
+        """Everything but the data as JSON, in a folder that Spark writes; an existing one is an error."""
+        rows = next(iter(self.modalities.values()))[0]
+        held = {"modalities": {n: d for n, (_, d) in self.modalities.items()}} | {n: getattr(self, n) for n in ("k", "steps_train", "steps_test", "mode", "seed")}
+        rows.sparkSession.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.text(path)
+
+    @classmethod
+    def load_settings(cls, path: str, data: dict[str, DataFrame]) -> Experiment:
+        """The experiment of saved settings on ``data`` by modality; other modalities than the saved ones are an error."""
+        held = json.loads(next(iter(data.values())).sparkSession.read.text(path).first()["value"])
+        dims = held.pop("modalities")
+        if set(dims) != set(data):
+            raise ValueError(f"modalities {sorted(data)}, not {sorted(dims)}")
+        return cls({n: (data[n], dims[n]) for n in dims}, **held)
+
     def prepare(self) -> tuple[DataFrame, DataFrame, list[float]]:
         """Samples and examples ``i, label, <modality>...``, and each modality's weight, 1 over the mean row sum."""
         keys = {n: (rows, "key", "label") for n, (rows, _) in self.modalities.items()}

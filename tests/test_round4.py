@@ -267,3 +267,21 @@ def test_timelines_that_don_t_join_are_errors(spark):
     rates = timeline(spark).withColumn("rate", F.when(F.col("start") == 5.0, 20.0).otherwise(F.col("rate")))
     with pytest.raises(Exception, match="different rates"):
         windows.cut(rates, cuts(spark, (4.0, 6.0)), "s", 2.0).collect()
+
+
+def test_settings_and_three_modalities(spark, tmp_path):
+    """Settings come back; three modalities give 12 comparisons by their coefficients."""
+    rng = np.random.default_rng(8)
+    made = {}
+    for name, d in (("a", 4), ("b", 3), ("c", 3)):
+        rows = [(i, i % 2, (rng.random(d) * 0.1 + np.eye(d)[i % 2]).tolist()) for i in range(16)]
+        made[name] = (spark.createDataFrame(rows, "key long, label long, v array<double>"), d)
+    e = Experiment(made, k=2, steps_train=2, steps_test=2, mode="single")
+    e.save_settings(str(tmp_path / "settings"))
+    again = Experiment.load_settings(str(tmp_path / "settings"), {n: rows for n, (rows, _) in made.items()})
+    assert (again.k, again.mode, again.seed, [d for _, d in again.modalities.values()]) == (2, "single", 0, [4, 3, 3])
+    with pytest.raises(ValueError):
+        Experiment.load_settings(str(tmp_path / "settings"), {"a": made["a"][0]})
+    log = again.run()
+    assert len(log.results) == 48 and all(0 <= log.last(k) <= 1 for k in log.results)
+    assert {"score_a+b2c_cosine", "score_a2b+c_kl", "score_c2a_frobenius"} <= set(log.results)
