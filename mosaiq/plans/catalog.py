@@ -1048,22 +1048,22 @@ def _moved(linear: list[list[str]]) -> list[list[str]]:
 
 
 _KEYS = "l_orderkey, l_linenumber"
-_POINT = T.vector(1.0, 2.0, 3.0)
+_POINT = (1.0, 2.0, 3.0)
 
 
 @query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_ROTATION))} FROM u")
 def rotation_matrix(t: Tables) -> DataFrame:
-    return _cells_of(t, lambda axis, q: T.rotation_matrix(q["w"], axis, _POINT), 4)
+    return _cells_of(t, lambda axis, q: T.rotation_matrix(q["w"], axis, T.vector(*_POINT)), 4)
 
 
 @query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_MIRROR))} FROM u")
 def reflection_matrix(t: Tables) -> DataFrame:
-    return _cells_of(t, lambda axis, q: T.reflection_matrix(_POINT, axis), 4)
+    return _cells_of(t, lambda axis, q: T.reflection_matrix(T.vector(*_POINT), axis), 4)
 
 
 @query(f"WITH {_Q}, {_UNITS} SELECT {_KEYS}, {_cells_sql(_moved(_STRETCH))} FROM u")
 def scale_matrix(t: Tables) -> DataFrame:
-    return _cells_of(t, lambda axis, q: T.scale_matrix(q["w"], _POINT, axis), 4)
+    return _cells_of(t, lambda axis, q: T.scale_matrix(q["w"], T.vector(*_POINT), axis), 4)
 
 
 @query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql(_QUATERNION)} FROM (SELECT *, x * x + y * y + z * z + w * w AS d FROM q)")
@@ -1078,13 +1078,13 @@ def euler_matrix(t: Tables) -> DataFrame:
 
 @query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql([[*row, f'{i + 1}'] for i, row in enumerate([['w * (' + c + ')' for c in row] for row in _EULER])])} FROM q")
 def compose_matrix(t: Tables) -> DataFrame:
-    return _cells_of(t, lambda axis, q: T.compose_matrix(F.array(q["w"], q["w"], q["w"]), None, F.array(q["x"], q["y"], q["z"]), _POINT), 4)
+    return _cells_of(t, lambda axis, q: T.compose_matrix(F.array(q["w"], q["w"], q["w"]), None, F.array(q["x"], q["y"], q["z"]), T.vector(*_POINT)), 4)
 
 
 @query(f"WITH {_Q} SELECT {_KEYS}, {_cells_sql([['1 / w' if i == j else '0' for j in range(3)] + [f'{-(i + 1)} / w'] for i in range(3)])} FROM q")
 def inverse_matrix(t: Tables) -> DataFrame:
     """Of a translation after a scaling."""
-    return _cells_of(t, lambda axis, q: T.inverse_matrix(T.product(T.translation_matrix(_POINT), T.scale_matrix(q["w"]))), 4)
+    return _cells_of(t, lambda axis, q: T.inverse_matrix(T.product(T.translation_matrix(T.vector(*_POINT)), T.scale_matrix(q["w"]))), 4)
 
 
 @query(f"""WITH {_Q}, a AS (SELECT *, (x * 0.5 + y * -0.5 + z * 0.5 + w * 0.5) / d AS cosine FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS d FROM q)),

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -26,3 +30,9 @@ def test_against_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+def test_queries_are_known_without_a_session():
+    """Importing the entry makes no column, which would need one."""
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True, cwd=Path(__file__).resolve().parent.parent)
+    assert int(found.stdout) >= len(registry.QUERIES), found.stderr
