@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .perfecthash import PerfectHash
 from .scratch import keep
 from .sums import PART, PARTS, parts_of, tree_sum, unpacked
-from .textbytes import chunks, mix, slices, trim, word_hashes, words
+from .textbytes import chunks, mix, slices, word_hashes, words
 
 U = np.uint64
 #: Words of the longest phrase; buckets of a sieve, as a power of two.
