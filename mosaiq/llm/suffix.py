@@ -15,8 +15,8 @@ from .textbytes import Substrings, as_list, chunks, mix, trim
 
 #: Bytes of the strings, and of the anchors that they are dealt by.
 WINDOW, GRAM = 200, 32
-#: Bytes of contexts that a suffix array is built over, about, and the most that one anchor gives it.
-SHARD_BYTES, ANCHOR_BYTES = 2 << 20, 8 << 20
+#: Bytes of contexts that a suffix array is built over, some 70 bytes of memory for each, and the most that one anchor gives it.
+SHARD_BYTES, ANCHOR_BYTES = 1 << 20, 8 << 20
 #: Bytes of texts whose anchors are found at once, some 130 bytes of memory for each.
 ANCHOR_CHUNK = 1 << 19
 
@@ -24,10 +24,8 @@ ANCHOR_CHUNK = 1 << 19
 def _eights(text: np.ndarray, depth: int) -> np.ndarray:
     """The eight bytes from each place on as a big-endian word, zeros beyond the end, and ``depth`` places more."""
     padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    word = np.zeros(len(text) + depth, np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(text) + depth].astype(np.uint64) << np.uint64(56 - 8 * k)
-    return word
+    word = np.ndarray((len(text) + depth,), ">u8", padded, strides=(1,))
+    return word.astype(np.uint64)
 
 
 def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -43,19 +41,21 @@ def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) ->
     """
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     # i is of type B if its next different byte is larger; the end of the text is smaller than any byte.
     step = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     rises = np.append(text[step[:-1]] < text[step[1:]], False)
     b = np.repeat(rises, np.diff(step, prepend=-1))
-    place_of = np.arange(n)
     if wanted is None:
         held = np.ones(n, bool)
     else:
-        last_b = np.maximum.accumulate(np.where(b, place_of, -1))
-        held = np.maximum.accumulate(np.where(wanted, place_of, -1)) > np.concatenate([[-1], last_b[:-1]])
+        place_of = np.arange(n, dtype=np.int32)
+        last_b = np.maximum.accumulate(np.where(b, place_of, np.int32(-1)))
+        held = np.maximum.accumulate(np.where(wanted, place_of, np.int32(-1)))
+        held = np.concatenate([held[:1] > -1, held[1:] > last_b[:-1]])
+        del place_of, last_b
     word = _eights(text, depth)
-    order = np.flatnonzero(b & held)
+    order = np.flatnonzero(b & held).astype(np.int32)
     order = order[np.argsort(word[order])]
     same = np.zeros(len(order), bool)
     same[1:] = word[order[1:]] == word[order[:-1]]
@@ -74,14 +74,16 @@ def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) ->
         equal = np.zeros(len(at), bool)
         equal[1:] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
         same[at] = equal
+    del word, same
     sizes = np.bincount(text[held], minlength=256)
     of_b = np.bincount(text[order], minlength=256)
     start = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), -1, np.int64)
+    out = np.full(int(sizes.sum()), -1, np.int32)
     low = start + sizes - of_b
     b_at = np.concatenate([[0], np.cumsum(of_b)])
     for c in range(256):
         out[low[c] : low[c] + of_b[c]] = order[b_at[c] : b_at[c + 1]]
+    del order, b
     head = start.copy()
 
     def place(at: np.ndarray, c: int) -> None:
@@ -119,13 +121,13 @@ def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix, ``depth`` at most, of each suffix with the one before it in ``order``; 0 for the first."""
     n = len(text)
-    room = np.minimum(n - order, depth)
-    out = np.zeros(len(order), np.int64)
+    room = np.minimum(n - order, depth).astype(np.int32)
+    out = np.zeros(len(order), np.int32)
     if len(order) < 2:
         return out
     room[1:] = np.minimum(room[1:], np.minimum(n - order[:-1], depth))
     whole = _eights(text, depth)
-    live = np.arange(1, len(order))
+    live = np.arange(1, len(order), dtype=np.int32)
     for k in range(0, depth, 8):
         x, y = whole[order[live] + k], whole[order[live - 1] + k]
         differ = x != y
@@ -144,7 +146,7 @@ def repeated_starts(text: np.ndarray, may_start: np.ndarray, weight: np.ndarray,
     """Which of the allowed places start a string of ``depth`` bytes that starts at least twice, by weight."""
     order = two_stage(text, depth, may_start)
     order = order[may_start[order]]
-    block = np.cumsum(common_prefixes(text, order, depth) < depth) - 1
+    block = np.cumsum(common_prefixes(text, order, depth) < depth, dtype=np.int32) - 1
     n = np.bincount(block, weights=weight[order], minlength=1)
     out = np.zeros(len(text), bool)
     out[order] = n[block] > 1
@@ -229,15 +231,19 @@ MARKS = "anchor long, content long, begin array<int>, end array<int>"
 def _marks(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated spans of each context in a task's share, by suffix arrays over whole anchors of about ``SHARD_BYTES``."""
     held: list[tuple] = []
-    size = 0
+    group: list[tuple] = []
+    size = more = 0
 
     def solved() -> pa.RecordBatch:
         length = np.array([len(r[3]) for r in held])
         text = np.frombuffer(b"".join(r[3] for r in held), np.uint8)
         end = np.cumsum(length)
-        row = np.repeat(np.arange(len(held)), length)
-        allowed = np.arange(len(text)) + WINDOW <= end[row]
-        hit = np.flatnonzero(repeated_starts(text, allowed, np.array([r[2] for r in held])[row], WINDOW))
+        row = np.repeat(np.arange(len(held), dtype=np.int32), length)
+        # Contexts hold a window at least.
+        allowed = np.ones(len(text), bool)
+        for k in range(1, WINDOW):
+            allowed[end - k] = False
+        hit = np.flatnonzero(repeated_starts(text, allowed, np.minimum([r[2] for r in held], 2).astype(np.uint8)[row], WINDOW))
         of, local = row[hit], hit - (end - length)[row[hit]]
         new = np.ones(len(hit), bool)
         new[1:] = (of[1:] != of[:-1]) | (local[1:] != local[:-1] + 1)
@@ -249,14 +255,18 @@ def _marks(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in groups:
         for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if size > SHARD_BYTES and row[0] != held[-1][0]:
+            if group and row[0] != group[-1][0]:
+                held, group, size, more = held + group, [], size + more, 0
+            # An anchor that doesn't fit in beside others has a suffix array of its own.
+            if held and size + more + len(row[3]) > SHARD_BYTES:
                 yield solved()
                 held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+            group.append(row)
+            more += len(row[3])
+    held += group
     if held:
         yield solved()
-    held = []
+    held = group = []
     trim()
 
 
