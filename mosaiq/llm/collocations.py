@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,12 +16,12 @@ from pyspark.sql.window import Window
 from .perfecthash import PerfectHash
 from .scratch import keep
 from .sums import PART, PARTS, parts_of, tree_sum, unpacked
-from .textbytes import chunks, mix, slices, word_hashes, words
+from .textbytes import chunks, mix, slices, trim, word_hashes, words
 
 U = np.uint64
-#: Words of the longest phrase; buckets of a sieve, as a power of two.
-LONGEST, SIEVE = 4, 24
-#: Candidates that are counted in one reading of the texts; text bytes that are taken at a time.
+#: Words of the longest phrase; buckets of a sieve, as a power of two: the least, and the most (a byte of a task's memory each).
+LONGEST, SIEVE, WIDEST = 4, 24, 27
+#: Words of the texts for each share of the candidates; text bytes that are taken at a time.
 KEYS, TEXT = 1 << 20, 2 << 20
 #: Shares of a language that are ranked apart before the last ranking.
 SHARES = 64
@@ -87,12 +87,17 @@ class Sieve:
     bits: np.ndarray
 
     def has(self, g: np.ndarray) -> np.ndarray:
-        at = g >> U(64 - SIEVE)
+        at = g >> U(64 - (8 * len(self.bits) - 1).bit_length())
         return (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _sifted(parts: DataFrame, most: int) -> dict[int, Sieve]:
-    """The sieves of bucket counts; of each part, bits alone come to the driver: 2 MB for each of at most three lengths."""
+def width(words: int, support: int) -> int:
+    """Buckets, as a power of two, of which each has half the support or less where so many runs fall evenly; ``WIDEST`` at most."""
+    return min(WIDEST, max(SIEVE, (2 * words // support).bit_length()))
+
+
+def _sifted(parts: DataFrame, most: int, wide: int) -> dict[int, Sieve]:
+    """The sieves of bucket counts; of each part, bits alone come to the driver: 2 to 16 MB for each of at most three lengths."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,14 +105,20 @@ def _sifted(parts: DataFrame, most: int) -> dict[int, Sieve]:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("part"), pa.array(found, pa.binary())], names=["k", "part", "bits"])
 
     out: dict[int, Sieve] = {}
+    size = _part(wide) >> 3
     for row in tree_sum(parts, most).mapInArrow(bits, "k int, part int, bits binary").collect():
-        held = out.setdefault(row.k, Sieve(np.zeros(1 << SIEVE >> 3, np.uint8))).bits
-        held[row.part * (PART >> 3) : (row.part + 1) * (PART >> 3)] = np.frombuffer(row.bits, np.uint8)
+        held = out.setdefault(row.k, Sieve(np.zeros(1 << wide >> 3, np.uint8))).bits
+        held[row.part * size : (row.part + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
+def _part(wide: int) -> int:
+    """Buckets that are summed together: a sieve has equally many parts however wide it is."""
+    return PART << (wide - SIEVE)
+
+
 def _added(buckets: np.ndarray, g: np.ndarray, most: int) -> None:
-    at, n = np.unique(g >> U(64 - SIEVE), return_counts=True)
+    at, n = np.unique(g >> U(64 - (len(buckets) - 1).bit_length()), return_counts=True)
     buckets[at] = np.minimum(buckets[at] + np.minimum(n, most), most)
 
 
@@ -120,7 +131,7 @@ def word_sieve(frequent: DataFrame) -> dict[int, Sieve]:
             _added(buckets, batch.column("h").to_numpy().view(U), 1)
         yield from parts_of({1: buckets})
 
-    return _sifted(frequent.select("h").mapInArrow(marked, PARTS), 1)
+    return _sifted(frequent.select("h").mapInArrow(marked, PARTS), 1, SIEVE)
 
 
 def _runs(key: np.ndarray, joined: np.ndarray, sieves: dict[int, Sieve], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -141,40 +152,40 @@ def _runs(key: np.ndarray, joined: np.ndarray, sieves: dict[int, Sieve], longest
         yield k, at, g
 
 
-def run_sieves(docs: DataFrame, sieves: dict[int, Sieve], lengths: range, rule: Rule) -> dict[int, Sieve]:
+def run_sieves(docs: DataFrame, sieves: dict[int, Sieve], lengths: range, rule: Rule, wide: int = SIEVE) -> dict[int, Sieve]:
     """Buckets of the runs of ``lengths`` words that may be frequent as far as ``sieves`` say; a missing sieve lets nothing through."""
     most = min(rule.support, 255)
     held = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = {k: np.zeros(1 << SIEVE, np.uint8) for k in lengths}
+        buckets = {k: np.zeros(1 << wide, np.uint8) for k in lengths}
         for *_, key, joined in _keyed(batches, rule.seed):
             for k, _, g in _runs(key, joined, held.value, max(lengths)):
                 if k in buckets:
                     _added(buckets[k], g, most)
-        yield from parts_of(buckets)
+        yield from parts_of(buckets, _part(wide))
 
-    found = _sifted(docs.select("text", "lang").mapInArrow(counted, PARTS), most)
+    found = _sifted(docs.select("text", "lang").mapInArrow(counted, PARTS), most, wide)
     held.unpersist()
-    return {k: found.get(k, Sieve(np.zeros(1 << SIEVE >> 3, np.uint8))) for k in lengths}
+    return {k: found.get(k, Sieve(np.zeros(1 << wide >> 3, np.uint8))) for k in lengths}
 
 
-CANDIDATES = "g long, k int, h1 long, h2 long, h3 long, h4 long"
+CANDIDATES = "k int, h1 long, h2 long, h3 long, h4 long, n long"
+WORDS = [f"h{j + 1}" for j in range(LONGEST)]
 
 
-def candidates(docs: DataFrame, sieves: dict[int, Sieve], rule: Rule) -> DataFrame:
-    """``g, k, h1 to h4``: each run of 2 to 4 words that passes its sieve, as do all runs within it; words that it hasn't are 0."""
-    held = docs.sparkSession.sparkContext.broadcast(sieves)
+def candidates(docs: DataFrame, sieves, rule: Rule) -> DataFrame:
+    """``k, h1 to h4, n``: each run of 2 to 4 words that passes its sieve, as do all runs within it, with its occurrences in some megabytes of text; words that it hasn't are 0."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, key, joined in _keyed(batches, rule.seed):
-            for k, at, g in _runs(key, joined, held.value, LONGEST):
-                ok = np.flatnonzero(held.value[k].has(g))
-                g, first = np.unique(g[ok], return_index=True)
+            for k, at, g in _runs(key, joined, sieves.value, LONGEST):
+                ok = np.flatnonzero(sieves.value[k].has(g))
+                _, first, n = np.unique(g[ok], return_index=True, return_counts=True)
                 at = at[ok[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), k, np.int32))] + [pa.array(key[at + j].view(np.int64) if j < k else np.zeros(len(g), np.int64)) for j in range(LONGEST)], names=["g", "k", "h1", "h2", "h3", "h4"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32))] + [pa.array(key[at + j].view(np.int64) if j < k else np.zeros(len(at), np.int64)) for j in range(LONGEST)] + [pa.array(n)], names=["k", *WORDS, "n"])
 
-    return docs.select("text", "lang").mapInArrow(found, CANDIDATES).distinct()
+    return docs.select("text", "lang").mapInArrow(found, CANDIDATES)
 
 
 # --- counting by slot
@@ -182,7 +193,7 @@ def candidates(docs: DataFrame, sieves: dict[int, Sieve], rule: Rule) -> DataFra
 
 @dataclass
 class Slots:
-    """Stored keys of some candidates at the slots of their perfect hash, and the counts known before."""
+    """Stored keys of some candidates at the slots of their perfect hash, and their counts."""
 
     perfect: PerfectHash
     k: np.ndarray
@@ -190,123 +201,80 @@ class Slots:
     f: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table) -> Slots:
-        g, k, *h, f = (table.column(c).to_numpy() for c in ("g", "k", "h1", "h2", "h3", "h4", "f"))
-        perfect = PerfectHash(g.view(U))
-        order = np.argsort(perfect.slots(g.view(U)))
-        return cls(perfect, k[order].astype(np.int8), np.array([x.view(U)[order] for x in h]), f[order])
-
-    def find(self, g: np.ndarray, k: int, h: list[np.ndarray]) -> np.ndarray:
-        """The slot of each run of ``k`` words, compared with the key that is stored there; -1 if it is none."""
-        slot = self.perfect.slots(g)
-        ok = slot >= 0
-        ok[ok] = self.k[slot[ok]] == k
-        for j in range(k):
-            ok[ok] = self.h[j][slot[ok]] == h[j][ok]
-        return np.where(ok, slot, -1)
-
-
-def slot_counts(docs: DataFrame, slots, sieves, share: Callable[[np.ndarray], np.ndarray], rule: Rule) -> DataFrame:
-    """The arrays of occurrences by slot, summed over all tasks, in parts."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = slots.value
-        counts = np.zeros(table.perfect.size, np.int64)
-        for *_, key, joined in _keyed(batches, rule.seed):
-            for k, at, g in _runs(key, joined, sieves.value, LONGEST):
-                own = np.flatnonzero(sieves.value[k].has(g) & share(g))
-                at, g = at[own], g[own]
-                slot = table.find(g, k, [key[at + j] for j in range(k)])
-                counts += np.bincount(slot[slot >= 0], minlength=len(counts))
-        yield from parts_of({0: counts})
-
-    return tree_sum(docs.select("text", "lang").mapInArrow(counted, PARTS))
-
-
-PHRASES = "g long, k int, h1 long, h2 long, h3 long, h4 long, a long"
-
-
-def _frequent(parts: DataFrame, slots, rule: Rule) -> DataFrame:
-    """The phrases of the slots that met the support, with their counts."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = slots.value
-        for batch in batches:
-            for part, data in zip(batch.column("part"), batch.column("counts"), strict=True):
-                counts = unpacked(data.as_py())
-                at = np.flatnonzero(counts >= rule.support)
-                slot = part.as_py() * PART + at
-                h = table.h[:, slot]
-                g = h[0].copy()
-                for j in range(1, LONGEST):
-                    g = np.where(table.k[slot] > j, _combined(g, h[j], j + 1), g)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(table.k[slot].astype(np.int32))] + [pa.array(x.view(np.int64)) for x in h] + [pa.array(counts[at])], names=["g", "k", "h1", "h2", "h3", "h4", "a"])
-
-    return parts.mapInArrow(found, PHRASES)
-
-
-def _with_cuts(phrases: DataFrame, slots, share: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Adds the counts of the parts that are among ``slots`` to ``l`` and ``r``, an element for each cut."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = slots.value
-        for batch in batches:
-            n = batch.num_rows
-            k = batch.column("k").to_numpy()
-            h = [batch.column(f"h{j + 1}").to_numpy().view(U) for j in range(LONGEST)]
-            sides = []
-            for side in ("l", "r"):
-                got = batch.column(side).flatten().to_numpy().reshape(n, LONGEST - 1).copy()
-                for cut in range(1, LONGEST):
-                    for size in range(cut + 1, LONGEST + 1):
-                        low, high = (0, cut) if side == "l" else (cut, size)
-                        own = np.flatnonzero(k == size)
-                        of = [h[j][own] for j in range(low, high)]
-                        g = reduce(lambda g, x: _combined(g, x[1], x[0]), enumerate(of[1:], 2), of[0])
-                        mine = share(g)
-                        slot = table.find(g[mine], high - low, [x[mine] for x in of])
-                        got[own[mine], cut - 1] += np.where(slot >= 0, counts[slot], 0)
-                sides.append(pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), LONGEST - 1).cast(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "k", "h1", "h2", "h3", "h4", "a")), *sides], names=[*batch.schema.names[:7], "l", "r"])
-
-    return phrases.mapInArrow(read, f"{PHRASES}, l array<long>, r array<long>")
-
-
-def frequent_phrases(docs: DataFrame, frequent: DataFrame, rule: Rule) -> DataFrame | None:
-    """``g, k, h1 to h4, a, l, r``: every phrase of 2 to 4 words with its count and those of the parts of each cut.
-
-    None where two candidates share a hash. ``frequent`` has the keys ``h`` and counts ``f`` of the words
-    that meet the support.
+    def of(cls, k: np.ndarray, h: np.ndarray, n: np.ndarray) -> Slots | None:
+        """From candidates that may come several times, with occurrences to be summed; None where two have the same hash."""
+        g = h[0]
+        for j in range(1, LONGEST):
+            g = np.where(k > j, _combined(g, h[j], j + 1), g)
+        perfect = PerfectHash(np.unique(g))
+        slot = perfect.slots(g)
+        one = np.zeros(perfect.size, np.int64)
+        one[slot] = np.arange(len(slot))
+        out = cls(perfect, k[one], h[:, one], np.zeros(perfect.size, np.int64))
+        if (out.k[slot] != k).any() or (out.h[:, slot] != h).any():
+            return None
+        np.add.at(out.f, slot, n)
+        return out
+
+
+PHRASES = "k int, h1 long, h2 long, h3 long, h4 long, a long"
+
+
+def counted(found: DataFrame, shares: int, rule: Rule) -> DataFrame:
+    """The candidates that met the support, with their counts: each task numbers and counts a share of them; a row of length 0 says that two had the same hash."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema)
+        if table.num_rows:
+            k, *h, n = (table.column(c).to_numpy() for c in ("k", *WORDS, "n"))
+            held = Slots.of(k, np.array([x.view(U) for x in h]), n)
+            if held is None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())] + [pa.array([0], pa.int64())] * (LONGEST + 1), names=["k", *WORDS, "a"])
+            else:
+                at = np.flatnonzero(held.f >= rule.support)
+                yield pa.RecordBatch.from_arrays([pa.array(held.k[at])] + [pa.array(x[at].view(np.int64)) for x in held.h] + [pa.array(held.f[at])], names=["k", *WORDS, "a"])
+        trim()
+
+    schema = pa.schema([("k", pa.int32()), *((h, pa.int64()) for h in WORDS), ("n", pa.int64())])
+    return found.repartition(shares, "k", *WORDS).mapInArrow(summed, PHRASES)
+
+
+def frequent_phrases(docs: DataFrame, frequent: DataFrame, rule: Rule, words: int = 0) -> DataFrame | None:
+    """``k, h1 to h4, a``: every phrase of 2 to 4 words that meets the support, with its count.
+
+    None where two candidates of a share have the same hash. ``frequent`` has the keys ``h`` and counts
+    ``f`` of the words that meet the support; ``words`` is the number of all words of the texts. The
+    texts are read once for each sieve and once for the candidates, however many these are.
     """
     spark: SparkSession = docs.sparkSession
+    wide = width(words, rule.support)
     sieves = word_sieve(frequent)
-    sieves |= run_sieves(docs, sieves, range(2, 3), rule)
-    sieves |= run_sieves(docs, sieves, range(3, LONGEST + 1), rule)
-    zero = F.lit(0).cast("long")
-    alone = frequent.select(F.col("h").alias("g"), F.lit(1).alias("k"), F.col("h").alias("h1"), zero.alias("h2"), zero.alias("h3"), zero.alias("h4"), "f")
-    keys = keep(candidates(docs, sieves, rule).withColumn("f", zero).unionByName(alone), "candidates")
-    if keys.groupBy("g").count().filter("count > 1").limit(1).count():
-        return None
-    blocks = 1 << max(0, (keys.count() - 1) // KEYS).bit_length()
-    share = lambda b: lambda g: (g & U(blocks - 1)) == U(b)
+    sieves |= run_sieves(docs, sieves, range(2, 3), rule, wide)
+    sieves |= run_sieves(docs, sieves, range(3, LONGEST + 1), rule, wide)
     held = spark.sparkContext.broadcast(sieves)
-    found, counts = [], []
-    for b in range(blocks):  # about KEYS candidates each, whatever their number
-        slots = spark.sparkContext.broadcast(Slots.of(keys.filter(F.col("g").bitwiseAND(blocks - 1) == b).toArrow()))
-        counts.append(keep(slot_counts(docs, slots, held, share(b), rule), "counts"))
-        found.append(keep(_frequent(counts[-1], slots, rule), "frequent"))
-        slots.unpersist()
+    shares = max(spark.sparkContext.defaultParallelism, words // KEYS)
+    phrases = keep(counted(candidates(docs, held, rule), shares, rule), "phrases")
     held.unpersist()
-    none = F.array(*[zero] * (LONGEST - 1))
-    phrases = reduce(DataFrame.unionByName, found).withColumns({"l": none, "r": none})
-    for b in range(blocks):
-        slots = Slots.of(keys.filter(F.col("g").bitwiseAND(blocks - 1) == b).toArrow())
-        total = slots.f.copy()
-        for row in counts[b].select("part", "counts").collect():  # 8 bytes for each of about KEYS candidates
-            n = unpacked(row.counts)
-            total[row.part * PART : row.part * PART + len(n)] += n
-        phrases = keep(_with_cuts(phrases, spark.sparkContext.broadcast((slots, total)), share(b)), "cuts")
-    return phrases
+    return None if phrases.filter("k = 0").limit(1).count() else phrases
+
+
+def with_cuts(some: DataFrame, phrases: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Adds to ``some`` of the phrases the counts of the parts of each cut, ``l`` and ``r``, an element for each cut; every part is a frequent phrase or word."""
+    zero = F.lit(0).cast("long")
+    h = [F.col(x) for x in WORDS]
+
+    def part(cut: int, side: str, size: int, low: int, high: int) -> Column:
+        return F.struct(F.lit(cut).alias("cut"), F.lit(side).alias("side"), F.lit(high - low).alias("pk"), *((h[low + j] if low + j < high else zero).alias(f"p{j + 1}") for j in range(LONGEST - 1)))
+
+    of_size = [F.array(*(part(cut, side, size, *((0, cut) if side == "l" else (cut, size))) for cut in range(1, size) for side in "lr")) for size in range(2, LONGEST + 1)]
+    parts = F.when(F.col("k") == 2, of_size[0]).when(F.col("k") == 3, of_size[1]).otherwise(of_size[2])
+    each = some.select("k", *WORDS, "a", F.explode(parts).alias("p")).select("k", *WORDS, "a", "p.*")
+    known = phrases.filter(F.col("k") < LONGEST).select(F.col("k").alias("pk"), *(h[j].alias(f"p{j + 1}") for j in range(LONGEST - 1)), F.col("a").alias("f"))
+    known = known.unionByName(frequent.select(F.lit(1).alias("pk"), F.col("h").alias("p1"), zero.alias("p2"), zero.alias("p3"), "f"))
+    joined = each.join(known, ["pk", *(f"p{j + 1}" for j in range(LONGEST - 1))])
+    got = {f"{side}{cut}": F.coalesce(F.max(F.when((F.col("side") == side) & (F.col("cut") == cut), F.col("f"))), zero) for side in "lr" for cut in range(1, LONGEST)}
+    summed = joined.groupBy("k", *WORDS, "a").agg(*(c.alias(name) for name, c in got.items()))
+    return summed.select("k", *WORDS, "a", *(F.array(*(f"{side}{cut}" for cut in range(1, LONGEST))).alias(side) for side in "lr"))
 
 
 def _without_parts_of_longer(phrases: DataFrame, rule: Rule) -> DataFrame:
@@ -339,11 +307,12 @@ def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     The ``rule.most`` first of each language stay, by score, count and phrase.
 
     A phrase can't be frequent unless all phrases within it are, nor unless all that share its bucket of a
-    sieve are together; what passes these tests are the candidates. They are numbered by a minimal
-    perfect hash, about a million in one reading of the texts. Each task counts in an array by number, after
-    comparing the words' keys with those stored; arrays are summed as a tree, and the counts of a
-    phrase's parts are read at their numbers. That words' and phrases' hashes are all distinct is tested;
-    where they aren't, everything is done again with another seed.
+    sieve are together; what passes these tests are the candidates. Sieves grow with the words up to
+    2^``WIDEST`` buckets. One reading of the texts deals the candidates, with their counts in some megabytes of
+    text, to tasks by hash. Each task numbers its share by a minimal perfect hash and counts in an array by
+    number, after comparing the words' keys with those stored; the counts of a phrase's parts are joined to
+    it. That words' hashes, and those of the phrases of a share, are all distinct is tested; where they aren't,
+    everything is done again with another seed.
 
     Null texts are empty; a null language is ``und``, the same as a language of that name. Ids aren't read:
     repeated rows count each time. No documents, or no phrase with enough occurrences, give no rows.
@@ -356,12 +325,14 @@ def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if every.groupBy("h").count().filter("count > 1").limit(1).count():
             continue
         frequent = keep(every.filter(F.col("f") >= rule.support), "frequent_words")
-        phrases = frequent_phrases(docs, frequent.select("h", "f"), tried)
+        total = every.agg(F.sum("f")).first()[0] or 0
+        phrases = frequent_phrases(docs, frequent.select("h", "f"), tried, total)
         if phrases is not None:
             break
     else:
         raise ValueError("hashes met under every seed")
-    best = _without_parts_of_longer(phrases, rule).withColumn("cut", _lowest_cut()).select("h1", "h2", "h3", "h4", "a", "cut.score", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"))
+    left = _without_parts_of_longer(phrases, rule)
+    best = with_cuts(left, phrases, frequent.select("h", "f")).withColumn("cut", _lowest_cut()).select("h1", "h2", "h3", "h4", "a", "cut.score", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"))
     for j in range(LONGEST):
         named = frequent.select(F.col("h").alias(f"h{j + 1}"), F.col("word").alias(f"w{j + 1}"), *(["lang"] if not j else []))
         best = best.join(named, f"h{j + 1}", "left" if j > 1 else "inner")

@@ -39,14 +39,14 @@ def unpacked(data: bytes) -> np.ndarray:
         return out
 
 
-def parts_of(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of the parts, without those of zeros, of a task's arrays."""
+def parts_of(arrays: dict[int, np.ndarray], size: int = PART) -> Iterator[pa.RecordBatch]:
+    """Rows of the parts of ``size`` numbers, without those of zeros, of a task's arrays."""
     task = TaskContext.get().partitionId()
     for k, counts in arrays.items():
-        for low in range(0, len(counts), PART):
-            part = counts[low : low + PART]
+        for low in range(0, len(counts), size):
+            part = counts[low : low + size]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([low // PART], pa.int32()), pa.array([task], pa.int32()), pa.array([packed(part)], pa.binary())], names=["k", "part", "task", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([low // size], pa.int32()), pa.array([task], pa.int32()), pa.array([packed(part)], pa.binary())], names=["k", "part", "task", "counts"])
     trim()
 
 

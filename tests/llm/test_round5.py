@@ -3,7 +3,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from mosaiq.llm import suffix
+from test_collocations import brute, random_rows
+
+from mosaiq.llm import collocations, suffix
 
 NAMES = ["anchor", "content", "copies", "bytes"]
 
@@ -42,3 +44,36 @@ def test_anchors_share_a_suffix_array_only_while_they_fit(monkeypatch):
     assert sizes == [2000, 4800, 2400]
     assert sorted((a, c) for a, c, *_ in got) == [(a, c) for a, c, *_ in rows if a not in (3, 5)]
     assert {(tuple(b), tuple(e)) for _, _, b, e in got} == {((1,), (211,))}
+
+
+def test_the_readings_of_the_texts_dont_grow_with_the_candidates(spark, monkeypatch):
+    rows = random_rows()
+    docs = spark.createDataFrame([(t, lang) for t, lang in rows], "text string, lang string").repartition(5)
+    tables, plain = [], collocations.keep
+    monkeypatch.setattr(collocations, "keep", lambda df, name: tables.append(name) or plain(df, name))
+    monkeypatch.setattr(collocations, "KEYS", 3000)
+    monkeypatch.setattr(collocations, "width", lambda words, support: 25, raising=False)
+    got = sorted(map(tuple, collocations.collocations(docs, collocations.Rule(12, 80, 25)).collect()))
+    assert got == sorted(brute(rows, 12, 80, 25))
+    assert len(tables) == 3
+
+
+def test_sieves_grow_with_the_words():
+    assert collocations.width(1000, 30) == collocations.SIEVE
+    assert 1 << collocations.width(10**9, 30) >= 2 * 10**9 // 30
+    assert collocations.width(10**12, 30) == collocations.WIDEST
+
+
+def test_candidates_with_one_hash_are_seen():
+    h = np.array([[1, 1, 1], [2, 3, 2], [0, 0, 0], [0, 0, 0]], np.uint64)
+    k, n = np.array([2, 2, 2], np.int32), np.array([5, 7, 9])
+    slots = collocations.Slots.of(k, h, n)
+    assert sorted(slots.f.tolist()) == [7, 14]
+    assert collocations.Slots.of(np.array([2, 3, 2], np.int32), h, n).f.sum() == 21
+    twice = h.copy()
+    plain = collocations._combined
+    try:
+        collocations._combined = lambda g, h, k: g
+        assert collocations.Slots.of(k, twice, n) is None
+    finally:
+        collocations._combined = plain
