@@ -59,9 +59,12 @@ def with_folds(df: DataFrame, ratio: float, *order) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order, name: str = "rn") -> DataFrame:
-    """Adds the row's number in a total order: sorted ranges are counted, and offsets added, without one big partition."""
+    """Adds the row's number in a total order: sorted ranges are counted, and offsets added, without one big partition.
+
+    The sorted rows are checkpointed, since a second sort of fewer columns may have other ranges.
+    """
     part = df.orderBy(*order).withColumn("__p", F.spark_partition_id())
-    part = part.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    part = part.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)).checkpoint()
     sizes = part.groupBy("__p").agg(F.count("*").alias("__m"))
     before = sizes.select("__p", (F.sum("__m").over(Window.orderBy("__p")) - F.col("__m")).alias("__before"))
     return part.join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + F.col("__k") + 1).cast("long")).drop("__p", "__k", "__before")
