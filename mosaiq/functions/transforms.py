@@ -179,9 +179,31 @@ def _axis(k: int) -> Column:
     return vector(*(float(j == k) for j in range(3)))
 
 
+def _turned(angle: Column, k: int) -> list[list[float | Column]]:
+    """A rotation about a coordinate axis."""
+    c, s, i, j = F.cos(angle), F.sin(angle), (k + 1) % 3, (k + 2) % 3
+    cells: list[list[float | Column]] = [[0.0] * 3 for _ in range(3)]
+    cells[i][i], cells[i][j], cells[j][i], cells[j][j], cells[k][k] = c, -s, s, c, 1.0
+    return cells
+
+
+def _multiplied(a: list[list[float | Column]], b: list[list[float | Column]]) -> list[list[float | Column]]:
+    """A product written out, without its zeros and ones."""
+
+    def cell(i: int, j: int) -> float | Column:
+        pairs = [(a[i][k], b[k][j]) for k in range(3)]
+        terms = [y if isinstance(x, float) else x if isinstance(y, float) else x * y for x, y in pairs if not (isinstance(x, float) and x == 0 or isinstance(y, float) and y == 0)]
+        return reduce(lambda x, y: x + y, terms) if terms else 0.0
+
+    return [[cell(i, j) for j in range(3)] for i in range(3)]
+
+
 def euler_matrix(a: Column, b: Column, c: Column, axes: str = "sxyz") -> Column:
-    turns = [rotation_matrix(x, _axis(k)) for x, k in zip((a, b, c), _sequence(axes), strict=True)]
-    return product(*(turns[::-1] if axes[0] == "s" else turns))
+    """The product of three turns, written out by cell, so that it is compiled; a null angle makes all cells of the rotation null."""
+    turns = [_turned(x, k) for x, k in zip((a, b, c), _sequence(axes), strict=True)]
+    cells = reduce(_multiplied, turns[::-1] if axes[0] == "s" else turns)
+    known = a * 0.0 + b * 0.0 + c * 0.0
+    return matrix([[x + known for x in row] + [0.0] for row in cells] + [[0.0, 0.0, 0.0, 1.0]])
 
 
 def euler_from_matrix(m: Column, axes: str = "sxyz") -> Column:

@@ -1,5 +1,8 @@
+import numpy as np
+import plain_geometry
 from pyspark.sql import functions as F
 
+from mosaiq.functions import transforms
 from mosaiq.operators import series, windows
 
 COALESCED = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
@@ -20,3 +23,12 @@ def test_numbers_where_sorts_of_fewer_columns_have_other_ranges(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_euler_matrix_is_compiled(spark):
+    rows = spark.createDataFrame([(0.3, -1.2, 2.5), (None, 1.0, 2.0)], "x double, y double, z double")
+    m = rows.select(transforms.euler_matrix(F.col("x"), F.col("y"), F.col("z")).alias("m"))
+    assert "lambda" not in m._jdf.queryExecution().optimizedPlan().toString()
+    first, none = (r.m for r in m.collect())
+    assert np.allclose(first, plain_geometry.euler_matrix(0.3, -1.2, 2.5))
+    assert all(none[i][j] is None for i in range(3) for j in range(3))
