@@ -90,10 +90,11 @@ def lookup(points: DataFrame, t: str, intervals: DataFrame, by: str, bucket: flo
     Time is cut into buckets, and an interval's buckets are written as dyadic cells: a number of rows that
     grows with the logarithm of its length. A point looks up its cell of each level that the longest interval may have, so that the
     range condition becomes an equality join with a check. Intervals that end before they start hold nothing.
+    The joins shuffle: the planner takes the size of the file for that of the cells, and would broadcast them.
     """
     low, high = F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)
     first = intervals.groupBy(by).agg(F.min("start").alias("__first"))
-    spread = intervals.filter("start <= end").join(first, by).withColumn("__c", F.explode(dyadic_cells(low, high)))
+    spread = intervals.filter("start <= end").join(first.hint("merge"), by).withColumn("__c", F.explode(dyadic_cells(low, high)))
     spread = spread.withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
     longest = intervals.filter("start <= end").agg(F.max(high - low + 1)).first()[0] or 1
     levels = range(int(longest).bit_length())
@@ -101,7 +102,7 @@ def lookup(points: DataFrame, t: str, intervals: DataFrame, by: str, bucket: flo
     cells = F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.shiftright(at, x).alias("cell")) for x in levels)))
     placed = points.withColumn("__c", cells).withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
     hit = (F.col(t) > F.col("start")) & (F.col(t) <= F.col("end")) | (F.col("start") == F.col("__first")) & (F.col(t) == F.col("start"))
-    return placed.join(spread, [by, "__level", "__cell"]).filter(hit).drop("__level", "__cell", "__first")
+    return placed.join(spread.hint("merge"), [by, "__level", "__cell"]).filter(hit).drop("__level", "__cell", "__first")
 
 
 def consecutive(pieces: DataFrame, by: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_euler_matrix_is_compiled(spark):
     first, none = (r.m for r in m.collect())
     assert np.allclose(first, plain_geometry.euler_matrix(0.3, -1.2, 2.5))
     assert all(none[i][j] is None for i in range(3) for j in range(3))
+
+
+def test_cells_of_intervals_are_not_broadcast(spark):
+    points = spark.createDataFrame([(0, float(t)) for t in range(50)], "g int, t double")
+    spans = spark.createDataFrame([(0, 0.0, 10.0), (0, 10.0, 40.0)], "g int, start double, end double")
+    got = windows.lookup(points, "t", spans, "g", 1.0)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 41
