@@ -34,9 +34,13 @@ def test_euler_matrix_is_compiled(spark):
     assert all(none[i][j] is None for i in range(3) for j in range(3))
 
 
-def test_cells_of_intervals_are_not_broadcast(spark):
-    points = spark.createDataFrame([(0, float(t)) for t in range(50)], "g int, t double")
-    spans = spark.createDataFrame([(0, 0.0, 10.0), (0, 10.0, 40.0)], "g int, start double, end double")
+def test_cells_of_intervals_are_not_broadcast(spark, tmp_path):
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    points = stored(spark.createDataFrame([(0, float(t)) for t in range(50)], "g int, t double"), "points")
+    spans = stored(spark.createDataFrame([(0, 0.0, 10.0), (0, 10.0, 40.0)], "g int, start double, end double"), "spans")
     got = windows.lookup(points, "t", spans, "g", 1.0)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 41
