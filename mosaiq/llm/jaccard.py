@@ -77,7 +77,7 @@ def common_shingles(docs: DataFrame, rule: Rule, most: int = COMMON) -> np.ndarr
 
     Every text is counted. A task counts a few million shingles at a time and passes on those that it
     met at least three times; the sums order what comes last in a prefix, so that a lower count costs
-    time but never a link. At most ``most`` hashes reach the driver.
+    time but never a link. Few more than ``most`` hashes reach the driver, however many partitions there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,9 @@ def common_shingles(docs: DataFrame, rule: Rule, most: int = COMMON) -> np.ndarr
             yield counted()
 
     counts = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(most).toPandas()
+    # Dealt by range, so that the driver takes the first ranges only; of orderBy().limit() it gets ``most`` rows from every partition.
+    ranges = counts.repartitionByRange(F.desc("c"), "h").sortWithinPartitions(F.desc("c"), "h")
+    top = ranges.limit(most).toPandas()
     return top["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 

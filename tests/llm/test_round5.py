@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from test_collocations import brute, random_rows
 
-from mosaiq.llm import collocations, suffix
+from mosaiq.llm import collocations, jaccard, suffix
 
 NAMES = ["anchor", "content", "copies", "bytes"]
 
@@ -77,3 +77,31 @@ def test_candidates_with_one_hash_are_seen():
         assert collocations.Slots.of(k, twice, n) is None
     finally:
         collocations._combined = plain
+
+
+def test_what_the_driver_gets_of_common_shingles_doesnt_grow_with_the_partitions(spark):
+    most = 5000
+    texts = [" ".join(f"{chr(97 + k)}{i}" for i in range(3000 if k == 3 else 12_000)) for k in range(4)]
+    rows = [*[texts[0]] * 3, *[texts[1]] * 3, "only once", *[texts[2]] * 3, *[texts[3]] * 4]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in rows], 2), "text string")
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    sc = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("common shingles", "")
+        got = jaccard.common_shingles(docs, jaccard.Rule(), most)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup("common shingles") for i in sc.statusTracker().getJobInfo(j).stageIds}
+    sent = [sc._jsc.sc().statusStore().lastStageAttempt(i).resultSize() for i in stages]
+    assert max(sent) < 500_000, sent  # the first 5,000 rows of each of 12 partitions take more
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    hashes = [jaccard.shingles(np.array([0, len(d)]), d, 4)[1] for d in data]
+    # The last text's four copies first, then all that come three times, each by hash.
+    ordered = np.concatenate([np.sort(hashes[3].view(np.int64)), np.sort(np.concatenate(hashes[:3]).view(np.int64))])
+    np.testing.assert_array_equal(got[::-1].view(np.int64), ordered[:most])
